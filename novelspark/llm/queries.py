@@ -1,6 +1,16 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
+from novelspark.llm.bpe import op8_byte_bpe
+from novelspark.llm.chat import op2_chat_formatting
+from novelspark.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from novelspark.llm.quality import op9_quality_classifier
 from novelspark.llm.secret_scan import op1_secret_scan
 
-QUERIES = {"op1_secret_scan": op1_secret_scan}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_chat_formatting": op2_chat_formatting,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_quality_classifier": op9_quality_classifier,
+}
+ORACLE_SQL = {"op5_exact_dedup": OP5_SQL}
