@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from novelspark.llm.common import documents, ship, text_or_empty
 
-#: Pieces that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+#: Pieces, and pairs of tokens, that a task remembers; beyond it the memory starts anew.
+REMEMBERED, PAIRS = 200_000, 1_000_000
+#: Rows that become Python objects at once.
+ROWS = 128
 
 
 class Vocabulary:
@@ -37,6 +39,11 @@ class Vocabulary:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
+        self.lengths = np.zeros(max(self.bytes) + 1, np.int64)
+        self.lengths[list(self.bytes)] = [len(b) for b in self.bytes.values()]
+        self._length = self.lengths.tolist()
+        self._flat = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(len(self.lengths))), np.uint8)
+        self._starts = np.cumsum(self.lengths) - self.lengths
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._apart: dict[int, bool] = {}
         self._match = ahocorasick.Automaton()
@@ -66,6 +73,8 @@ class Vocabulary:
         key = left << 20 | right
         held = self._apart.get(key)
         if held is None:
+            if len(self._apart) >= PAIRS:
+                self._apart.clear()
             held = self._apart[key] = self._seam(left, right)
         return held
 
@@ -114,16 +123,30 @@ class Vocabulary:
     def table(self, data: bytes) -> list[int]:
         """The last token of each prefix of data, shortest first."""
         last: list[int] = []
-        self.extend(last, data)
+        known, at = self._apart.get, 0
+        for end, (token, n) in self._match.iter(data.decode("latin-1")):
+            if end < at:
+                continue
+            before = end - n
+            if before >= 0:
+                holds = known(last[before] << 20 | token)
+                if holds is None:
+                    holds = self.apart(last[before], token)
+                if not holds:
+                    continue
+            last.append(token)
+            at = end + 1
         return last
 
     def tokens(self, last: list[int]) -> list[int]:
         """Read backwards: the last token, then the last token of what stands before it."""
-        out, at = [], len(last)
+        out, at, length = [], len(last), self._length
         while at:
-            out.append(last[at - 1])
-            at -= len(self.bytes[last[at - 1]])
-        return out[::-1]
+            token = last[at - 1]
+            out.append(token)
+            at -= length[token]
+        out.reverse()
+        return out
 
     def edited(self, data: bytes, last: list[int], start: int, end: int, new: bytes) -> tuple[bytes, list[int]]:
         """data and its table with data[start:end] replaced by new."""
@@ -136,7 +159,17 @@ class Vocabulary:
         return self.tokens(self.table(data))
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+        return self.decode_all(np.asarray(ids, np.int64), [0, len(ids)])[0]
+
+    def decode_all(self, ids: np.ndarray, ends) -> list[bytes]:
+        """The bytes of each ids[ends[i]:ends[i + 1]]. An id that the vocabulary lacks is an error."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self._length) or not self.lengths[ids].all()):
+            raise ValueError("an id isn't in the vocabulary")
+        n = self.lengths[ids]
+        to = np.concatenate([[0], np.cumsum(n)])
+        data = self._flat[np.arange(to[-1]) + np.repeat(self._starts[ids] - to[:-1], n)].tobytes()
+        cuts = to[np.asarray(ends)].tolist()
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -149,6 +182,12 @@ def _pattern(pattern: str):
     return regex.compile(pattern)
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
 def append_text(pieces: list[str], more: str, pattern: str = public_tokenizers.PATTERN) -> tuple[int, list[str]]:
     """How many pieces of a text stay when more is appended, and the pieces that follow them.
 
@@ -168,7 +207,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, find, known = vocabulary(path), _pattern(pattern).findall, {}
-        for batch in batches:
+        for batch in _small(batches):
             ids, ends = array("i"), [0]
             for text in batch.column("text").to_pylist():
                 for piece in find(text):
@@ -198,10 +237,10 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", bytes_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for batch in batches:
+        for batch in _small(batches):
             column = batch.column(at)
-            flat, ends = column.flatten().to_pylist(), column.offsets.to_numpy() - column.offsets[0].as_py()
-            out = pa.array([v.decode(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+            lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            out = pa.array(v.decode_all(column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lengths)])), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*names, "decoded"])
 
     return plain.mapInArrow(run, schema).toDF(*encoded.columns, bytes_col)
