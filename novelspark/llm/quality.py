@@ -7,7 +7,7 @@ labelled texts that the dictionaries haven't seen. The fit takes a bounded sampl
 (max_rows a class, each of at most max_chars characters); scoring takes every row and whole text.
 
 A null text counts as empty; an empty text has the prior of the sample. Repeated rows are scored again. Labels that are
-null, or of documents that aren't there, are not used; a document labelled both ways counts as both. With no labelled
+null, or of documents that aren't there, are not used; a document labelled both ways counts as both, a label given twice once. With no labelled
 text of a class, every score is the prior (0.5 without any label). Only the text is an input of a score.
 """
 
@@ -103,15 +103,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2
     return float(slopes[0]), float(slopes[1]), float(w[2] - slopes @ middle)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", key_col: str = "doc_id", max_rows: int = 1500, max_chars: int = 20_000) -> CompressionModel:
-    """Fits on at most max_rows rows a class: those of 1 to max_chars characters whose hashed keys come first. Only these rows come to the driver."""
-    rows = labelled.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")).where(F.length("t").between(1, max_chars))
-    texts, labels = [], []
+def fit(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 1500, max_chars: int = 20_000) -> CompressionModel:
+    """Fits on at most max_rows rows a class: those of 1 to max_chars characters whose hashed keys come first.
+
+    Keys and lengths are chosen from first; only the texts of the chosen keys, 2 * max_rows at most, come to the driver.
+    """
+    long = docs.select(F.col(key_col).alias("k"), F.length(text_col).alias("n")).where(F.col("n").between(1, max_chars)).select("k")
+    rows = long.join(labels.select(F.col(key_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)"), "k").distinct()
+    chosen = None
     for y in (0, 1):
-        for r in rows.where(F.col("y") == y).orderBy(F.xxhash64("k"), F.xxhash64("t")).limit(max_rows).select("t").collect():
-            texts.append(r[0].encode())
-            labels.append(y)
-    return CompressionModel.fit(texts, labels)
+        first = rows.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(max_rows)
+        chosen = first if chosen is None else chosen.unionAll(first)
+    texts = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"))
+    got = sorted(texts.join(F.broadcast(chosen), "k").where(F.length("t").between(1, max_chars)).collect())
+    return CompressionModel.fit([r["t"].encode() for r in got], [r["y"] for r in got])
 
 
 def score(docs: DataFrame, model: CompressionModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -134,14 +139,13 @@ def fold(key: str = "doc_id", folds: int = 3) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(folds))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """(doc_id, text, label) of the labelled documents that may be learnt from: the key's fold of 3 is not 1."""
-    learn = labels.select("doc_id", F.col(label).alias("label")).where(F.col("label").isin(0, 1) & (fold() != 1))
-    return docs.select("doc_id", "text").join(learn, "doc_id")
+def learnt_from(labels: DataFrame) -> DataFrame:
+    """The labels that may be learnt from: the key's fold of 3 is not 1."""
+    return labels.where(fold() != 1)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = fit(labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = fit(docs, learnt_from(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     out = score(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (fold() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -69,7 +69,7 @@ def candidate_pattern(min_length: int) -> str:
 
 
 def labelled_samples(documents: DataFrame, text_col: str = "text", key_col: str = "doc_id", max_documents: int = 2000) -> DataFrame:
-    """(sample, random): the words of about max_documents documents as ordinary strings; as random ones, what the patterns find there, and digests of the keys in base 64, base 36 and upper-case base 32-like forms.
+    """(sample, random): the words of about max_documents documents, alone and joined as identifiers are, as ordinary strings; as random ones, what the patterns find there, and digests of the keys in base 64, base 36 and upper-case base 32-like forms.
 
     The documents are those whose hashed key falls into one of n / max_documents classes; the bound is this parameter.
     """
@@ -81,10 +81,17 @@ def labelled_samples(documents: DataFrame, text_col: str = "text", key_col: str
     found = F.concat(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("t", F.lit(HEX), F.lit(0)))
     random = chosen.select(F.explode(F.concat(F.array(base64, F.translate(base64, "+/=", "-_"), base36, F.lower(base36)), found)).alias("sample"), F.lit(True).alias("random"))
     masked = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    ordinary = chosen.select(F.explode(F.split(masked, r"[^A-Za-z0-9+/_=-]+")).alias("sample"), F.lit(False).alias("random"))
+    words = F.split(masked, r"[^A-Za-z0-9+/_=-]+")
+    identifiers = F.array(*[F.array_join(words, joint) for joint in "_-/"])
+    ordinary = chosen.select(F.explode(F.concat(words, identifiers)).alias("sample"), F.lit(False).alias("random"))
     return random.unionAll(ordinary).where(F.length("sample") >= 2)
 
 
+def _character_pairs(text: Column) -> Column:
+    chars = F.split(text, "")
+    return F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars) - 1), lambda a, b: F.concat(a, b))
+
+
 class MarkovModels:
     """Two first-order models over the 128 ASCII codes; ratio[a * 128 + b] is log P(b | a) under the random one less that under the ordinary one."""
 
@@ -94,7 +101,7 @@ class MarkovModels:
     @classmethod
     def train(cls, samples: DataFrame, smoothing: float = 0.5, alphabet: int = 68) -> MarkovModels:
         """samples: (sample string, random boolean). Counts are summed on the executors; at most 2 * 128 * 128 rows come back."""
-        pairs = samples.select("random", F.explode(F.expr("transform(sequence(1, length(sample) - 1), i -> substring(sample, i, 2))")).alias("pair"))
+        pairs = samples.select("random", F.explode(_character_pairs(F.col("sample"))).alias("pair"))
         rows = pairs.groupBy("random", "pair").count().where(F.col("pair").rlike(r"^[\x00-\x7f]{2}$")).collect()
         table = {True: [0.0] * CODES**2, False: [0.0] * CODES**2}
         for r in rows:
