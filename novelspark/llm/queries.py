@@ -4,6 +4,7 @@ from novelspark.llm.bpe import op8_byte_bpe
 from novelspark.llm.chat import op2_chat_formatting
 from novelspark.llm.decontaminate import op6_decontamination
 from novelspark.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from novelspark.llm.lines import OP4_SQL, op4_line_dedup
 from novelspark.llm.quality import op9_quality_classifier
 from novelspark.llm.repeats import op10_suffix_dedup
 from novelspark.llm.secret_scan import op1_secret_scan
@@ -13,10 +14,11 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontamination": op6_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLE_SQL = {"op5_exact_dedup": OP5_SQL}
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL}
