@@ -5,6 +5,7 @@ from novelspark.llm.chat import op2_chat_formatting
 from novelspark.llm.decontaminate import op6_decontamination
 from novelspark.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from novelspark.llm.lines import OP4_SQL, op4_line_dedup
+from novelspark.llm.lm_scoring import op7_lm_scoring
 from novelspark.llm.quality import op9_quality_classifier
 from novelspark.llm.repeats import op10_suffix_dedup
 from novelspark.llm.secret_scan import op1_secret_scan
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_suffix_dedup": op10_suffix_dedup,
