@@ -1 +1,5 @@
 """Registered queries and their SQL twins."""
+
+from novelspark.plans import archives, walks
+
+PLANS = (walks, archives)
