@@ -74,7 +74,7 @@ def shape_violations(df: DataFrame, image: str, channels: int, size: int) -> Dat
 
 def black_fraction(bands: Column) -> Column:
     """The share of pixels that are 0 in every band."""
-    pixels = F.zip_with(F.zip_with(bands[0], bands[1], F.greatest), bands[2], F.greatest)
+    pixels = F.zip_with(F.zip_with(bands[0], bands[1], lambda a, b: F.greatest(a, b)), bands[2], lambda a, b: F.greatest(a, b))
     return F.size(F.filter(pixels, lambda p: p == 0)) / F.size(pixels)
 
 

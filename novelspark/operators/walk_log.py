@@ -118,11 +118,13 @@ def fingerprint(log: DataFrame) -> DataFrame:
     return log.groupBy("agent_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("sha"))
 
 
-def rounded(df: DataFrame, places: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Doubles rounded, NaN to null."""
-    floats = {c for c, t in df.dtypes if t in ("double", "float")} - set(keep)
-    return df.select(*[F.round(F.when(~F.isnan(c), F.col(c)), places).alias(c) if c in floats else F.col(c) for c in df.columns])
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles rounded to 6 places, NaN to null."""
+    floats = {c for c, t in df.dtypes if t in ("double", "float")}
+    return df.select(*[r6(F.when(~F.isnan(c), F.col(c))).alias(c) if c in floats else F.col(c) for c in df.columns])
 
 
 def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """Rounded to 6 places, halves up: arithmetic that is the same in any engine."""
+    c = F.col(c) if isinstance(c, str) else c
+    return (F.floor(c.cast("double") * 1e6 + 0.5) / 1e6).cast("double")

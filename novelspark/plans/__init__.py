@@ -1,5 +1,5 @@
 """Registered queries and their SQL twins."""
 
-from novelspark.plans import archives, walks
+from novelspark.plans import archives, novelty, walks
 
-PLANS = (walks, archives)
+PLANS = (walks, archives, novelty)

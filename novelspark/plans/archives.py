@@ -240,6 +240,9 @@ _UTM = {
     "u6": "SELECT *, asin(sin(p) / cosh(q)) AS chi FROM u5",
 }
 
+#: md5 modulo 7 from its digits' remainders.
+_MOD_7 = "(" + " + ".join(f"('0x' || substr(md5(sample_id), {i}, 1))::INT * {pow(16, 32 - i, 7)}" for i in range(1, 33)) + ") % 7"
+
 SQL = {
     "scan_fragments": sql("SELECT grid_cell, product_id, cloud_cover, nodata, centre_lat, centre_lon, file, file_row FROM fragments"),
     "duplicate_keys": sql("SELECT grid_cell, count(*) AS n_rows FROM fragments GROUP BY grid_cell HAVING count(*) > 1"),
@@ -265,7 +268,7 @@ SQL = {
     "coerce": sql("SELECT row_id, CASE WHEN row_id % 5 = 0 THEN NULL ELSE round(lat, 6) END AS lat FROM archive"),
     "parse_ts": sql("SELECT product_id, strftime(acquired, '%Y-%m-%d %H:%M:%S') AS parsed, strftime(acquired, '%Y-%m-%d %H:%M:%S') AS from_ns FROM fragments"),
     "platform": sql("SELECT product_id, CASE substr(product_id, 1, 3) WHEN 'S2A' THEN 'Sentinel-2A' WHEN 'S2B' THEN 'Sentinel-2B' ELSE 'Sentinel-2' END AS platform FROM fragments"),
-    "season_pick": sql("SELECT sample_id, (('0x' || substr(md5(sample_id), 32, 1))::INT % 4)::INT AS season, ((('0x' || substr(md5(sample_id), 1, 8))::HUGEINT * 79228162514264337593543950336 % 7 + ('0x' || substr(md5(sample_id), 9, 8))::HUGEINT * 18446744073709551616 % 7 + ('0x' || substr(md5(sample_id), 17, 8))::HUGEINT * 4294967296 % 7 + ('0x' || substr(md5(sample_id), 25, 8))::HUGEINT % 7) % 7)::INT AS of_seven FROM shards"),
+    "season_pick": sql("SELECT sample_id, (('0x' || substr(md5(sample_id), 32, 1))::INT % 4)::INT AS season, (" + _MOD_7 + ")::INT AS of_seven FROM shards"),
     "band_reorder": sql("""SELECT sample_id, (b - 1)::INT AS band, array_to_string(CASE doc_id % 3 WHEN 0 THEN bands[4 - b] ELSE bands[b] END, ',') AS pixels FROM samples CROSS JOIN (SELECT unnest([1, 2, 3]) AS b) t"""),
     "cloud_fraction": sql("SELECT sample_id, t::INT AS season, round(len(list_filter(cloud_mask[t + 1], lambda x: x IN (2, 3))) / 64.0e0, 4) AS cloud_fraction FROM samples CROSS JOIN (SELECT unnest(range(4)) AS t) q"),
     "season_explode": sql("""SELECT concat(sample_id, '_s', t) AS chip_id, t::INT AS season, strftime(make_timestamp(time_ns[t + 1] // 1000), '%Y-%m-%d') AS acquired,
@@ -282,6 +285,6 @@ SQL = {
 SELECT row_id, pos::INT AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY row_id)), 6) AS value FROM p""", **_MEANS),
     "mean_norms": sql("SELECT (SELECT round(sqrt(sum(m * m)), 4) FROM means) AS before, (SELECT round(sqrt(sum(m * m)), 4) FROM (SELECT avg(x) AS m FROM centred GROUP BY pos) q) AS after", **_MEANS),
     "coverage_stats": sql("""SELECT count(*) AS n_chips, count(DISTINCT group_id) AS n_groups, round(avg((lat IS NOT NULL AND lon IS NOT NULL)::INT), 6) AS frac_with_coords, round(avg((date IS NOT NULL)::INT), 6) AS frac_with_date,
- min(lat) AS lat_min, max(lat) AS lat_max, min(lon) AS lon_min, max(lon) AS lon_max, min(date) AS date_min, max(date) AS date_max, round(avg((lat < 0)::INT) FILTER (lat IS NOT NULL AND lon IS NOT NULL), 6) AS frac_southern_hemisphere FROM archive"""),
+ round(min(lat), 6) AS lat_min, round(max(lat), 6) AS lat_max, round(min(lon), 6) AS lon_min, round(max(lon), 6) AS lon_max, min(date) AS date_min, max(date) AS date_max, round(avg((lat < 0)::INT) FILTER (lat IS NOT NULL AND lon IS NOT NULL), 6) AS frac_southern_hemisphere FROM archive"""),
     "sensor_counts": sql("SELECT sensor, count(*) AS n_chips FROM archive GROUP BY sensor"),
 }

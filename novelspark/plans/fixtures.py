@@ -74,8 +74,26 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{n: view(spark, sf_dir, n) for n in needs})
 
 
+def _half_up(sql: str) -> str:
+    """round(x, 6) written as floor(x * 1e6 + 0.5) / 1e6, which is the same arithmetic in any engine."""
+    out, at = "", 0
+    while (begin := sql.find("round(", at)) >= 0:
+        depth, i = 1, begin + 6
+        comma = -1
+        while depth:
+            depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(sql[i], 0)
+            comma = i if sql[i] == "," and depth == 1 else comma
+            i += 1
+        inner = _half_up(sql[begin + 6 : comma])
+        places = sql[comma + 1 : i - 1].strip()
+        out += sql[at:begin] + (f"(floor(({inner}) * 1000000e0 + 0.5e0) / 1000000e0)" if places == "6" else f"round({inner}, {places})")
+        at = i
+    return out + sql[at:]
+
+
 def duckdb_sql(body: str, **more: str) -> str:
     """body with the derived tables that it names, and more ones, put in front as common table expressions."""
+    body, more = _half_up(body), {k: _half_up(v) for k, v in more.items()}
     known = _DUCKDB | more
     done: list[str] = []
 
