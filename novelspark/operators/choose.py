@@ -19,7 +19,7 @@ def random_draws(agents: DataFrame, archive: DataFrame, m: int, seed: int, n: in
     """
     m = min(m, n)
     if n <= SPARE * m:
-        rows = agents.select("agent_id", "step", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("row_id"))
+        rows = agents.select("agent_id", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("row_id"))
         w = Window.partitionBy("agent_id", "step").orderBy(keyed_uniform(seed, F.col("agent_id"), F.col("step"), F.col("row_id")), "row_id")
         return rows.withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < m)
     slots = agents.select("agent_id", "step", F.explode(F.sequence(F.lit(0), F.lit(SPARE * m - 1))).alias("slot"))

@@ -1,5 +1,5 @@
 """Registered queries and their SQL twins."""
 
-from novelspark.plans import archives, novelty, walks
+from novelspark.plans import archives, encoders, novelty, walks
 
-PLANS = (walks, archives, novelty)
+PLANS = (walks, archives, novelty, encoders)
