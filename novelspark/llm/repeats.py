@@ -332,7 +332,7 @@ def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
     own = labels(spark, n)
     key = F.coalesce(F.col(key_col).cast("long"), F.lit(_NULL_KEY))
     text = text_or_empty(text_col)
-    rows = docs.select(key.alias("k"), F.pmod(F.xxhash64(text), F.lit(32768)).cast("int").alias("t"), text.alias("text"))
+    rows = docs.select(key.alias("k"), F.xxhash64(text).bitwiseAND(32767).cast("int").alias("t"), text.alias("text"))
     blocks = rows.mapInArrow(_parse(own, length, anchor), _BLOCK_DDL).repartition(n, "bucket")
     entries = blocks.mapInArrow(_order_entries(length, anchor, hot), _PLACE)
     asks = F.collect_list(F.struct("start", "end", "h")).alias("asks")
