@@ -23,12 +23,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from novelspark.llm.common import documents, ship, text_or_empty
+from novelspark.llm.common import documents, ship, small, text_or_empty
 
 #: Pieces, and pairs of tokens, that a task remembers; beyond it the memory starts anew.
 REMEMBERED, PAIRS = 200_000, 1_000_000
-#: Rows that become Python objects at once.
-ROWS = 128
 
 
 class Vocabulary:
@@ -182,12 +180,6 @@ def _pattern(pattern: str):
     return regex.compile(pattern)
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, ROWS):
-            yield batch.slice(i, ROWS)
-
-
 def append_text(pieces: list[str], more: str, pattern: str = public_tokenizers.PATTERN) -> tuple[int, list[str]]:
     """How many pieces of a text stay when more is appended, and the pieces that follow them.
 
@@ -207,7 +199,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, find, known = vocabulary(path), _pattern(pattern).findall, {}
-        for batch in _small(batches):
+        for batch in small(batches):
             ids, ends = array("i"), [0]
             for text in batch.column("text").to_pylist():
                 for piece in find(text):
@@ -237,7 +229,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", bytes_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for batch in _small(batches):
+        for batch in small(batches):
             column = batch.column(at)
             lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             out = pa.array(v.decode_all(column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lengths)])), pa.binary())

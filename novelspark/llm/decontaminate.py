@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from novelspark.llm.common import documents, ship, text_or_empty
+from novelspark.llm.common import documents, ship, small, text_or_empty
 from novelspark.llm.rolling import U, Prefixes
 
 WORDS, THRESHOLD = 5, 0.8
@@ -141,8 +141,8 @@ def _search(items, threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = items.value
-        for batch in batches:
-            keys, joined, size = [], [], 0
+        keys, joined, size = [], [], 0
+        for batch in small(batches):
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 keys.append(key)
                 joined.append(b" ".join(words_of(text)))
@@ -150,8 +150,8 @@ def _search(items, threshold: float):
                 if size >= CHUNK:
                     yield from check(own, keys, joined)
                     keys, joined, size = [], [], 0
-            if keys:
-                yield from check(own, keys, joined)
+        if keys:
+            yield from check(own, keys, joined)
 
     return run
 

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from novelspark.llm.common import documents, ship, text_or_empty
+from novelspark.llm.common import documents, ship, small, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -127,7 +127,7 @@ def score(docs: DataFrame, model: CompressionModel, text_col: str = "text", scor
     schema = ", ".join([f"{n} {plain.schema[n].dataType.simpleString()}" for n in names] + ["score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = [model.score(t.encode()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(out, pa.float64())], [*names, "score"])
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from novelspark.llm.common import documents, partitions, ship, text_or_empty
+from novelspark.llm.common import documents, partitions, ship, small, text_or_empty
 from novelspark.llm.rolling import U, Prefixes, mixed, sliding_minimum
 
 LENGTH, ANCHOR = 100, 32
@@ -209,7 +209,7 @@ def _phrases(buckets: list[int], length: int, anchor: int):
     width = reach + length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 2048):
             k, t = batch.column("k").to_pylist(), batch.column("t").to_pylist()
             parts, windows = [], []
             for i, (text, asks) in enumerate(zip(batch.column("text").to_pylist(), batch.column("asks").to_pylist(), strict=True)):
@@ -308,7 +308,7 @@ def _merged(asks: list[dict], n: int) -> list[tuple[int, int]]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         removed, kept = [], []
         for text, asks in zip(batch.column("text").to_pylist(), batch.column("asks").to_pylist(), strict=True):
             data = text.encode()

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from novelspark.llm.common import documents, ship, stored, text_or_empty
+from novelspark.llm.common import documents, ship, small, stored, text_or_empty
 from novelspark.llm.graph import connected_components
 
 SEED = 42
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text
     plain = docs.select(F.col(key_col).cast("long").alias("key"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             fp = np.array([fingerprint(t.encode(), words) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fp.view(np.int64))], ["key", "fp"])
 
@@ -90,7 +90,7 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
 
 def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1024):
             sides = []
             for name in ("x", "y"):
                 column = batch.column(name)
