@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from novelspark.operators.similarity import mean_of_nearest, top_similar
+from novelspark.operators.similarity import nearest_means
 
 
 def replay(visits: DataFrame, j: int, block: int = 1024) -> DataFrame:
@@ -17,7 +17,7 @@ def replay(visits: DataFrame, j: int, block: int = 1024) -> DataFrame:
     cell = F.col("prow") * 1000 + F.col("pcol")
     ids = visits.withColumn("id", F.col("step") * 1_000_000 + cell)
     rows = ids.select(F.col("agent_id").alias("g"), "id", F.col("step").alias("ord"), F.col("pvec").alias("vec"))
-    found = mean_of_nearest(top_similar(rows, rows, j, earlier=True, block=max(1, block // 4)), ["g", "q_id"])
+    found = nearest_means(rows, rows, j, earlier=True, block=max(1, block // 4))
     scores = found.select(F.col("g").alias("agent_id"), F.col("q_id").alias("id"), F.col("novelty").alias("score"))
     return ids.join(scores, ["agent_id", "id"], "left").select("agent_id", "step", "prow", "pcol", "score")
 

@@ -27,38 +27,67 @@ def _packed(df: DataFrame, prefix: str, block: int) -> DataFrame:
     return packs.select("g", f"{prefix}_block", F.col("rows.id").alias(f"{prefix}_ids"), F.col("rows.ord").alias(f"{prefix}_ords"), F.flatten("rows.vec").alias(f"{prefix}_vecs"))
 
 
-def top_similar(queries: DataFrame, base: DataFrame, k: int, earlier: bool = False, block: int = BLOCK) -> DataFrame:
-    """(g, q_id, b_id, sim, rank): for each query the k most similar rows of base in its group, rank from 1.
-
-    queries, base: (g long, id long, ord long, vec); ord counts from 0 in each group. earlier: only rows of base whose ord is
-    below the query's. A null vector on either side is left out.
-    """
+def _block_pairs(queries: DataFrame, base: DataFrame, earlier: bool, block: int) -> DataFrame:
     ship(queries.sparkSession)
     q = _packed(queries.where("vec is not null"), "q", block)
     b = _packed(base.where("vec is not null"), "b", block)
     asked = q.join(b.select("g", "b_block"), "g")
     if earlier:
         asked = asked.where("b_block <= q_block")
-    pairs = asked.join(b, ["g", "b_block"])
+    return asked.join(b, ["g", "b_block"]).select("g", *[f"{p}_{c}" for p in "qb" for c in ("ids", "ords", "vecs")])
+
+
+def _products(batches: Iterator[pa.RecordBatch], earlier: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(group, query ids, base ids, similarities) of each pair of blocks; -inf where a row of base isn't to be seen."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {n: batch.column(n)[i].values.to_numpy(zero_copy_only=False) for n in batch.schema.names if n != "g"}
+            sim = np.round(row["q_vecs"].reshape(len(row["q_ids"]), -1) @ row["b_vecs"].reshape(len(row["b_ids"]), -1).T, 9)
+            if earlier:
+                sim[row["b_ords"][None, :] >= row["q_ords"][:, None]] = -np.inf
+            yield batch.column("g")[i].as_py(), row["q_ids"], row["b_ids"], sim
+
+
+def top_similar(queries: DataFrame, base: DataFrame, k: int, earlier: bool = False, block: int = BLOCK) -> DataFrame:
+    """(g, q_id, b_id, sim, rank): for each query the k most similar rows of base in its group, rank from 1.
+
+    queries, base: (g long, id long, ord long, vec); ord counts from 0 in each group. earlier: only rows of base whose ord is
+    below the query's. A null vector on either side is left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].values.to_numpy(zero_copy_only=False) for n in batch.schema.names if n not in ("g", "q_block", "b_block")}
-                sim = np.round(row["q_vecs"].reshape(len(row["q_ids"]), -1) @ row["b_vecs"].reshape(len(row["b_ids"]), -1).T, 9)
-                if earlier:
-                    sim[row["b_ords"][None, :] >= row["q_ords"][:, None]] = -np.inf
-                qs, bs, best = _best(sim, row["b_ids"], k)
-                if len(qs):
-                    g = pa.array(np.full(len(qs), batch.column("g")[i].as_py(), np.int64))
-                    yield pa.RecordBatch.from_arrays([g, pa.array(row["q_ids"][qs]), pa.array(row["b_ids"][bs]), pa.array(best)], ["g", "q_id", "b_id", "sim"])
-
-    columns = ["g", *[f"{p}_{c}" for p in "qb" for c in ("ids", "ords", "vecs")]]
-    found = pairs.select(*columns).mapInArrow(run, "g bigint, q_id bigint, b_id bigint, sim double")
+        for g, q_ids, b_ids, sim in _products(batches, earlier):
+            qs, bs, best = _best(sim, b_ids, k)
+            if len(qs):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(qs), g, np.int64)), pa.array(q_ids[qs]), pa.array(b_ids[bs]), pa.array(best)], ["g", "q_id", "b_id", "sim"])
+
+    found = _block_pairs(queries, base, earlier, block).mapInArrow(run, "g bigint, q_id bigint, b_id bigint, sim double")
     order = Window.partitionBy("g", "q_id").orderBy(F.desc("sim"), "b_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def nearest_means(queries: DataFrame, base: DataFrame, k: int, earlier: bool = False, block: int = BLOCK) -> DataFrame:
+    """(g, q_id, novelty, n_near): the mean distance to the k most similar rows of base, or to all where there are fewer; no row where there is none.
+
+    A pair of blocks sends one row a query, its k best similarities.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, q_ids, _, sim in _products(batches, earlier):
+            best = -np.partition(-sim, k - 1, axis=1)[:, :k] if sim.shape[1] > k else sim
+            seen = np.isfinite(best)
+            some = seen.any(1)
+            if some.any():
+                ends = np.concatenate([[0], np.cumsum(seen[some].sum(1))]).astype(np.int32)
+                sims = pa.ListArray.from_arrays(pa.array(ends), pa.array(best[some][seen[some]]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), g, np.int64)), pa.array(q_ids[some]), sims], ["g", "q_id", "sims"])
+
+    found = _block_pairs(queries, base, earlier, block).mapInArrow(run, "g bigint, q_id bigint, sims array<double>")
+    best = found.groupBy("g", "q_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("sims")), asc=False), 1, k).alias("sims"))
+    mean = F.aggregate("sims", F.lit(0.0), lambda s, x: s + (1 - x)) / F.size("sims")
+    return best.select("g", "q_id", mean.alias("novelty"), F.size("sims").cast("long").alias("n_near"))
+
+
 def _best(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, value) of each row's k largest; ties by id. Columns come in any order."""
     if sim.shape[1] > k:
@@ -81,15 +110,10 @@ def knn_graph(archive: DataFrame, k: int) -> DataFrame:
     return out.select(F.col("q_id").alias("row_id"), F.col("b_id").alias("nb_row"), "sim", F.col("rank").alias("nn_rank"))
 
 
-def mean_of_nearest(found: DataFrame, keys: list[str]) -> DataFrame:
-    """Novelty: the mean distance to the rows that were found, all of min(j, history)."""
-    return found.groupBy(*keys).agg(F.avg(1 - F.col("sim")).alias("novelty"), F.count("*").alias("n_near"))
-
-
 def replay_novelty(visits: DataFrame, j: int, block: int = 512) -> DataFrame:
     """(agent_id, step, novelty, n_near) of visits (agent_id, step, embedding): against the agent's earlier steps; no row where there is none."""
     rows = visits.select(F.col("agent_id").alias("g"), F.col("step").cast("long").alias("id"), F.col("step").cast("long").alias("ord"), F.col("embedding").alias("vec"))
-    out = mean_of_nearest(top_similar(rows, rows, j, earlier=True, block=block), ["g", "q_id"])
+    out = nearest_means(rows, rows, j, earlier=True, block=block)
     return out.select(F.col("g").alias("agent_id"), F.col("q_id").alias("step"), "novelty", "n_near")
 
 
@@ -100,5 +124,12 @@ def novelty_against(candidates: DataFrame, history: DataFrame, j: int) -> DataFr
         d.select(F.col("agent_id").alias("g"), F.col("row_id").alias("id"), (F.row_number().over(order) - 1).cast("long").alias("ord"), F.col("embedding").alias("vec"))
         for d in (candidates, history)
     ]
-    out = mean_of_nearest(top_similar(*rows, j), ["g", "q_id"])
+    out = nearest_means(*rows, j)
     return out.select(F.col("g").alias("agent_id"), F.col("q_id").alias("row_id"), "novelty", "n_near")
+
+
+def for_each(agents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Every agent with every item, block by block of items (row_id, ...): what a ceiling over the whole archive is asked of."""
+    last = items.agg(F.floor(F.max("row_id") / block).cast("int")).first()[0]
+    asked = agents.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(last or 0))))
+    return asked.join(items.withColumn("_block", F.floor(F.col("row_id") / block).cast("int")), "_block").drop("_block")

@@ -14,8 +14,6 @@ from novelspark.plans.fixtures import view
 from novelspark.plans.walks import sql
 
 K, J, M, T, SEED = 50, 15, 5, 0.05, 42
-#: Each agent's history of a step that is scored: its first HISTORY visits.
-HISTORY = 10
 
 
 def knn_graph(spark, d):
@@ -34,7 +32,8 @@ def nearest_in_archive(spark, d):
 
 
 def _history(spark, d):
-    return view(spark, d, "visits").where(F.col("step") < HISTORY).select("agent_id", "step", "row_id")
+    """What each agent has visited when the step that is scored comes: all of its visits."""
+    return view(spark, d, "visits").select("agent_id", "step", "row_id")
 
 
 def _current(spark, d):
@@ -123,9 +122,9 @@ def taste_update(spark, d):
 
 
 def archive_ceiling(spark, d):
-    """The most novel unvisited item for each agent's first visits."""
+    """The most novel unvisited item for each agent."""
     archive, history = view(spark, d, "archive").select("row_id", "embedding"), _history(spark, d)
-    every = history.select("agent_id").distinct().join(archive, how="cross")
+    every = similarity.for_each(history.select("agent_id").distinct(), archive)
     fresh = every.join(history.select("agent_id", "row_id"), ["agent_id", "row_id"], "left_anti")
     scored = similarity.novelty_against(fresh, history.join(archive, "row_id"), J).withColumn("novelty", F.round("novelty", 9))
     w = Window.partitionBy("agent_id").orderBy(F.desc("novelty"), "row_id")
@@ -133,14 +132,15 @@ def archive_ceiling(spark, d):
 
 
 def probe_report(spark, d):
-    """Each outside vector as a probe (label below 5) or control, scored against the first agent's visits: novelty, nearest item."""
-    agent = view(spark, d, "visits").agg(F.min("agent_id").alias("agent_id"))
-    history = with_items(_history(spark, d).join(F.broadcast(agent), "agent_id"), view(spark, d, "archive"), "embedding")
-    probes = _external(spark, d).join(F.broadcast(agent))
+    """Outside vectors as probes (label below 5) or controls, scored against each agent's visits: novelty, best one, nearest item."""
+    history = with_items(_history(spark, d), view(spark, d, "archive"), "embedding")
+    probes = similarity.for_each(history.select("agent_id").distinct(), _external(spark, d))
     kind = view(spark, d, "archive").select("row_id", F.when(F.col("class_label").cast("int") < 5, "probe").otherwise("control").alias("kind"))
-    scored = similarity.novelty_against(probes, history, J).join(kind, "row_id").join(nearest_in_archive(spark, d).withColumnRenamed("row_id", "nearest").withColumnRenamed("query_row", "row_id"), "row_id")
-    out = scored.groupBy("agent_id", "kind").agg(F.count("*").alias("n"), F.avg("novelty").alias("mean_novelty"), F.max_by("row_id", F.struct(F.round("novelty", 9), -F.col("row_id"))).alias("best"), F.avg("sim").alias("mean_nearest_sim"))
-    return rounded(out.withColumn("mean_nearest_sim", F.round("mean_nearest_sim", 5)))
+    nearest = nearest_in_archive(spark, d).select(F.col("query_row").alias("row_id"), "sim")
+    scored = similarity.novelty_against(probes, history, J).join(kind, "row_id").join(nearest, "row_id")
+    best = F.max_by("row_id", F.struct(F.round("novelty", 9), -F.col("row_id")))
+    out = scored.groupBy("agent_id", "kind").agg(F.count("*").alias("n"), F.avg("novelty").alias("mean_novelty"), best.alias("best"), F.round(F.avg("sim"), 5).alias("mean_nearest_sim"))
+    return rounded(out)
 
 
 def locality_profile(spark, d):
@@ -219,7 +219,7 @@ _MORE = {
     "graph": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY sim DESC, nb_row) AS nn_rank FROM sims) q WHERE nn_rank <= {K + 1}",
     "outside": "SELECT row_id, list_reverse(embedding) AS embedding FROM archive",
     "nearest": f"SELECT a.row_id AS query_row, b.row_id, {_DOT} AS sim FROM outside a CROSS JOIN archive b QUALIFY row_number() OVER (PARTITION BY a.row_id ORDER BY {_DOT} DESC, b.row_id) = 1",
-    "history": f"SELECT agent_id, step, row_id FROM visits WHERE step < {HISTORY}",
+    "history": "SELECT agent_id, step, row_id FROM visits",
     "current": "SELECT agent_id, max(step) + 1 AS step, max_by(row_id, step) AS at FROM history GROUP BY agent_id",
     "slots": f"""SELECT agent_id, step, s AS slot, cast(floor((('0x' || substr(md5(concat('{SEED}|', agent_id, '|', step, '|', s)), 1, 13))::BIGINT + 0.5e0) / 4503599627370496.0e0 * (SELECT count(*) FROM embeddings)) AS BIGINT) AS row_id
  FROM current CROSS JOIN (SELECT unnest(range({4 * M})) AS s) t""",
@@ -237,8 +237,10 @@ _MORE = {
  FROM log l JOIN archive a ON l.row_id = a.row_id JOIN tastes t ON t.agent_id = l.agent_id WHERE l.step > 0""",
     "updated": "SELECT *, list_transform(list_zip(taste, e), lambda z: 0.7e0 * z[1] + 0.3e0 * novelty * z[2]) AS u FROM tasted WHERE taste IS NOT NULL",
     "fresh": "SELECT g.agent_id, a.row_id, a.embedding FROM (SELECT DISTINCT agent_id FROM history) g CROSS JOIN archive a WHERE NOT EXISTS (SELECT 1 FROM history h WHERE h.agent_id = g.agent_id AND h.row_id = a.row_id)",
-    "ceiling": f"SELECT agent_id, row_id, round(avg(1 - sim), 9) AS novelty FROM (SELECT a.agent_id, a.row_id, {_DOT} AS sim FROM fresh a JOIN history h ON h.agent_id = a.agent_id JOIN archive b ON b.row_id = h.row_id) q GROUP BY agent_id, row_id",
-    "probed": f"SELECT h.agent_id, a.row_id, avg(1 - {_DOT}) AS novelty FROM outside a CROSS JOIN (SELECT * FROM history WHERE agent_id = (SELECT min(agent_id) FROM visits)) h JOIN archive b ON b.row_id = h.row_id GROUP BY h.agent_id, a.row_id",
+    "ceiling": f"""SELECT agent_id, row_id, round(avg(1 - sim), 9) AS novelty FROM (SELECT a.agent_id, a.row_id, {_DOT} AS sim, row_number() OVER (PARTITION BY a.agent_id, a.row_id ORDER BY {_DOT} DESC, h.row_id) AS rk
+ FROM fresh a JOIN history h ON h.agent_id = a.agent_id JOIN archive b ON b.row_id = h.row_id) q WHERE rk <= {J} GROUP BY agent_id, row_id""",
+    "probed": f"""SELECT agent_id, row_id, avg(1 - sim) AS novelty FROM (SELECT h.agent_id, a.row_id, {_DOT} AS sim, row_number() OVER (PARTITION BY h.agent_id, a.row_id ORDER BY {_DOT} DESC, h.row_id) AS rk
+ FROM outside a CROSS JOIN history h JOIN archive b ON b.row_id = h.row_id) q WHERE rk <= {J} GROUP BY agent_id, row_id""",
     "unit": "SELECT row_id, prow, pcol, list_transform(pvec::DOUBLE[], lambda x: x / greatest(sqrt(list_dot_product(pvec::DOUBLE[], pvec::DOUBLE[])), 1e-12)) AS u FROM patches",
     "seen": "SELECT v.agent_id, v.step, p.prow, p.pcol, p.u FROM visits v JOIN unit p ON p.row_id = v.row_id",
     "patch_sims": """SELECT a.agent_id, a.step, a.prow, a.pcol, round(list_dot_product(a.u, b.u), 9) AS sim, b.step * 4 + b.prow * 2 + b.pcol AS b_id FROM seen a LEFT JOIN seen b ON b.agent_id = a.agent_id AND b.step < a.step""",
