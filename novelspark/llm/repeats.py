@@ -35,7 +35,7 @@ from novelspark.llm.rolling import U, Prefixes, mixed, sliding_minimum
 
 LENGTH, ANCHOR = 100, 32
 #: Bytes of text that are parsed at once, and places that a task packs at once.
-CHUNK, PLACES = 1 << 20, 1_000_000
+CHUNK, PLACES = 1 << 20, 400_000
 HOT = 100_000
 _LOW = (1 << 30) - 1
 _NULL_KEY = -(1 << 63)
@@ -209,7 +209,7 @@ def _phrases(buckets: list[int], length: int, anchor: int):
     width = reach + length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 2048):
+        for batch in small(batches, 512):
             k, t = batch.column("k").to_pylist(), batch.column("t").to_pylist()
             parts, windows = [], []
             for i, (text, asks) in enumerate(zip(batch.column("text").to_pylist(), batch.column("asks").to_pylist(), strict=True)):
@@ -240,7 +240,7 @@ def _phrases(buckets: list[int], length: int, anchor: int):
     return run
 
 
-def _order_windows(length: int, anchor: int, rows: int = 16_384):
+def _order_windows(length: int, anchor: int, rows: int = 4_096):
     """Windows of a partition's phrases, or of hot triggers: those with an earlier equal, as runs."""
     reach = length - anchor
     width = reach + length

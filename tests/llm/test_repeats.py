@@ -1,8 +1,11 @@
 import hashlib
 import random
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
+from novelspark.llm import repeats
 from novelspark.llm.repeats import op10_suffix_dedup, remove_repeats
 
 
@@ -66,3 +69,32 @@ def test_query_on_documents(spark):
         for a, b in reversed(own):
             del kept[a:b]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(data), len(data) - len(kept), len(own), hashlib.sha256(kept).hexdigest())
+
+
+def test_many_flushes_and_slices(monkeypatch):
+    """The tasks' functions chained in this process, with tiny bounds on what a task holds."""
+    monkeypatch.setattr(repeats, "PLACES", 40)
+    monkeypatch.setattr(repeats, "CHUNK", 150)
+    rows = [(k, t or "") for k, t in corpus(9, "abc", 50) if k is not None]
+    length, anchor = 24, 8
+    schema = pa.schema([("k", pa.int64()), ("t", pa.int32()), ("text", pa.string())])
+    docs = [pa.RecordBatch.from_pylist([{"k": k, "t": 0, "text": t} for k, t in rows[i : i + 9]], schema) for i in range(0, len(rows), 9)]
+    buckets = [3, 5]
+
+    def dealt(blocks):
+        blocks = list(blocks)
+        return [[b.filter(pa.compute.equal(b.column("bucket"), n)) for b in blocks] for n in buckets]
+
+    entries = [r for part in dealt(repeats._parse(buckets, length, anchor)(iter(docs))) for b in repeats._order_entries(length, anchor, 3)(iter(part)) for r in b.to_pylist()]
+    asks = {}
+    for r in entries:
+        if r["h"] is not None:
+            asks.setdefault(r["k"], []).append({n: r[n] for n in ("start", "end", "h")})
+    ask = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("h", pa.int64())])
+    asked = pa.RecordBatch.from_pylist([{"k": k, "t": 0, "text": t, "asks": asks[k]} for k, t in rows if k in asks], pa.schema([*schema, ("asks", pa.list_(ask))]))
+    windows = [r for part in dealt(repeats._phrases(buckets, length, anchor)(iter([asked]))) for b in repeats._order_windows(length, anchor, 16)(iter(part)) for r in b.to_pylist()]
+    gone = {}
+    for r in [r for r in entries if r["h"] is None] + windows:
+        gone.setdefault(r["k"], []).append(r)
+    want = brute(rows, length)
+    assert {k: [repeats._merged(gone.get(k, []), len(t.encode()))] for k, t in rows} == want
