@@ -27,6 +27,7 @@ from novelspark.llm.graph import connected_components
 
 SEED = 42
 _QUARTERS, _LEVELS = 4, 17
+PLACE = ["_none", "_key", "_t"]
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -47,17 +48,19 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(total * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(key, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", words: int = 3, hashed: bool = False) -> DataFrame:
+    """(key, fp): fp is the fingerprint as a signed long. With hashed also t, the text's hash."""
     ship(docs.sparkSession)
-    plain = docs.select(F.col(key_col).cast("long").alias("key"), text_or_empty(text_col).alias("text"))
+    text = text_or_empty(text_col)
+    carried = ["key", "t"] if hashed else ["key"]
+    plain = docs.select(F.col(key_col).cast("long").alias("key"), *([F.xxhash64(text).alias("t")] if hashed else []), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             fp = np.array([fingerprint(t.encode(), words) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fp.view(np.int64))], ["key", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, carried), pa.array(fp.view(np.int64))], [*carried, "fp"])
 
-    return plain.mapInArrow(run, "key bigint, fp bigint")
+    return plain.mapInArrow(run, ", ".join(f"{c} bigint" for c in [*carried, "fp"]))
 
 
 def _cell(fp: Column) -> Column:
@@ -140,23 +143,42 @@ def near_links(classes: DataFrame, radius: int = 3, tile: int = 1024) -> DataFra
 
 def near_duplicates(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
     """(key, fp, component): component is the least key that links of fingerprints within radius bits reach."""
+    return _labelled(docs, key_col, text_col, words, radius, False).select("key", "fp", "component")
+
+
+def _labelled(docs: DataFrame, key_col: str, text_col: str, words: int, radius: int, hashed: bool) -> DataFrame:
+    """near_duplicates with label, which names the component where all its keys are null; with hashed also t, the text's hash."""
     ship(docs.sparkSession)
-    rows = stored(fingerprints(docs, key_col, text_col, words), "fingerprints")
+    rows = stored(fingerprints(docs, key_col, text_col, words, hashed), "fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min("key").alias("least")), "classes")
     labels = connected_components(near_links(classes, radius))
     labelled = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     component = labelled.groupBy("label").agg(F.min("least").alias("component"))
-    of = labelled.join(component, "label").select("fp", "component")
-    return rows.join(of, "fp").select("key", "fp", "component")
+    of = labelled.join(component, "label").select("fp", "label", "component")
+    return rows.join(of, "fp")
+
+
+def place(key: Column, t: Column) -> list[Column]:
+    """Key and text hash as columns without nulls, so that rows with a null key are dealt by their texts."""
+    return [c.alias(n) for c, n in zip((key.isNull(), F.coalesce(key, F.lit(0)), t), PLACE, strict=True)]
+
+
+def least_rows(docs: DataFrame, found: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component of found (key, t, component; t the text's xxhash64, null as empty): the row with the least key, then t; null keys come last.
+
+    Rows meet by key and text together. Rows that repeat both are in one component.
+    """
+    least = found.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "t")).alias("least"))
+    least = least.select(*place(F.col("least.key"), F.col("least.t")))
+    kept = docs.select("*", *place(docs[key_col].cast("long"), F.xxhash64(text_or_empty(text_col)))).join(least, PLACE, "left_semi")
+    first = Window.partitionBy(*PLACE).orderBy(F.lit(0))
+    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
 
 
 def keep_one(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """docs without the rows whose key isn't the least of its group. Rows with a null key stay only where their group has no other key; of rows that repeat a key one stays."""
-    found = near_duplicates(docs, key_col, text_col, words, radius)
-    keys = found.where(F.col("key").eqNullSafe(F.col("component"))).select(F.col("key").alias("_kept")).distinct()
-    kept = docs.join(keys, docs[key_col].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    first = Window.partitionBy(key_col).orderBy(F.xxhash64(text_col))
-    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    """docs with just one row of each group: the one with the least key, then text hash. A row with a null key stays only where its group has no other key."""
+    found = _labelled(docs, key_col, text_col, words, radius, True)
+    return least_rows(docs, found.select("key", "t", F.col("label").alias("component")), key_col, text_col)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

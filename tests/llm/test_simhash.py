@@ -85,3 +85,11 @@ def test_long_chain_and_hub(spark):
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(201)} | {i: 1000 for i in range(1000, 1501)}
     assert np.unique(list(got.values())).tolist() == [0, 1000]
+
+
+def test_keep_one_keeps_one_row_of_each_group_under_null_and_repeated_keys(spark):
+    texts = ["alpha beta gamma delta one", "red green blue yellow two", "sun moon stars planets three"]
+    rows = [(None, t) for t in texts] + [(None, texts[0])] + [(4, "up down left right four"), (4, "north south east west five"), (4, "north south east west five")]
+    rows += [(None, "salt pepper oil vinegar six"), (7, "salt pepper oil vinegar six")]
+    got = [(r["doc_id"], r["text"]) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got, key=str) == sorted(set(rows) - {(None, "salt pepper oil vinegar six")}, key=str)
