@@ -1,0 +1,148 @@
+"""Near copies by exact Jaccard similarity of word shingles, for the pipeline's near-dedup stage.
+
+Operator 3's fingerprints of three words within 3 bits miss most pairs of similarity 0.8 to 0.95, and a radius that finds
+them (about 18 bits) leaves no cell of fingerprints unseen. Candidates are therefore found by MinHash: ``bands`` bands of
+``rows`` minima each, two texts are candidates where all minima of a band agree. A pair at exactly 0.8 shares no band with
+probability (1 - 0.8 ** 6) ** 40 = 5e-6, a closer one far less. Every candidate pair is verified on the whole shingle
+sets, so a link is a similarity of at least 0.8, never an estimate.
+
+Texts that are equal but for A-Z and white space are one class (64-bit hash) and enter once. A band's classes are first
+compared with one of them; only those that this leaves in different components are then compared with each other, so a
+large group of near copies costs a row a member and band, not a row a pair. A class's texts of fewer words than a shingle
+have one shingle, the whole text; texts without a word are one class. A null text counts as empty.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from novelspark.llm.common import ship, small, stored, text_or_empty
+from novelspark.llm.graph import connected_components
+from novelspark.llm.simhash import PLACE, SEED, least_rows, place
+
+WORDS, BANDS, ROWS_A_BAND = 5, 40, 6
+_CHUNK = 1024
+
+
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct XXH64 of the shingles of the text, A-Z lower-cased; none for a text without a word."""
+    found = text.lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(found)
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: max(1, len(found) - words + 1)].tolist()
+    ends = ends[words - 1 :].tolist() or [len(joined)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64))
+
+
+def _minima(found: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(found), _CHUNK):
+        np.minimum(least, (found[None, i : i + _CHUNK] * factors[:, None] + offsets[:, None]).min(1), out=least)
+    return least
+
+
+def _signed(n: int) -> int:
+    return n - (1 << 64) if n >> 63 else n
+
+
+def _sketches(words: int, bands: int, rows: int):
+    draw = np.random.default_rng(SEED)
+    factors, offsets = (draw.integers(0, 1 << 64, bands * rows, np.uint64) for _ in range(2))
+    factors |= np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            c, size, found = [], [], []
+            for text in batch.column("text").to_pylist():
+                text = text.encode()
+                s = shingles(text, words)
+                c.append(_signed(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED)))
+                size.append(len(s))
+                least = _minima(s, factors, offsets).tobytes()
+                found.append([_signed(xxhash.xxh64_intdigest(least[i * 8 * rows : (i + 1) * 8 * rows], i)) for i in range(bands)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("t"), pa.array(c, pa.int64()), pa.array(size, pa.int32()), pa.array(found, pa.list_(pa.int64()))],
+                ["key", "t", "c", "size", "bands"],
+            )
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            found = [shingles(t.encode(), words).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(found, pa.list_(pa.int64()))], ["c", "found"])
+
+    return run
+
+
+def _similar(numerator: int, denominator: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 1024):
+            sides = []
+            for name in ("x", "y"):
+                column = batch.column(name)
+                sides.append((column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()))
+            (xs, xo), (ys, yo) = sides
+            keep = []
+            for r in range(batch.num_rows):
+                x, y = xs[xo[r] : xo[r + 1]], ys[yo[r] : yo[r + 1]]
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(denominator * shared >= numerator * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
+    """Those of pairs (a, b) whose shingle sets are similar enough. docs: (key, t, text)."""
+    needed = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+    needed = classes.join(needed, "c", "left_semi").select("c", *place(F.col("least.key"), F.col("least.t")))
+    # One text a class: rows that repeat both key and text are the same text.
+    texts = docs.select("text", *place(F.col("key"), F.col("t"))).join(needed, PLACE).dropDuplicates(PLACE)
+    sets = stored(texts.select("c", "text").mapInArrow(_sets(words), "c bigint, found array<bigint>"), "shingle-sets")
+    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("found").alias("y")), "b")
+    return stored(both.select("a", "b", "x", "y").mapInArrow(_similar(numerator, denominator), "a bigint, b bigint"), "similar")
+
+
+def near_copies(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", words: int = WORDS, numerator: int = 4, denominator: int = 5) -> DataFrame:
+    """(key, t, component) for each row of docs: t hashes the text; component names those rows that chains of Jaccard similarities of at least numerator / denominator connect."""
+    ship(docs.sparkSession)
+    text = text_or_empty(text_col)
+    plain = docs.select(F.col(key_col).cast("long").alias("key"), F.xxhash64(text).alias("t"), text.alias("text"))
+    rows = stored(plain.mapInArrow(_sketches(words, BANDS, ROWS_A_BAND), "key bigint, t bigint, c bigint, size int, bands array<bigint>"), "sketches")
+    least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "t")).alias("least")
+    classes = stored(rows.groupBy("c").agg(least), "text-classes")
+    members = rows.where("size > 0").select("c", "size", F.explode("bands").alias("band")).distinct()
+    crowds = members.groupBy("band").agg(F.min(F.struct("c", "size")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    members = stored(members.join(crowds.select("band", "lead"), "band"), "bands")
+    fits = denominator * F.least("size", "size2") >= numerator * F.greatest("size", "size2")
+    star = members.select(F.col("lead.c").alias("a"), F.col("lead.size").alias("size2"), F.col("c").alias("b"), "size").where((F.col("a") != F.col("b")) & fits)
+    star = stored(star.select("a", "b").distinct(), "candidates")
+    links = _verified(star, plain, classes, words, numerator, denominator)
+    labels = connected_components(links).withColumnRenamed("node", "c")
+    labelled = members.join(labels, "c", "left").select("band", "c", "size", F.coalesce("label", "c").alias("label"))
+    apart = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+    left = stored(labelled.join(apart, "band", "left_semi"), "apart")
+    other = left.select("band", F.col("c").alias("c2"), F.col("size").alias("size2"), F.col("label").alias("label2"))
+    rest = left.join(other, "band").where((F.col("c") < F.col("c2")) & (F.col("label") != F.col("label2")) & fits)
+    rest = stored(rest.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "candidates")
+    links = links.unionByName(_verified(rest, plain, classes, words, numerator, denominator))
+    labels = connected_components(links).withColumnRenamed("node", "c")
+    return rows.join(labels, "c", "left").select("key", "t", F.coalesce("label", "c").alias("component"))
+
+
+def keep_one_near_copy(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """docs with just one row of each component of near_copies: the one with the least key, then text hash."""
+    return least_rows(docs, near_copies(docs, key_col, text_col, words), key_col, text_col)
