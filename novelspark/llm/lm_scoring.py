@@ -1,15 +1,15 @@
 """Scores texts with word counts of the corpus and a gated recurrent language model (gru.GRU).
 
 Counts. Every training text is counted. Words are dealt by hash, in packed blocks; a head of frequent words, at most
-``head`` of them, named by a sample of ``sample`` documents, is counted in place in each task, so that hot words aren't
+``head`` of them by the counts of all training texts, is counted in place in each task, so that hot words aren't
 shuffled. Which words are in the head changes no result of the counts. The tasks that hold a tail word's rows send back,
 for each document, the sum over its tail words.
 
 Model. The symbols are the most frequent words, the end, and classes of all other words by their last letters. A word
 outside the vocabulary has its class's probability times its share, by the corpus's counts, of the class. The symbols'
 probabilities start from the counts of all training texts. The weights are trained first on the training texts among
-sample documents, then once more, in every partition by itself, on one in ``share`` of all its training texts; the
-partitions' weights are averaged. Scoring runs over every whole text, with the state carried from window to window.
+``sample`` documents, then, in every partition by itself, on all its training texts, dealt over ``rounds``; after each
+round the partitions' weights are averaged. Scoring runs over every whole text, with the state carried from window to window.
 
 A null text counts as empty; an empty text is its end token. A null key's fold is that of the empty string. Repeated
 rows count each. Columns besides key and text are not read.
@@ -258,8 +258,8 @@ def _symbols(batches: Iterator[pa.RecordBatch], corpus: Corpus) -> Iterator[list
             yield corpus.texts(row, symbol, rows.stop - rows.start)
 
 
-def train(rows: DataFrame, corpus: Corpus, sample_one_in: int, share: int, lanes: int = 64, window: int = 16, rate: float = 0.01, local_rate: float = 0.0005) -> GRU:
-    """rows (k, learn, text). First the sample's training texts, here; then one in share of every partition's, there."""
+def train(rows: DataFrame, corpus: Corpus, sample_one_in: int, share: int = 1, lanes: int = 64, window: int = 16, rate: float = 0.01, local_rate: float = 0.003, rounds: int = 4) -> tuple[GRU, int]:
+    """rows (k, t, learn, text). First the sample's training texts, here; then one in share (by default all) of every partition's, there, dealt over rounds. Also returns the number of tokens that the rounds learnt from."""
     spark = rows.sparkSession
     known = spark.sparkContext.broadcast(corpus)
     learnt = rows.where("learn")
@@ -271,27 +271,37 @@ def train(rows: DataFrame, corpus: Corpus, sample_one_in: int, share: int, lanes
     sample = sorted(bytes(r["symbols"]) for r in learnt.where(_one_in(sample_one_in)).select("text").mapInArrow(gather, "symbols binary").collect())
     model = GRU.new(corpus.symbol_counts, CLASSES, HIDDEN)
     if not sample:
-        return model
+        return model, 0
     model.train([np.frombuffer(s, np.int16).astype(np.int32) for s in sample], corpus.end, lanes, window, rate)
-    begun = spark.sparkContext.broadcast(model)
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [t for part in _symbols(batches, known.value) for t in part]
-        if texts:
-            own = GRU({k: v.copy() for k, v in begun.value.p.items()}, CLASSES)
-            n = own.train(texts, known.value.end, lanes, window, local_rate)
-            yield _weights(n, own.p)
+    def local(begun):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            texts = [t for part in _symbols(batches, known.value) for t in part]
+            if texts:
+                own = GRU({k: v.copy() for k, v in begun.value.p.items()}, CLASSES)
+                # Wider steps where there are tokens for a hundred of them.
+                wide = min(4 * lanes, max(lanes, sum(map(len, texts)) // (100 * window)))
+                n = own.train(texts, known.value.end, wide, window, local_rate)
+                yield _weights(n, own.p)
+
+        return run
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, p = averaged((r["n"], _loaded(r["p"])) for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist())
         if p is not None:
             yield _weights(n, p)
 
-    parts = learnt.where(F.pmod(F.xxhash64("k", F.lit("share")), F.lit(share)) == 0).select("text").mapInArrow(local, "n bigint, p binary")
-    parts = stored(parts, "lm-weights")
-    few = max(1, int(parts.count() ** 0.5))
-    mean = parts.repartition(few).mapInArrow(average, "n bigint, p binary").coalesce(1).mapInArrow(average, "n bigint, p binary").collect()
-    return GRU(_loaded(mean[0]["p"]), CLASSES) if mean else model
+    shared = learnt.where(F.pmod(F.xxhash64("k", F.lit("share")), F.lit(share)) == 0)
+    seen = 0
+    for i in range(rounds):
+        mine = shared.where(F.pmod(F.xxhash64("k", "t", F.lit("round")), F.lit(rounds)) == i).select("text")
+        parts = stored(mine.mapInArrow(local(spark.sparkContext.broadcast(model)), "n bigint, p binary"), "lm-weights")
+        few = max(1, int(parts.count() ** 0.5))
+        mean = parts.repartition(few).mapInArrow(average, "n bigint, p binary").coalesce(1).mapInArrow(average, "n bigint, p binary").collect()
+        if mean:
+            model = GRU(_loaded(mean[0]["p"]), CLASSES)
+            seen += mean[0]["n"]
+    return model, seen
 
 
 def _weights(n: int, p: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -345,7 +355,7 @@ def _score(corpus, model, bytes_at_once: int = 8_000_000):
     return run
 
 
-def score(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", learn: Column | None = None, head: int = 50_000, sample: int = 1500, share: int = 8) -> DataFrame:
+def score(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", learn: Column | None = None, head: int = 50_000, sample: int = 1500, share: int = 1) -> DataFrame:
     """(key, learn, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; learn: the rows to learn from."""
     spark = docs.sparkSession
     ship(spark)
@@ -357,7 +367,7 @@ def score(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", lear
     one_in = docs.count() // sample
     n = partitions(spark)
     own = labels(spark, n)
-    top = frequent_words(rows.where(_one_in(one_in)), head)
+    top = frequent_words(rows.where("learn"), head)
     blocks = rows.mapInArrow(_count(own, top), _BLOCK_DDL).repartition(n, "bucket")
     counted = stored(blocks.mapInArrow(_sum_up(own), _COUNTED), "lm-counts")
     counts = np.zeros(len(top) + 1, np.int64)
@@ -367,7 +377,7 @@ def score(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", lear
     for r in counted.where("kind = 2").groupBy("k").agg(F.sum("n").alias("n"), F.sum("known").alias("known")).collect():
         tails[:, r["k"]] = r["n"], r["known"]
     corpus = Corpus(top, counts, *tails)
-    model = train(rows, corpus, one_in, share)
+    model, _ = train(rows, corpus, one_in, share)
     scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(corpus), spark.sparkContext.broadcast(model)), _SCORED)
     tail = counted.where("kind = 0").select("bucket", "sums").repartition(n, "bucket").mapInArrow(_add_up, "k bigint, t int, logs double, n bigint, more bigint")
     out = scored.join(tail, ["k", "t"], "left")

@@ -86,3 +86,23 @@ def test_lanes_and_windows_change_no_score():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lm_scoring.score(df).count() == 0
+
+
+def test_all_training_texts_are_learnt_from(spark, monkeypatch):
+    made = {}
+    plain = lm_scoring.train
+
+    def train(rows, corpus, *args):
+        made["model"], made["seen"] = plain(rows, corpus, *args)
+        made["corpus"] = corpus
+        return made["model"], made["seen"]
+
+    monkeypatch.setattr(lm_scoring, "train", train)
+    rows = [(k, f"common words in all texts and word{k} here") for k in range(200)]
+    # A word that is frequent only outside the sample of the first pass.
+    sampled = {r["k"] for r in spark.createDataFrame([(k,) for k in range(200)], "k long").where(lm_scoring._one_in(20)).collect()}
+    rows = [(k, t if k in sampled else t + " elsewhere elsewhere") for k, t in rows]
+    got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), sample=10).collect()
+    assert made["seen"] == got[0]["train_tokens"] == sum(r["n_tokens"] for r in got if r["learn"])
+    _, h = lm_scoring.words(np.frombuffer(b"elsewhere", np.uint8), np.array([9]))
+    assert made["corpus"].of_head[np.searchsorted(made["corpus"].head, h[0])] >= 0 and h[0] in made["corpus"].head
