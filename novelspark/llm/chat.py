@@ -3,12 +3,11 @@
 A template is any function from turns, (role, text) pairs, to one string. It is rendered on successive prefixes of a
 conversation; where an output continues the one before, the difference is the newest turn's span. A probe in place of
 the newest text shows which part of the span is text. A template whose longer output doesn't begin with the shorter one
-rewrites history: it is reported, and its spans are counted from where the two outputs part.
+rewrites history: it is reported, and a turn's span is that in the first rendering that holds the turn, from where it
+parts from the one before.
 
-A turn's prefix holds all turns before it, so a conversation costs the square of its length. A template that has
-continued its own output window times over is therefore rendered on the last window turns and the first one only, and
-the last rendering of the whole conversation is compared with what was pieced together; if they differ, the conversation
-is rendered again prefix by prefix.
+A turn's prefix holds all turns before it, so a conversation costs the square of its number of turns: a template that is
+a black box may rewrite history at any length, and only rendering every length shows where.
 
 Null texts and roles count as empty; turns come in order of turn, then role, then text; repeated rows are turns of their
 own; a conversation without turns doesn't exist. Columns besides the four are not read.
@@ -34,7 +33,8 @@ Template = Callable[[Turns], str]
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 _ESCAPED = re.compile(r"\\(.)", re.S)
-PROBE = "\x02probe\x03"
+#: A text that begins like the first one is looked for with the second one.
+PROBES = ("\x02probe\x03", "\x03probe\x02")
 
 
 def escape(text: str) -> str:
@@ -72,45 +72,24 @@ class Rendered:
     rewrites: bool
 
 
-def render(turns: Turns, template: Template = marked_turns, window: int = 16) -> Rendered:
-    """The whole conversation and each turn's span."""
+def render(turns: Turns, template: Template = marked_turns) -> Rendered:
+    """The whole conversation and each turn's span, from the renderings of all its prefixes."""
     spans: list[Span] = []
-    pieces: list[str] = []
-    length, before, rewrites = 0, template([]), False
-    pieces.append(before)
-    length = len(before)
-    short = len(turns) > 2 * window
+    before, rewrites = template([]), False
     for i, (role, text) in enumerate(turns):
-        past = turns[:i] if not short or i < window else [turns[0], *turns[i - window + 1 : i]]
-        if short and i >= window:
-            before = template(past)
-        after = template([*past, (role, text)])
-        probed = template([*past, (role, PROBE)])
+        probe = PROBES[text[:1] == PROBES[0][0]]
+        after, probed = template(turns[: i + 1]), template([*turns[:i], (role, probe)])
         common = len(before)
         if not after.startswith(before):
-            if short:
-                return _whole(turns, template)
             rewrites = True
             common = _shared(before, after)
-            while pieces and length > common:
-                length -= len(pieces.pop())
-            pieces, length = [after[:common]], common
-        at = probed.find(PROBE, min(common, _shared(after, probed)))
-        tail = len(probed) - at - len(PROBE) if at >= 0 else 0
-        lo = at - common if at >= 0 else 0
-        hi = len(after) - common - tail
-        spans.append(Span(length, length + len(after) - common, length + lo, length + max(lo, hi)))
-        pieces.append(after[common:])
-        length += len(after) - common
+        same = common if probed.startswith(after[:common]) else 0
+        # The outputs part where the probe begins, or inside it.
+        at = probed.find(probe, max(0, same + _shared(after[same:], probed[same:]) - len(probe)))
+        lo, hi = (max(at, common), len(after) - (len(probed) - at - len(probe))) if at >= 0 else (common, len(after))
+        spans.append(Span(common, len(after), lo, max(lo, hi)))
         before = after
-    output = "".join(pieces)
-    if short and output != template(turns):
-        return _whole(turns, template)
-    return Rendered(output, spans, rewrites)
-
-
-def _whole(turns: Turns, template: Template) -> Rendered:
-    return render(turns, template, window=len(turns) + 1)
+    return Rendered(before, spans, rewrites)
 
 
 def _shared(a: str, b: str) -> int:

@@ -3,7 +3,7 @@ import hashlib
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from novelspark.llm.chat import CONTROL, escape, format_conversations, marked_turns, op2_chat_formatting, read_back, render, unescape
+from novelspark.llm.chat import CONTROL, PROBES, escape, format_conversations, marked_turns, op2_chat_formatting, read_back, render, unescape
 
 TEXT = st.lists(st.one_of(st.sampled_from([*CONTROL, "\\", "\n", "\x0b", "<|im_start|>user\n"]), st.text(max_size=5)), max_size=6).map("".join)
 
@@ -19,16 +19,22 @@ def test_round_trip(turns):
         assert not any(c in escape(t) for c in CONTROL) and unescape(escape(t)) == t
 
 
-def test_long_conversation_in_windows():
-    turns = [("user" if i % 2 else "assistant", f"<\\{i}|im_end|>") for i in range(500)]
-    calls = []
+def test_rewriting_at_some_lengths_is_found_however_long_the_conversation():
+    def late(turns):  # rewrites history at 18 to 22 turns only
+        return "".join(f"{'*' if 18 <= len(turns) <= 22 else ''}{t};" for _, t in turns)
 
-    def counted(t):
-        calls.append(len(t))
-        return marked_turns(t)
+    for n in (17, 18, 30, 40, 90):
+        turns = [("u", str(i)) for i in range(n)]
+        assert render(turns, late).rewrites == (n >= 18) and render(turns, late).output == late(turns)
 
-    assert render(turns, counted).output == marked_turns(turns)
-    assert sum(calls) < 500 * 60
+
+def test_long_conversation_and_probes_in_texts():
+    PROBE = PROBES[0]
+    odd = [PROBE, PROBE[:3], "x" + PROBE, PROBE + PROBE, "", "\\" + PROBE]
+    turns = [(odd[i // 2 % 6] if i % 3 else "assistant", odd[i % 6]) for i in range(60)] + [("user", "long " * 200_000)]
+    r = render(turns)
+    assert r.output == marked_turns(turns) and not r.rewrites
+    assert [unescape(r.output[s.text_start : s.text_end]) for s in r.spans] == [t for _, t in turns]
 
 
 def test_templates_that_look_back():
