@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from novelspark.runtime import shared_dir, ship, stored
 
-__all__ = ["ROWS", "ascii_lower", "documents", "partitions", "shared_dir", "ship", "small", "stored", "text_or_empty"]
+__all__ = ["ROWS", "ascii_lower", "documents", "looked_up", "partitions", "shared_dir", "ship", "small", "stored", "text_or_empty"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -40,3 +40,19 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Re
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, by: list[str], n: str, heavy: int = 1000) -> DataFrame:
+    """Those rows whose by table has, with its other columns. table: stored, one row for each by, and in n the number of rows that have it.
+
+    A value with over 1 / heavy of all rows would fill one task of a join. There are fewer than heavy of these: they reach
+    their rows by broadcast, and the rows are dealt by themselves in the join that serves all others.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    own = F.struct(*[c for c in table.columns if c not in by])
+    often = table.where(F.col(n) > max(10_000, total / heavy)).select(*by, own.alias("_often"))
+    met = rows.join(F.broadcast(often), by, "left")
+    met = met.withColumn("_own", F.when(F.col("_often").isNotNull(), 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30))).otherwise(F.lit(0).cast("long")))
+    others = table.select(*by, own.alias("_met"), F.least(F.col(n), F.lit(0)).cast("long").alias("_own"))
+    met = met.join(others, [*by, "_own"], "left").withColumn("_met", F.coalesce("_often", "_met")).where("_met is not null")
+    return met.select(*rows.columns, "_met.*")

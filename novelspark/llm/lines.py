@@ -1,14 +1,23 @@
 """Line dedup: a suffix array over line-ID sequences by distributed prefix doubling.
 
-A line's ID is its rank among all repeated lines; round k ranks the windows of 2**(k+1) lines from the ranks of their
-halves, in order, so that the last round's rank sorts the suffixes by their first ``depth`` lines. Windows with one rank
-are an interval of the array whose longest common prefix is at least the window. In every interval of depth 1, 2, 4, ...
-depth, all windows but the corpus's first are later copies; where such a window holds min_chars characters or more, its
-lines go. A longer repeated run is the union of its windows. A window with a line that occurs once is unique, so only
-repeated lines and windows take part in the rounds.
+A run of lines goes if the same lines stand earlier in the corpus and hold min_chars characters or more together; the
+lines that go are those of all maximal such runs, of whatever length, whether they overlap or not.
 
-All of it is DataFrame functions. Ranks come from a range-partitioned sort; no step gathers a document's text, and a
-rank's rows are combined before the shuffle or split by the join. Each round is written to the shared folder.
+A line's ID is its rank among all repeated lines. Each round ranks windows of twice as many lines by the ranks of their
+halves, in order, so that the ranks of round j are the suffixes' order by their first 2**j lines. The suffixes that share
+their first m lines, an interval of the array whose longest common prefix is m or more, are those with equal ranks of the
+two windows of 2**j lines, 2**j < m <= 2**(j + 1), that cover these m lines.
+
+Which m matter: the shortest window from each line on that holds min_chars characters, and the shortest one up to each
+line. Every run with min_chars characters is the union of such windows inside it (a line from which too little is left to
+the run's end lies in the shortest window up to that end), and each of them repeats where the run does, for a window's
+text alone decides that it is shortest. So a maximal run goes just where one of its windows is a later copy, deeper ranks
+than the longest shortest window asks for can't change what goes, and doubling ends there. Lines that occur once interrupt
+every run and take no part.
+
+All of it is DataFrame functions. Ranks come from a range-partitioned sort; no step gathers a document's text; a rank's
+rows are combined before the shuffle, and very frequent ranks (the empty line) reach their rows by broadcast. Each round
+is written to the shared folder.
 
 The corpus's order is by key, then line. A null text counts as empty, which is one empty line; a null key comes first.
 Rows that repeat a key are the same place in this order: they aren't each other's earlier copy. Lines end at \\n only
@@ -17,65 +26,117 @@ and are compared as they are. Other columns of the input are kept as they are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from novelspark.llm.common import documents, partitions, stored, text_or_empty
+from novelspark.llm.common import documents, looked_up, partitions, stored, text_or_empty
 
-DEPTH, MIN_CHARS = 8, 20
+MIN_CHARS = 20
 
 
-def _place() -> Column:
-    return F.struct(F.col("k").isNotNull(), "k", "n")
+def _place(line: str) -> Column:
+    return F.struct(F.col("k").isNotNull(), "k", line)
 
 
-def _ranked(rows: DataFrame, by: list[str], window: int, min_chars: int) -> DataFrame:
-    """rows (k, t, n, chars, reach, *by) whose by is repeated, with its rank r; reach grows to window where an earlier copy is found.
+def _repeated(rows: DataFrame, by: list[str], line: str, ranked: bool = False) -> DataFrame:
+    """rows (k, t, line, *by) whose by is repeated, with later: an equal one stands before. ranked: also with r, the rank of by.
 
     Range partitions are sorted, so that partition number and row number together follow the order of by.
     """
-    first = rows.groupBy(*by).agg(F.min(_place()).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    ranks = first.repartitionByRange(partitions(rows.sparkSession), *by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id())
-    ranks = stored(ranks, "line-ranks")
-    later = (_place() > F.col("first")) & (F.col("chars") >= min_chars)
-    return rows.join(ranks, by).select("k", "t", "n", "chars", F.when(later, F.lit(window)).otherwise(F.col("reach")).alias("reach"), F.col("rank").alias("r"))
+    first = rows.groupBy(*by).agg(F.min(_place(line)).alias("first"), F.count("*").alias("c")).where("c > 1")
+    if ranked:
+        first = first.repartitionByRange(partitions(rows.sparkSession), *by).sortWithinPartitions(*by).withColumn("r", F.monotonically_increasing_id())
+    met = looked_up(rows, stored(first, "line-ranks"), by, "c")
+    return met.withColumn("later", _place(line) > F.col("first")).drop("first", "c")
+
+
+def _of_document(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right on k (null or not), t and the columns on."""
+    right = right.withColumnRenamed("k", "k_").withColumnRenamed("t", "t_").withColumnsRenamed({c: c + "_" for c in on})
+    same = F.col("k").eqNullSafe(F.col("k_"))
+    for c in ("t", *on):
+        same = same & (F.col(c) == F.col(c + "_"))
+    return left.join(right, same, how).drop("k_", "t_", *[c + "_" for c in on])
 
 
-def repeated_lines(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_chars: int = MIN_CHARS) -> DataFrame:
+def _shortest_windows(rows: DataFrame, min_chars: int) -> DataFrame:
+    """(k, t, s, e, a, b, settled) from repeated lines (k, t, n, chars, r, later): the shortest windows of min_chars characters or more.
+
+    settled: a line that is such a window by itself, and a later copy. Other windows of one line aren't listed. a, b: the ranks of a window's lines if it has two.
+
+    A document's lines take places on a scale of characters, ends (kind 0), starts (1) and the places where a window from
+    a line on (2), or up to it (3), reaches min_chars. In order along the scale the last end or start met is the answer.
+    A window over a line that isn't repeated is none; lines without one between them have the same block.
+    """
+    doc = Window.partitionBy("k", "t").orderBy("n")
+    rows = rows.repartition("k", "t").dropDuplicates(["k", "t", "n"])
+    rows = rows.select(
+        "*", (F.col("n") - F.row_number().over(doc)).alias("block"), F.sum(F.col("chars").cast("long")).over(doc.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
+        F.lag("r").over(doc).alias("before"), F.lead("r").over(doc).alias("after"),
+    )
+    none, start = F.lit(None).cast("long"), F.col("upto") - F.col("chars")
+
+    def event(value: Column, kind: int, place: Column, a: Column = none, b: Column = none) -> Column:
+        return F.struct(value.alias("value"), F.lit(kind).alias("kind"), place.cast("int").alias("place"), a.alias("a"), b.alias("b"))
+
+    n, alone = F.col("n"), F.col("chars") >= min_chars
+    ends = F.array(event(F.col("upto"), 0, n + 1), event(start, 1, n))
+    asked = F.array(event(start + min_chars, 2, n, F.col("r"), F.col("after")), event(F.col("upto") - min_chars, 3, n + 1, F.col("before"), F.col("r")))
+    own = F.array(event(start, 4, n))
+    events = F.when(~alone, F.concat(ends, asked)).when(F.col("later"), F.concat(ends, own)).otherwise(ends)
+    events = rows.select("k", "t", "block", F.explode(events).alias("x")).select("k", "t", "block", "x.*")
+    scale = Window.partitionBy("k", "t")
+    place = F.struct("place", "block")
+    down = scale.orderBy(F.desc("value"), F.col("kind") != 0, F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+    up = scale.orderBy("value", F.col("kind") != 1, "place").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumn("end", F.last(F.when(F.col("kind") == 0, place), True).over(down))
+    events = events.where("kind <> 0").withColumn("start", F.last(F.when(F.col("kind") == 1, place), True).over(up)).where("kind > 1")
+    kind = F.col("kind")
+    other = F.when(kind == 2, F.col("end")).when(kind == 3, F.col("start"))
+    found = events.where((kind == 4) | (other["block"] == F.col("block")))
+    return found.select(
+        "k", "t", F.when(kind == 3, other["place"]).otherwise(F.col("place")).alias("s"), F.when(kind == 2, other["place"]).when(kind == 3, F.col("place")).otherwise(F.col("place") + 1).alias("e"),
+        "a", "b", (kind == 4).alias("settled"),
+    )
+
+
+def repeated_lines(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(k, t, start, end): for each key k and hash t of its text, the maximal runs of lines that go; ends are exclusive."""
     text = text_or_empty(text_col)
     lines = docs.select(F.col(key_col).alias("k"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n", -1)).alias("n", "line"))
-    rows = lines.select("k", "t", "n", F.length("line").alias("chars"), F.lit(0).alias("reach"), F.unhex(F.md5("line")).alias("line"))
-    rows = stored(_ranked(rows, ["line"], 1, min_chars).distinct(), "line-round")
-    settled, window = None, 1
-    while window < depth:
-        ahead = Window.partitionBy("k", "t").orderBy("n").rangeBetween(window, window)
-        both = rows.withColumn("r2", F.max("r").over(ahead)).withColumn("chars2", F.max("chars").over(ahead))
-        pairs = both.where("r2 is not null").select("k", "t", "n", (F.col("chars") + F.col("chars2")).alias("chars"), "reach", "r", "r2")
-        window *= 2
-        nxt = stored(_ranked(pairs, ["r", "r2"], window, min_chars), "line-round")
-        # What this round may drop keeps the reach that it has.
-        held = rows.where("reach > 0").select("k", "t", "n", "reach")
-        settled = held if settled is None else settled.unionByName(held)
-        rows = nxt
-    last = rows.where("reach > 0").select("k", "t", "n", "reach")
-    windows = last if settled is None else settled.unionByName(last)
-    return _runs(windows)
+    lines = lines.select("k", "t", "n", F.length("line").alias("chars"), F.unhex(F.md5("line")).alias("line"))
+    rows = stored(_repeated(lines, ["line"], "n", ranked=True).drop("line"), "lines")
+    windows = stored(_shortest_windows(rows, min_chars), "line-windows")
+    gone = [windows.where("settled"), _repeated(windows.where("e - s = 2"), ["a", "b"], "s").where("later")]
+    pending, width = windows.where("e - s > 2").select("k", "t", "s", "e"), 1
+    while not pending.isEmpty():
+        ahead = Window.partitionBy("k", "t").orderBy("n").rangeBetween(width, width)
+        needed = _of_document(rows.select("k", "t", "n", "r"), pending.select("k", "t").distinct(), [], "left_semi")
+        pairs = needed.repartition("k", "t").dropDuplicates(["k", "t", "n"]).withColumn("r2", F.max("r").over(ahead)).where("r2 is not null")
+        pairs = pairs.select("k", "t", "n", F.col("r").alias("r1"), "r2")
+        rows = stored(_repeated(pairs, ["r1", "r2"], "n", ranked=True).select("k", "t", "n", "r"), "lines")
+        width *= 2
+        met = _of_document(pending, rows.select("k", "t", F.col("n").alias("s"), F.col("r").alias("a")), ["s"]).withColumn("n", F.col("e") - width)
+        met = stored(_of_document(met, rows.select("k", "t", "n", F.col("r").alias("b")), ["n"]).withColumn("m", F.col("e") - F.col("s")), "line-windows")
+        gone.append(_repeated(met.where(F.col("m") <= 2 * width), ["m", "a", "b"], "s").where("later"))
+        pending = met.where(F.col("m") > 2 * width).select("k", "t", "s", "e")
+    return _runs(reduce(DataFrame.unionByName, [g.select("k", "t", "s", "e") for g in gone]))
 
 
 def _runs(windows: DataFrame) -> DataFrame:
-    """Windows of reach lines at n, merged where they touch."""
-    windows = windows.groupBy("k", "t", "n").agg(F.max("reach").alias("reach"))
-    order = Window.partitionBy("k", "t").orderBy("n")
-    end = F.max(F.col("n") + F.col("reach")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = windows.withColumn("new", F.when(F.col("n") <= end, 0).otherwise(1))
+    """Windows (k, t, s, e), merged where they touch."""
+    windows = windows.groupBy("k", "t", "s").agg(F.max("e").alias("e"))
+    order = Window.partitionBy("k", "t").orderBy("s")
+    opened = windows.withColumn("new", F.when(F.col("s") <= F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1))
     run = opened.withColumn("run", F.sum("new").over(order))
-    return run.groupBy("k", "t", "run").agg(F.min("n").alias("start"), F.max(F.col("n") + F.col("reach")).alias("end")).drop("run")
+    return run.groupBy("k", "t", "run").agg(F.min("s").alias("start"), F.max("e").alias("end")).drop("run")
 
 
-def drop_repeated_lines(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_chars: int = MIN_CHARS, runs_col: str | None = None) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, runs_col: str | None = None) -> DataFrame:
     """docs with later copies of repeated line runs cut out of text_col; runs_col, if named, array<struct<start,end>>: the lines cut."""
-    runs = repeated_lines(docs, key_col, text_col, depth, min_chars)
+    runs = repeated_lines(docs, key_col, text_col, min_chars)
     runs = runs.groupBy("k", "t").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_runs"))
     names = [f"_{i}" for i in range(len(docs.columns))]
     key, text = names[docs.columns.index(key_col)], names[docs.columns.index(text_col)]
@@ -99,25 +160,20 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", removed.alias("n_removed"), F.size("runs").cast("long").alias("n_runs"), F.sha2(text_or_empty(), 256).alias("kept_sha256"))
 
 
-def _sql(depth: int, min_chars: int) -> str:
-    windows, d = [], 1
-    while d <= depth:
-        frame = f"(PARTITION BY doc_id ORDER BY n ROWS BETWEEN CURRENT ROW AND {d - 1} FOLLOWING)"
-        windows.append(f"SELECT doc_id, n, g, {d} AS d, list(line) OVER {frame} AS w, sum(length(line)) OVER {frame} AS chars FROM numbered")
-        d *= 2
-    return f"""
-WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+OP4_SQL = f"""
+WITH RECURSIVE split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 lines AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS n, unnest(l) AS line FROM split),
-numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id, n) AS g FROM lines),
-windows AS ({" UNION ALL ".join(windows)}),
-firsts AS (SELECT *, min(g) OVER (PARTITION BY d, w) AS first FROM windows WHERE len(w) = d),
-gone AS (SELECT DISTINCT doc_id, n + unnest(range(d)) AS n FROM firsts WHERE g > first AND chars >= {min_chars}),
+numbered AS (SELECT *, length(line) AS len, row_number() OVER (ORDER BY doc_id, n) AS g FROM lines),
+runs AS (
+ SELECT doc_id, n, g, d, chars, first FROM (SELECT doc_id, n, g, 1 AS d, len AS chars, min(g) OVER w AS first, count(*) OVER w AS c FROM numbered WINDOW w AS (PARTITION BY line)) q WHERE c > 1
+ UNION ALL
+ SELECT doc_id, n, g, d, chars, first FROM (SELECT r.doc_id, r.n, r.g, r.d + 1 AS d, r.chars + l.len AS chars, min(r.g) OVER w AS first, count(*) OVER w AS c
+  FROM runs r JOIN numbered l ON l.doc_id = r.doc_id AND l.n = r.n + r.d WINDOW w AS (PARTITION BY r.first, l.line)) q WHERE c > 1),
+longest AS (SELECT doc_id, n, max(d) AS d FROM runs WHERE g > first AND chars >= {MIN_CHARS} GROUP BY doc_id, n),
+gone AS (SELECT DISTINCT doc_id, n + unnest(range(d)) AS n FROM longest),
 marked AS (SELECT l.doc_id, l.n, l.line, g.n IS NOT NULL AS gone FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.n = g.n),
 edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY n), false) AS opens FROM marked)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_runs,
  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
 FROM edges GROUP BY doc_id
 """
-
-
-OP4_SQL = _sql(DEPTH, MIN_CHARS)
