@@ -25,7 +25,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _exponentials(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each row's logit at its place, the row's exponentials and their sum; in place. Within 80 of 0, none overflows or vanishes."""
-    np.clip(logits, -80, 80, out=logits)
+    np.minimum(logits, 80, out=logits)
+    np.maximum(logits, -80, out=logits)
     mine = logits[np.arange(len(at)), at]
     e = np.exp(logits, out=logits)
     return mine, e, e @ np.ones(e.shape[1], e.dtype)
@@ -57,25 +58,25 @@ class GRU:
         return cls(p, classes)
 
     def forward(self, tokens: np.ndarray, keep: np.ndarray, h: np.ndarray, cache: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """tokens [T, B]; keep 0 where a token ends a text. The states before each token [T, B, H], and the one after the last."""
-        hidden = h.shape[1]
-        states = np.empty((*tokens.shape, hidden), F32)
-        x, u = self.p["x"], self.p["u"]
-        for t, row in enumerate(tokens):
+        """tokens [T, B]; keep 0 where a token ends a text. The states before each token [T, H, B], and the one after the last [H, B]. cache: gets gates, candidates and the state's part of them for each step."""
+        hidden = len(h)
+        states = np.empty((len(tokens), *h.shape), F32)
+        inputs, u = np.ascontiguousarray(self.p["x"][tokens].transpose(0, 2, 1)), np.ascontiguousarray(self.p["u"].T)
+        for t, i in enumerate(inputs):
             states[t] = h
-            a = h @ u
-            i = x[row]
-            gates = _sigmoid(i[:, : 2 * hidden] + a[:, : 2 * hidden])
-            z, r = gates[:, :hidden], gates[:, hidden:]
-            n = r * a[:, 2 * hidden :]
-            n += i[:, 2 * hidden :]
+            a = u @ h
+            gates = i[: 2 * hidden]
+            gates += a[: 2 * hidden]
+            _sigmoid(gates)
+            z, r, n = gates[:hidden], gates[hidden:], i[2 * hidden :]
+            n += r * a[2 * hidden :]
             np.tanh(n, out=n)
             new = h - n
             new *= z
             new += n
             if cache is not None:
-                cache.append((h, z, r, n, a[:, 2 * hidden :]))
-            new *= keep[t, :, None]
+                cache.append((z, r, n, a[2 * hidden :]))
+            new *= keep[t]
             h = new
         return states, h
 
@@ -99,63 +100,79 @@ class GRU:
             grads["c"], grads["cb"] = states.T @ e, e.sum(0)
             grads["w"], grads["wb"] = np.zeros_like(p["w"]), np.zeros_like(p["wb"])
         order = np.argsort(of.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            i = order[cuts[k] : cuts[k + 1]]
-            if not len(i):
+        cuts = np.searchsorted(of[order], np.arange(self.classes + 1)).tolist()
+        sorted_states, sorted_words = states[order], word[order]
+        within = np.empty(len(tokens), out.dtype)
+        more = None if grads is None else np.empty_like(sorted_states)
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if a == b:
                 continue
-            s, m = states[i], np.arange(len(i))
+            s, at = sorted_states[a:b], sorted_words[a:b]
             logits = s @ p["w"][k]
             logits += p["wb"][k]
-            mine, e, total = _exponentials(logits, word[i])
-            out[i] += mine - np.log(total)
+            mine, e, total = _exponentials(logits, at)
+            within[a:b] = mine - np.log(total)
             if grads is not None:
                 e /= total[:, None]
-                e[m, word[i]] -= 1
-                back[i] += e @ p["w"][k].T
+                e[np.arange(b - a), at] -= 1
+                more[a:b] = e @ p["w"][k].T
                 grads["w"][k], grads["wb"][k] = s.T @ e, e.sum(0)
+        out[order] += within
+        if grads is not None:
+            back[order] += more
         return out, back
 
     def gradients(self, tokens: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the mean negative log probability over a window, the state before it taken as given; and the state after it."""
         cache: list = []
         states, after = self.forward(tokens, keep, h, cache)
-        steps, lanes, hidden = states.shape
+        steps, hidden, lanes = states.shape
         grads: dict[str, np.ndarray] = {}
         flat = tokens.reshape(-1)
-        back = self._output(states.reshape(-1, hidden), flat, grads)[1].reshape(states.shape)
-        gx = np.empty((steps, lanes, 3 * hidden), F32)
-        gu = np.zeros_like(self.p["u"])
-        dh = np.zeros_like(h)
+        before = np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, hidden)
+        back = np.ascontiguousarray(self._output(before, flat, grads)[1].reshape(steps, lanes, hidden).transpose(0, 2, 1))
+        z, r, n, a = (np.stack(x) for x in zip(*cache, strict=True))
+        # What a step's gradient is multiplied by on its way to the update, the reset and the candidate.
+        to_n = (1 - z) * (1 - n * n)
+        to_z, to_r = (states - n) * z * (1 - z), to_n * a * r * (1 - r)
+        gx = np.empty((steps, 3 * hidden, lanes), F32)
+        dh, u = np.zeros_like(h), self.p["u"]
         for t in reversed(range(steps)):
-            before, z, r, n, an = cache[t]
-            d = dh * keep[t, :, None]
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * an * r * (1 - r)
-            gx[t, :, :hidden], gx[t, :, hidden : 2 * hidden], gx[t, :, 2 * hidden :] = dz, dr, dn
-            da = np.concatenate([dz, dr, dn * r], 1)
-            gu += before.T @ da
-            dh = d * z + da @ self.p["u"].T + back[t]
+            d = dh * keep[t]
+            g = gx[t]
+            np.multiply(d, to_z[t], out=g[:hidden])
+            np.multiply(d, to_r[t], out=g[hidden : 2 * hidden])
+            np.multiply(d, to_n[t], out=g[2 * hidden :])
+            d *= z[t]
+            d += u[:, : 2 * hidden] @ g[: 2 * hidden]
+            d += u[:, 2 * hidden :] @ (g[2 * hidden :] * r[t])
+            d += back[t]
+            dh = d
+        rows = np.ascontiguousarray(gx.transpose(0, 2, 1)).reshape(-1, 3 * hidden)
+        gx[:, 2 * hidden :] *= r
+        grads["u"] = before.T @ gx.transpose(0, 2, 1).reshape(-1, 3 * hidden)
         order = np.argsort(flat, kind="stable")
         cuts = np.flatnonzero(np.diff(flat[order], prepend=-1))
         grads["x"] = np.zeros_like(self.p["x"])
-        grads["x"][flat[order][cuts]] = np.add.reduceat(gx.reshape(-1, 3 * hidden)[order], cuts)
-        grads["u"] = gu
+        grads["x"][flat[order][cuts]] = np.add.reduceat(rows[order], cuts)
         return {k: g / len(flat) for k, g in grads.items()}, after
 
-    def train(self, texts: list[np.ndarray], end: int, lanes: int, window: int, rate: float) -> int:
-        """One pass of Adam over texts, arrays of symbols that close with end. Returns the number of tokens."""
-        tokens, _, _ = laid_out(texts, lanes, end)
-        h = np.zeros((tokens.shape[1], self.p["u"].shape[0]), F32)
+    def train(self, texts: list[np.ndarray], end: int, lanes: int, window: int, rate: float, piece: int = 512) -> int:
+        """One pass of Adam over texts, arrays of symbols that close with end. Returns the number of tokens.
+
+        Long texts are learnt from in pieces, each from a state of zero on, so that all lanes are equally long.
+        """
+        parts = [t[i : i + piece] for t in texts for i in range(0, len(t), piece)]
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step, last = 0, max(1, len(tokens) // window)
-        for a in range(0, len(tokens), window):
-            part = tokens[a : a + window]
-            grads, h = self.gradients(part, (part != end).astype(F32), h)
+        rows = lanes_of([len(t) for t in parts], lanes)
+        step, last = 0, max(1, sum(len(parts[j]) for j in rows[0]) // window) if rows else 1
+        for tokens, _, starts in laid_out(parts, rows, end, window):
+            h = np.zeros((self.p["u"].shape[0], tokens.shape[1]), F32) if step == 0 else h[:, : tokens.shape[1]]
+            h = h * ~starts
+            grads, h = self.gradients(tokens, (tokens != end).astype(F32), h)
             step += 1
-            pace = rate * (1 - 0.9 * step / (last + 1)) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
+            pace = rate * (1 - 0.9 * min(1.0, step / (last + 1))) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
             for k, g in grads.items():
                 g *= F32(min(1.0, 1.0 / (norm + 1e-9)))
@@ -165,39 +182,50 @@ class GRU:
         return sum(map(len, texts))
 
     def score(self, texts: list[np.ndarray], end: int, lanes: int = 512, window: int = 64) -> np.ndarray:
-        """The log10 probability of each text, arrays of symbols that close with end."""
-        if not texts:
-            return np.zeros(0)
-        tokens, owner, _ = laid_out(texts, lanes, end)
-        h = np.zeros((tokens.shape[1], self.p["u"].shape[0]), F32)
-        out = np.zeros(len(texts) + 1)
-        for a in range(0, len(tokens), window):
-            part = tokens[a : a + window]
-            states, h = self.forward(part, (part != end).astype(F32), h)
-            logs = self.log_probabilities(states.reshape(-1, states.shape[2]), part.reshape(-1))
-            out += np.bincount(owner[a : a + window].reshape(-1), logs, len(out))
+        """The log10 probability of each text, arrays of symbols that close with end. The state is carried through the whole text."""
+        h, out = None, np.zeros(len(texts) + 1)
+        for tokens, owner, _ in laid_out(texts, lanes_of([len(t) for t in texts], lanes), end, window):
+            h = np.zeros((self.p["u"].shape[0], tokens.shape[1]), F32) if h is None else h[:, : tokens.shape[1]]
+            states, h = self.forward(tokens, (tokens != end).astype(F32), h)
+            logs = self.log_probabilities(states.transpose(0, 2, 1).reshape(-1, states.shape[1]), tokens.reshape(-1))
+            out += np.bincount(owner.reshape(-1), logs, len(out))
         return out[:-1] / np.log(10)
 
 
-def laid_out(texts: list[np.ndarray], lanes: int, end: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """(tokens [T, B], owner [T, B], load): texts end to end in lanes, longest first into the emptiest; owner len(texts) marks filling."""
+def lanes_of(lengths: list[int], lanes: int) -> list[list[int]]:
+    """Which texts follow each other in each lane: longest first into the emptiest; the fullest lane comes first."""
     import heapq
 
-    lanes = max(1, min(lanes, len(texts)))
-    rows: list[list[int]] = [[] for _ in range(lanes)]
-    heap = [(0, i) for i in range(lanes)]
-    for j in sorted(range(len(texts)), key=lambda j: -len(texts[j])):
+    rows: list[list[int]] = [[] for _ in range(max(1, min(lanes, len(lengths))))]
+    heap = [(0, i) for i in range(len(rows))]
+    for j in sorted(range(len(lengths)), key=lambda j: -lengths[j]):
         load, i = heapq.heappop(heap)
         rows[i].append(j)
-        heapq.heappush(heap, (load + len(texts[j]), i))
-    load = [sum(len(texts[j]) for j in r) for r in rows]
-    tokens = np.full((max(load), lanes), end, np.int32)
-    owner = np.full((max(load), lanes), len(texts), np.int32)
-    for i, r in enumerate(rows):
-        if r:
-            tokens[: load[i], i] = np.concatenate([texts[j] for j in r])
-            owner[: load[i], i] = np.repeat(r, [len(texts[j]) for j in r])
-    return tokens, owner, load
+        heapq.heappush(heap, (load + lengths[j], i))
+    return sorted((r for r in rows if r), key=lambda r: -sum(lengths[j] for j in r))
+
+
+def laid_out(texts: list[np.ndarray], rows: list[list[int]], end: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(tokens [T, B], owner [T, B], starts [B]) for every steps tokens of the lanes; owner len(texts) marks filling.
+
+    Lanes that have come to their end drop out, so that memory and work grow with the tokens, however long one text is.
+    starts: lanes whose first token here begins a text.
+    """
+    if not rows:
+        return
+    flat = np.concatenate([texts[j] for r in rows for j in r])
+    owner = np.repeat(np.array([j for r in rows for j in r], np.int32), [len(texts[j]) for r in rows for j in r])
+    load = np.array([sum(len(texts[j]) for j in r) for r in rows])
+    base = np.cumsum(load) - load
+    for a in range(0, int(load[0]), steps):
+        alive = int(np.searchsorted(-load, -a, "left"))
+        t = min(steps, int(load[0]) - a)
+        at = base[:alive] + a + np.arange(t)[:, None]
+        inside = np.arange(a, a + t)[:, None] < load[:alive]
+        at[~inside] = 0
+        of = np.where(inside, owner[at], len(texts))
+        starts = np.zeros(alive, bool) if a == 0 else owner[at[0] - 1] != of[0]
+        yield np.where(inside, flat[at], end).astype(np.int32), of, starts
 
 
 def averaged(models: Iterator[tuple[int, dict[str, np.ndarray]]]) -> tuple[int, dict[str, np.ndarray] | None]:

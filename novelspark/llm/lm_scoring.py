@@ -7,9 +7,11 @@ for each document, the sum over its tail words.
 
 Model. The symbols are the most frequent words, the end, and classes of all other words by their last letters. A word
 outside the vocabulary has its class's probability times its share, by the corpus's counts, of the class. The symbols'
-probabilities start from the counts of all training texts. The weights are trained first on the training texts among
-``sample`` documents, then, in every partition by itself, on all its training texts, dealt over ``rounds``; after each
-round the partitions' weights are averaged. Scoring runs over every whole text, with the state carried from window to window.
+probabilities start from the counts of all training texts. The weights are learnt from every training text, once: by a
+hash of key and text each belongs to one of four rounds (of 1/15, 2/15, 4/15 and 8/15 of the texts) and to one of the
+parts of about ``part_tokens`` tokens. In a round every part goes on from the same weights over its own texts, and the
+parts' weights are averaged by their tokens. Rounds and parts depend on the rows only, so neither the files' layout nor
+the number of executors changes the model. Scoring runs over every whole text, the state carried from window to window.
 
 A null text counts as empty; an empty text is its end token. A null key's fold is that of the empty string. Repeated
 rows count each. Columns besides key and text are not read.
@@ -71,10 +73,6 @@ def training(key: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(10)) != 0
 
 
-def _one_in(n: int) -> Column:
-    return F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(max(1, n))) == 0
-
-
 def frequent_words(rows: DataFrame, head: int) -> np.ndarray:
     """The hashes of the head most frequent words of rows (text), sorted."""
 
@@ -92,7 +90,7 @@ def frequent_words(rows: DataFrame, head: int) -> np.ndarray:
 _BLOCK = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("h", "k", "t", "learn", "head")])
 _BLOCK_DDL = "bucket int, h binary, k binary, t binary, learn binary, head binary"
 _COUNTED = "kind int, k bigint, n bigint, known bigint, bucket int, sums binary"
-_SUMS = np.dtype([("k", np.int64), ("t", np.int32), ("n", np.int32), ("known", np.int32), ("logs", float)])
+_SUMS = np.dtype([("k", np.int64), ("t", np.int64), ("n", np.int32), ("known", np.int32), ("logs", float)])
 
 
 def _count(buckets: list[int], head: np.ndarray, held: int = 1_000_000):
@@ -110,7 +108,7 @@ def _count(buckets: list[int], head: np.ndarray, held: int = 1_000_000):
             out["bucket"].append(int(own[deal[i[0]]]))
             out["h"].append(_planes(h[i], 8))
             out["k"].append(_planes(k[i], 8))
-            out["t"].append(_planes(t[i].astype(np.int64), 2))
+            out["t"].append(_planes(t[i], 8))
             out["learn"].append(np.packbits(learn[i]).tobytes())
             out["head"].append(b"")
         yield pa.RecordBatch.from_arrays([pa.array(out[n], _BLOCK.field(n).type) for n in _BLOCK.names], schema=_BLOCK)
@@ -159,7 +157,7 @@ def _sum_up(buckets: list[int]):
                 elif columns["h"][i]:
                     h = _values(columns["h"][i], 8, U)
                     learn = np.unpackbits(np.frombuffer(columns["learn"][i], np.uint8), count=len(h)).astype(bool)
-                    parts.append((h, _values(columns["k"][i], 8, np.int64), _values(columns["t"][i], 2, np.int64), learn))
+                    parts.append((h, _values(columns["k"][i], 8, np.int64), _values(columns["t"][i], 8, np.int64), learn))
         for j, counts in heads.items():
             yield _counted(1, np.arange(len(counts)) * len(buckets) + j, counts, np.zeros_like(counts))
         if not parts:
@@ -251,38 +249,45 @@ class Corpus:
         return [np.append(symbol[a:b], np.int32(self.end)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _symbols(batches: Iterator[pa.RecordBatch], corpus: Corpus) -> Iterator[list[np.ndarray]]:
-    for batch in batches:
-        for rows, data, ends in _chunks(batch.column("text")):
-            row, _, symbol, _ = corpus.read(data, ends)
-            yield corpus.texts(row, symbol, rows.stop - rows.start)
+#: What share of the texts each round learns from, and its first step size.
+ROUNDS, RATES = (1, 2, 4, 8), (0.01, 0.008, 0.006, 0.004)
 
 
-def train(rows: DataFrame, corpus: Corpus, sample_one_in: int, share: int = 1, lanes: int = 64, window: int = 16, rate: float = 0.01, local_rate: float = 0.003, rounds: int = 4) -> tuple[GRU, int]:
-    """rows (k, t, learn, text). First the sample's training texts, here; then one in share (by default all) of every partition's, there, dealt over rounds. Also returns the number of tokens that the rounds learnt from."""
+def train(rows: DataFrame, corpus: Corpus, part_tokens: int = 4_000_000, lanes: int = 256, window: int = 16) -> tuple[GRU, int]:
+    """rows (k, t, learn, text). The model, and the number of tokens that it was learnt from."""
     spark = rows.sparkSession
     known = spark.sparkContext.broadcast(corpus)
-    learnt = rows.where("learn")
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in _symbols(batches, known.value):
-            yield pa.RecordBatch.from_arrays([pa.array([t.astype(np.int16).tobytes() for t in texts], pa.binary())], ["symbols"])
+    parts = max(1, -(-corpus.tokens // part_tokens))
+    digest = lambda name, n: F.pmod(F.xxhash64("k", "t", F.lit(name)), F.lit(n)).cast("int")
+    turn, upto = F.lit(0), 0
+    for share in ROUNDS[:-1]:
+        upto += share
+        turn = turn + (digest("round", sum(ROUNDS)) >= upto).cast("int")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data, ends in _chunks(batch.column("text")):
+                row, _, symbol, _ = known.value.read(data, ends)
+                texts = [x.astype(np.int16).tobytes() for x in known.value.texts(row, symbol, at.stop - at.start)]
+                dealt = [batch.column(c).slice(at.start, at.stop - at.start) for c in ("turn", "part")]
+                yield pa.RecordBatch.from_arrays([*dealt, pa.array(texts, pa.binary())], ["turn", "part", "symbols"])
 
-    sample = sorted(bytes(r["symbols"]) for r in learnt.where(_one_in(sample_one_in)).select("text").mapInArrow(gather, "symbols binary").collect())
-    model = GRU.new(corpus.symbol_counts, CLASSES, HIDDEN)
-    if not sample:
-        return model, 0
-    model.train([np.frombuffer(s, np.int16).astype(np.int32) for s in sample], corpus.end, lanes, window, rate)
+    dealt = rows.where("learn").select(turn.alias("turn"), digest("part", parts).alias("part"), "text")
+    symbols = stored(dealt.mapInArrow(read, "turn int, part int, symbols binary"), "lm-symbols")
+    model, seen = GRU.new(corpus.symbol_counts, CLASSES, HIDDEN), 0
 
-    def local(begun):
+    def local(begun, rate: float):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            texts = [t for part in _symbols(batches, known.value) for t in part]
-            if texts:
+            texts: dict[int, list[bytes]] = {}
+            for batch in batches:
+                for part, x in zip(batch.column("part").to_pylist(), batch.column("symbols").to_pylist(), strict=True):
+                    texts.setdefault(part, []).append(x)
+            for part in sorted(texts):
                 own = GRU({k: v.copy() for k, v in begun.value.p.items()}, CLASSES)
-                # Wider steps where there are tokens for a hundred of them.
-                wide = min(4 * lanes, max(lanes, sum(map(len, texts)) // (100 * window)))
-                n = own.train(texts, known.value.end, wide, window, local_rate)
-                yield _weights(n, own.p)
+                mine = [np.frombuffer(x, np.int16).astype(np.int32) for x in sorted(texts.pop(part))]
+                # Narrow steps where there are tokens for few.
+                wide = max(16, min(lanes, sum(map(len, mine)) // (100 * window)))
+                yield _weights(own.train(mine, known.value.end, wide, window, rate), own.p)
 
         return run
 
@@ -291,13 +296,11 @@ def train(rows: DataFrame, corpus: Corpus, sample_one_in: int, share: int = 1, l
         if p is not None:
             yield _weights(n, p)
 
-    shared = learnt.where(F.pmod(F.xxhash64("k", F.lit("share")), F.lit(share)) == 0)
-    seen = 0
-    for i in range(rounds):
-        mine = shared.where(F.pmod(F.xxhash64("k", "t", F.lit("round")), F.lit(rounds)) == i).select("text")
-        parts = stored(mine.mapInArrow(local(spark.sparkContext.broadcast(model)), "n bigint, p binary"), "lm-weights")
-        few = max(1, int(parts.count() ** 0.5))
-        mean = parts.repartition(few).mapInArrow(average, "n bigint, p binary").coalesce(1).mapInArrow(average, "n bigint, p binary").collect()
+    for i, rate in enumerate(RATES):
+        mine = symbols.where(F.col("turn") == i).select("part", "symbols").repartitionById(parts, F.col("part"))
+        learnt = stored(mine.mapInArrow(local(spark.sparkContext.broadcast(model), rate), "n bigint, p binary"), "lm-weights")
+        few = max(1, int(parts**0.5))
+        mean = learnt.repartition(few).mapInArrow(average, "n bigint, p binary").coalesce(1).mapInArrow(average, "n bigint, p binary").collect()
         if mean:
             model = GRU(_loaded(mean[0]["p"]), CLASSES)
             seen += mean[0]["n"]
@@ -315,10 +318,10 @@ def _loaded(blob: bytes) -> dict[str, np.ndarray]:
         return {k: f[k].astype(F32) for k in f.files}
 
 
-_SCORED = "k bigint, t int, learn boolean, n_tokens bigint, n_tail bigint, known bigint, base double, model double"
+_SCORED = "k bigint, t bigint, learn boolean, n_tokens bigint, n_tail bigint, known bigint, base double, model double"
 
 
-def _score(corpus, model, bytes_at_once: int = 8_000_000):
+def _score(corpus, model, bytes_at_once: int = 16_000_000):
     def emit(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         c, m = corpus.value, model.value
         texts = [t for p in parts for t in p[0]]
@@ -342,7 +345,7 @@ def _score(corpus, model, bytes_at_once: int = 8_000_000):
                 shared = np.where(other, of_word - c.tail_norm[outside], 0.0)
                 known = np.bincount(row[mine], c.counts[at[mine]] > 0, n) + float(c.counts[-1] > 0)
                 parts.append((
-                    c.texts(row, symbol, n), k[rows], t[rows].astype(np.int32), learn[rows], np.bincount(row[~mine], minlength=n).astype(np.int64),
+                    c.texts(row, symbol, n), k[rows], t[rows], learn[rows], np.bincount(row[~mine], minlength=n).astype(np.int64),
                     known.astype(np.int64), np.bincount(row, of_word, n) + logs[-1], np.bincount(row, shared, n),
                 ))
                 size += len(data)
@@ -355,16 +358,15 @@ def _score(corpus, model, bytes_at_once: int = 8_000_000):
     return run
 
 
-def score(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", learn: Column | None = None, head: int = 50_000, sample: int = 1500, share: int = 1) -> DataFrame:
+def score(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", learn: Column | None = None, head: int = 50_000) -> DataFrame:
     """(key, learn, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; learn: the rows to learn from."""
     spark = docs.sparkSession
     ship(spark)
     text = text_or_empty(text_col)
     rows = docs.select(
-        F.coalesce(F.col(key_col).cast("long"), F.lit(_NULL_KEY)).alias("k"), F.pmod(F.xxhash64(text), F.lit(32768)).cast("int").alias("t"),
+        F.coalesce(F.col(key_col).cast("long"), F.lit(_NULL_KEY)).alias("k"), F.xxhash64(text).alias("t"),
         (training(key_col) if learn is None else learn).alias("learn"), text.alias("text"),
     )
-    one_in = docs.count() // sample
     n = partitions(spark)
     own = labels(spark, n)
     top = frequent_words(rows.where("learn"), head)
@@ -377,9 +379,9 @@ def score(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", lear
     for r in counted.where("kind = 2").groupBy("k").agg(F.sum("n").alias("n"), F.sum("known").alias("known")).collect():
         tails[:, r["k"]] = r["n"], r["known"]
     corpus = Corpus(top, counts, *tails)
-    model, _ = train(rows, corpus, one_in, share)
+    model, _ = train(rows, corpus)
     scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(corpus), spark.sparkContext.broadcast(model)), _SCORED)
-    tail = counted.where("kind = 0").select("bucket", "sums").repartition(n, "bucket").mapInArrow(_add_up, "k bigint, t int, logs double, n bigint, more bigint")
+    tail = counted.where("kind = 0").select("bucket", "sums").repartition(n, "bucket").mapInArrow(_add_up, "k bigint, t bigint, logs double, n bigint, more bigint")
     out = scored.join(tail, ["k", "t"], "left")
     # Repeated rows have added their tail words to one sum; each has an equal part of it.
     part = F.coalesce(F.col("n_tail") / F.col("n"), F.lit(0.0))
