@@ -80,7 +80,7 @@ def labels(spark: SparkSession, n: int) -> list[int]:
 
 _BLOCK = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("h", "c", "k", "t", "off", "text")])
 _BLOCK_DDL = "bucket int, h binary, c binary, k binary, t binary, off binary, text binary"
-_PLACE = "k bigint, t int, start int, end int, h bigint"
+_PLACE = "k bigint, t bigint, start int, end int, h bigint"
 
 
 def _blocks(buckets: np.ndarray, deal: np.ndarray, columns: dict[str, tuple[np.ndarray, int]], texts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
@@ -117,7 +117,7 @@ def _parse(buckets: list[int], length: int, anchor: int):
             i = np.flatnonzero(settled == settle)
             if len(i):
                 deal = (h[i] >> U(20)) % U(len(own))
-                columns = {"k": (k[i], 8), "t": (t[i], 2), "off": (off[i], 4)} | ({} if settle else {"h": (h[i], 6), "c": (c[i], 6)})
+                columns = {"k": (k[i], 8), "t": (t[i], 8), "off": (off[i], 4)} | ({} if settle else {"h": (h[i], 6), "c": (c[i], 6)})
                 yield from _blocks(own, deal.astype(np.int64), columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ def _parse(buckets: list[int], length: int, anchor: int):
             for rows, data, ends in _chunks(batch.column("text")):
                 doc, off, h, c = triggers(data, ends, length, anchor)
                 if len(doc):
-                    parts.append((k[rows][doc], t[rows][doc].astype(np.int64), off, h & U((1 << 48) - 1), c & U((1 << 48) - 1)))
+                    parts.append((k[rows][doc], t[rows][doc], off, h & U((1 << 48) - 1), c & U((1 << 48) - 1)))
                     held += len(doc)
                 if held >= PLACES:
                     yield from flush(parts)
@@ -155,7 +155,7 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> dict[str, list]:
     for batch in batches:
         columns = {n: batch.column(n).to_pylist() for n in _BLOCK.names[1:]}
         for i in range(batch.num_rows):
-            place = {n: _values(columns[n][i], w, d) for n, w, d in (("k", 8, np.int64), ("t", 2, np.int64), ("off", 4, np.int64))}
+            place = {n: _values(columns[n][i], w, d) for n, w, d in (("k", 8, np.int64), ("t", 8, np.int64), ("off", 4, np.int64))}
             if not columns["h"][i]:
                 got["settled"].append(place)
                 continue
@@ -169,7 +169,7 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> dict[str, list]:
 
 def _places(k, t, start, end, h=None) -> pa.RecordBatch:
     h = pa.nulls(len(k), pa.int64()) if h is None else pa.array(h)
-    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(t.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), h], ["k", "t", "start", "end", "h"])
+    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(t), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), h], ["k", "t", "start", "end", "h"])
 
 
 def _order_entries(length: int, anchor: int, hot: int):
@@ -231,11 +231,11 @@ def _phrases(buckets: list[int], length: int, anchor: int):
                     windows.append((np.full(len(s), k[i]), np.full(len(s), t[i]), s, w))
             if parts:
                 kk, tt, off, h, sides, cut = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield from _blocks(own, ((h >> 20) % len(own)).astype(np.int64), {"h": (h, 6), "c": (sides, 6), "k": (kk, 8), "t": (tt, 2), "off": (off, 4)}, cut)
+                yield from _blocks(own, ((h >> 20) % len(own)).astype(np.int64), {"h": (h, 6), "c": (sides, 6), "k": (kk, 8), "t": (tt, 8), "off": (off, 4)}, cut)
             if windows:
                 kk, tt, off, w = (np.concatenate(x) for x in zip(*windows, strict=True))
                 low, high = w & U((1 << 48) - 1), w >> U(48)
-                yield from _blocks(own, (low % U(len(own))).astype(np.int64), {"h": (low, 6), "c": (high, 6), "k": (kk, 8), "t": (tt, 2), "off": (off, 4)})
+                yield from _blocks(own, (low % U(len(own))).astype(np.int64), {"h": (low, 6), "c": (high, 6), "k": (kk, 8), "t": (tt, 8), "off": (off, 4)})
 
     return run
 
@@ -332,7 +332,7 @@ def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
     own = labels(spark, n)
     key = F.coalesce(F.col(key_col).cast("long"), F.lit(_NULL_KEY))
     text = text_or_empty(text_col)
-    rows = docs.select(key.alias("k"), F.xxhash64(text).bitwiseAND(32767).cast("int").alias("t"), text.alias("text"))
+    rows = docs.select(key.alias("k"), F.xxhash64(text).alias("t"), text.alias("text"))
     blocks = rows.mapInArrow(_parse(own, length, anchor), _BLOCK_DDL).repartition(n, "bucket")
     entries = blocks.mapInArrow(_order_entries(length, anchor, hot), _PLACE)
     asks = F.collect_list(F.struct("start", "end", "h")).alias("asks")

@@ -58,6 +58,27 @@ def test_repeated_rows_and_empty_table(spark):
     assert remove_repeats(df.limit(0)).count() == 0
 
 
+def test_many_rows_of_one_key_lose_their_own_bytes(spark):
+    rnd = random.Random(3)
+    rows = []
+    for key in [None] * 400 + [7] * 30:
+        passage = "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(20, 40)))
+        filling = ["".join(rnd.choice("ijklmnop") for _ in range(rnd.randint(0, 30))) for _ in range(3)]
+        rows.append((key, passage.join(filling)))
+    got = {}
+    for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), length=16, anchor=6).collect():
+        got.setdefault(r["doc_id"], []).append(([(s["start"], s["end"]) for s in r["spans"]], bytes(r["kept"])))
+    for key in (None, 7):
+        texts = [t.encode() for k, t in sorted(rows, key=lambda r: r[0] is not None) if k == key]
+        want = []
+        for data, spans in zip(texts, brute(rows, 16)[key], strict=True):
+            kept = bytearray(data)
+            for a, b in reversed(spans):
+                del kept[a:b]
+            want.append((spans, bytes(kept)))
+        assert sorted(got[key]) == sorted(want)
+
+
 def test_query_on_documents(spark):
     d = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
@@ -77,7 +98,7 @@ def test_many_flushes_and_slices(monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", 150)
     rows = [(k, t or "") for k, t in corpus(9, "abc", 50) if k is not None]
     length, anchor = 24, 8
-    schema = pa.schema([("k", pa.int64()), ("t", pa.int32()), ("text", pa.string())])
+    schema = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("text", pa.string())])
     docs = [pa.RecordBatch.from_pylist([{"k": k, "t": 0, "text": t} for k, t in rows[i : i + 9]], schema) for i in range(0, len(rows), 9)]
     buckets = [3, 5]
 
