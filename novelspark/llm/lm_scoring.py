@@ -74,7 +74,7 @@ def training(key: str = "doc_id") -> Column:
 
 
 def frequent_words(rows: DataFrame, head: int) -> np.ndarray:
-    """The hashes of the head most frequent words of rows (text), sorted."""
+    """The hashes of the most frequent words of rows (text), sorted: all words of the highest classes of counts, of an eighth of a doubling each, that hold at most head words together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +83,14 @@ def frequent_words(rows: DataFrame, head: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
     counts = rows.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    found = counts.orderBy(F.desc("n"), "h").limit(head).select("h").collect()
+    counts = stored(counts.withColumn("class", F.floor(8 * F.log2("n")).cast("int")), "lm-words")
+    least, held = None, 0
+    for r in sorted(counts.groupBy("class").count().collect(), reverse=True):  # 8 * 64 rows at most
+        held += r["count"]
+        if held > head:
+            break
+        least = r["class"]
+    found = [] if least is None else counts.where(F.col("class") >= least).select("h").collect()
     return np.sort(np.array([r["h"] for r in found], np.int64).view(U))
 
 
