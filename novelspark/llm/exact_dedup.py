@@ -2,14 +2,16 @@
 
 All of it is DataFrame functions. Texts are equal when identical after lower-casing A-Z. A null text counts as empty,
 and empty texts are equal to each other. A null key never outranks another; a group of null keys only keeps null.
-A repeated row (same key, same text) counts in group_size, and is reported kept whenever its key is the one kept.
+A repeated row (same key, same text) counts in n, and is reported kept whenever its key is the one kept.
 Columns of the input besides key and text are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,46 +24,67 @@ def digests(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") ->
 
 
 class DigestIndex:
-    """A persistent table (digest, keep_key, n): one row for each text seen, bucketed and sorted by digest.
+    """All texts ever added, in a folder: for each text the largest key of the call that brought it, and how many rows had it.
 
-    table: its name in the catalog; path: its folder, in the shared folder unless given.
+    path: the folder, opened where it exists and made where not, by any session. It holds the number of buckets (spec)
+    and the table itself (rows), bucketed and sorted by digest: for each call a row (digest, key, n, new) of each text,
+    where new marks the call that brought it, and other calls only add to n. One call writes at a time.
     """
 
-    def __init__(self, spark: SparkSession, table: str, path: str | None = None, buckets: int | None = None):
-        self.spark, self.table = spark, table
-        self.path = path or f"{shared_dir(spark)}/{table}"
-        self.buckets = buckets or partitions(spark)
-
-    def rows(self) -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, key_type: str = "bigint"):
+        self.spark, self.path = spark, path
+        try:
+            spec = spark.read.parquet(f"{path}/spec").first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            spec = {"buckets": buckets or partitions(spark), "key_type": key_type}
+            spark.createDataFrame([(spec["buckets"], key_type)], "buckets int, key_type string").coalesce(1).write.parquet(f"{path}/spec")
+        self.buckets = spec["buckets"]
+        self.table = "digest_index_" + hashlib.sha256(path.encode()).hexdigest()[:32]
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.table} (digest binary, key {spec['key_type']}, n bigint, new boolean) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}/rows'"
+        )
+
+    def _rows(self) -> DataFrame:
+        # Other sessions may have appended.
+        self.spark.catalog.refreshTable(self.table)
         return self.spark.table(self.table)
 
+    def texts(self) -> DataFrame:
+        """(digest, keep_key, n), a row for each text."""
+        return self._rows().groupBy("digest").agg(F.max(F.when(F.col("new"), F.col("key"))).alias("keep_key"), F.sum("n").alias("n"))
+
     def add(self, rows: DataFrame) -> None:
-        """Appends each digest of rows (key, digest) that the index doesn't hold, with its largest key.
+        """Appends the texts of rows (key, digest) that the index doesn't hold, each with its largest key, and the counts of those it does.
 
-        Copies are combined before the shuffle. Once written, a bucket's rows meet later data without a shuffle of the index.
+        Copies are combined before the shuffle. A bucket's rows meet later data without a shuffle of the index.
         """
-        groups = rows.groupBy("digest").agg(F.max("key").alias("keep_key"), F.count("*").alias("n"))
-        exists = self.spark.catalog.tableExists(self.table)
-        new = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti") if exists else groups
-        new = new.repartition(self.buckets, "digest")
-        new.write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
+        groups = rows.groupBy("digest").agg(F.max("key").alias("key"), F.count("*").alias("n")).repartition(self.buckets, "digest")
+        held = self._rows().where("new").select("digest").hint("merge")
+        new = groups.join(held, "digest", "left_anti").withColumn("new", F.lit(True))
+        known = groups.join(held, "digest", "left_semi").withColumn("key", F.lit(None)).withColumn("new", F.lit(False))
+        new.unionByName(known).repartition(self.buckets, "digest").select("digest", "key", "n", "new").write.insertInto(self.table)
 
     def matched(self, rows: DataFrame, heavy_rows: int = 50_000) -> DataFrame:
-        """rows (key, digest) with keep_key and n of the index.
+        """rows (key, digest), which have been added, with keep_key and n of the index.
 
-        A digest with over 1 / heavy_rows of all that the index has counted would fill one task: there are at most
-        heavy_rows such digests, so they go out by broadcast; all others meet the index by sort-merge join.
+        A digest that over 1 / heavy_rows of these rows have would fill one task: there are at most heavy_rows such
+        digests, so they go out by broadcast; all others meet the index by sort-merge join.
         """
-        index = self.rows()
-        share = index.agg(F.greatest(F.lit(1000.0), F.sum("n") / heavy_rows).alias("share"))
-        heavy = index.join(F.broadcast(share), F.col("n") > F.col("share")).select("digest", "keep_key", "n")
-        met = rows.join(F.broadcast(heavy), "digest", "left")
+        counts = rows.groupBy("digest").agg(F.count("*").alias("here"))
+        share = rows.agg(F.greatest(F.lit(1000.0), F.count("*") / heavy_rows).alias("share"))
+        heavy = counts.join(F.broadcast(share), F.col("here") > F.col("share")).select("digest")
+        index = self.texts()
+        often = index.hint("merge").join(heavy, "digest")
+        met = rows.join(F.broadcast(often), "digest", "left")
         light = met.where(F.col("n").isNull()).select("key", "digest").join(index.hint("merge"), "digest")
-        return met.where(F.col("n").isNotNull()).select("key", "digest", "keep_key", "n").unionByName(light)
+        return met.where(F.col("n").isNotNull()).select("key", "digest", "keep_key", "n").unionByName(light.select("key", "digest", "keep_key", "n"))
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds docs to the index; (key, digest, keep_key, n, kept), a row for each row of docs.
+    """Adds docs to the index; (key, digest, keep_key, n, kept), a row for each row of docs. n counts all rows ever added.
 
     Among the rows of one call the largest key stays; a text that the index held before keeps the key that it came with.
     """
@@ -71,10 +94,18 @@ def deduplicate(docs: DataFrame, index: DigestIndex, key_col: str = "doc_id", te
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A new index takes all documents in one call, so that the largest doc_id of each text stays."""
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    out = deduplicate(documents(spark, sf_dir), index)
-    return out.select(F.col("key").alias("doc_id"), F.col("keep_key").alias("keep_id"), F.col("n").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    """A new index takes the documents in two calls, those with the larger doc_ids first: a text of the second call that the
+    first one brought keeps the key that it came with, which so is the largest of all."""
+    index = DigestIndex(spark, f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}")
+    rows = stored(digests(documents(spark, sf_dir)), "digests")
+    middle = rows.agg(F.percentile_approx("key", 0.5)).first()[0]
+    late = F.coalesce(F.col("key") >= F.lit(middle), F.lit(False))
+    index.add(rows.where(late))
+    index.add(rows.where(~late))
+    out = index.matched(rows)
+    return out.select(
+        F.col("key").alias("doc_id"), F.col("keep_key").alias("keep_id"), F.col("n").alias("group_size"), F.col("key").eqNullSafe(F.col("keep_key")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+    )
 
 
 OP5_SQL = """
