@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from novelspark.llm.near_copies import keep_one_near_copy
+from novelspark.llm.simhash import keep_one_near_copy
 
 
 def brute(rows):

@@ -9,7 +9,7 @@ from novelspark.llm.bpe import Vocabulary
 from novelspark.llm.quality import CompressionModel
 from tests.llm.test_decontaminate import brute as leaks_by_brute_force
 from tests.llm.test_lines import brute as lines_by_brute_force
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_near_copies import brute as near_copies_by_brute_force
 
 
 def test_equals_brute_force_stage_by_stage(spark):
@@ -19,10 +19,10 @@ def test_equals_brute_force_stage_by_stage(spark):
     learnt = sorted((k, docs[k], y) for k, y in labels if zlib.crc32(str(k).encode()) % 3 != 1 and 1 <= len(docs.get(k, "")) <= 20_000)
     model = CompressionModel.fit([t.encode() for _, t, _ in learnt], [y for *_, y in learnt])
     docs = {k: t for k, t in docs.items() if model.score(t.encode()) >= 0.5}
-    cut = lines_by_brute_force(list(docs.items()), 8, 20)
+    cut = lines_by_brute_force(list(docs.items()), 20)
     docs = {k: cut[True, k] for k in docs}
-    at = brute_components({k: brute_fingerprint(t) for k, t in docs.items()})
-    docs = {k: t for k, t in docs.items() if at[k] == k}
+    kept = {k for none, k in near_copies_by_brute_force(list(docs.items())) if not none}
+    docs = {k: t for k, t in docs.items() if k in kept}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     found = {k for k, *_ in leaks_by_brute_force(list(docs.items()), items)}
     docs = {k: t for k, t in docs.items() if k not in found}

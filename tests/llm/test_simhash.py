@@ -68,6 +68,25 @@ def test_links_connect_what_brute_force_connects(spark):
     assert all(v in back for v in labels.values())
 
 
+def test_one_full_cell_is_dealt_by_pairs_of_tiles(spark):
+    rnd = random.Random(8)
+    quarter = [sum(1 << b for b in rnd.sample(range(16), 8)) for _ in range(4000)]
+    fps = sorted({quarter[i] | quarter[i + 1] << 16 | quarter[i + 2] << 32 | quarter[i + 3] << 48 for i in range(0, 2000, 4)})
+    signed = {x: x - (1 << 64) if x >> 63 else x for x in fps}
+    labels = {r["node"]: r["label"] for r in connected_components(near_links(spark.createDataFrame([(v,) for v in signed.values()], "fp long"), tile=25, radius=20)).collect()}
+    at = {x: x for x in fps}
+    for i, x in enumerate(fps):
+        for y in fps[:i]:
+            if (x ^ y).bit_count() <= 20 and at[x] != at[y]:
+                old, new = at[x], at[y]
+                at = {k: new if v == old else v for k, v in at.items()}
+    groups, got = {}, {}
+    for x in fps:
+        groups.setdefault(at[x], set()).add(x)
+        got.setdefault(labels.get(signed[x], signed[x]), set()).add(x)
+    assert len(fps) > 480 and 20 < len(groups) < 470 and sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
+
+
 def test_nulls_ties_and_clashing_columns(spark):
     rows = [(3, None, "a", 1), (2, "", "b", 2), (None, "  \n", "c", 3), (5, "One two three four", "d", 4), (5, "One two three four", "d", 4), (9, "one TWO three four", "e", 5), (7, "x", "f", 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string, component int")
