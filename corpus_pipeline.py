@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from novelspark.llm import bpe, decontaminate, lines, near_copies, quality
+from novelspark.llm import bpe, decontaminate, lines, quality, simhash
 from novelspark.llm.common import documents, stored
 
 ORACLE_SQL = None
@@ -32,7 +32,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that chains of a Jaccard similarity of 0.8 or more (shingles of five words) connect, keeps the row with the least doc_id."""
-    return near_copies.keep_one_near_copy(docs)
+    return simhash.keep_one_near_copy(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
