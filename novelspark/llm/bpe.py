@@ -32,9 +32,9 @@ REMEMBERED, PAIRS = 200_000, 1_000_000
 class Vocabulary:
     """Ranks of byte strings, and what the dynamic programme needs of them."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, ranks: bytes):
+        """ranks: the content of a file with a token in base 64 and its rank in each line."""
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.bytes = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.lengths = np.zeros(max(self.bytes) + 1, np.int64)
@@ -63,7 +63,7 @@ class Vocabulary:
         return self._halves[token]
 
     def apart(self, left: int, right: int) -> bool:
-        """Whether left and right, encoded as one string, come out as these two tokens.
+        """Whether left and right, encoded as one string, come out as these two tokens: the test of publicly known backtracking BPE encoders.
 
         Undoes merges from the latest to the earliest on both sides of the seam. If at some time the two tokens at the
         seam could merge by a rank that comes before the merge which took either of them away, the seam doesn't hold.
@@ -171,8 +171,14 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary(ranks: bytes) -> Vocabulary:
+    return Vocabulary(ranks)
+
+
+def _content(spark: SparkSession, path: str):
+    """The file of ranks (under 1 MB for 50,000 tokens), read on the driver and broadcast: workers needn't see the path."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
 @lru_cache(maxsize=4)
@@ -197,8 +203,10 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     plain = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, names, strict=True)], text_or_empty(text_col).alias("text"))
     schema = ", ".join([f"{n} {plain.schema[n].dataType.simpleString()}" for n in names] + ["ids array<int>"])
 
+    ranks = _content(docs.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, find, known = vocabulary(path), _pattern(pattern).findall, {}
+        v, find, known = vocabulary(ranks.value), _pattern(pattern).findall, {}
         for batch in small(batches):
             ids, ends = array("i"), [0]
             for text in batch.column("text").to_pylist():
@@ -227,8 +235,10 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", bytes_col: str =
     plain = encoded.toDF(*names)
     schema = ", ".join([f"{n} {plain.schema[n].dataType.simpleString()}" for n in names] + ["decoded binary"])
 
+    ranks = _content(encoded.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = vocabulary(ranks.value)
         for batch in small(batches):
             column = batch.column(at)
             lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)

@@ -106,7 +106,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2
 def fit(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 1500, max_chars: int = 20_000) -> CompressionModel:
     """Fits on at most max_rows rows a class: those of 1 to max_chars characters whose hashed keys come first.
 
-    Keys and lengths are chosen from first; only the texts of the chosen keys, 2 * max_rows at most, come to the driver.
+    Keys and lengths are chosen from first; only one text of each chosen key (the least of those that repeat it), 2 * max_rows
+    at most, comes to the driver. Longer labelled rows aren't learnt from.
     """
     long = docs.select(F.col(key_col).alias("k"), F.length(text_col).alias("n")).where(F.col("n").between(1, max_chars)).select("k")
     rows = long.join(labels.select(F.col(key_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)"), "k").distinct()
@@ -115,7 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: s
         first = rows.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(max_rows)
         chosen = first if chosen is None else chosen.unionAll(first)
     texts = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"))
-    got = sorted(texts.join(F.broadcast(chosen), "k").where(F.length("t").between(1, max_chars)).collect())
+    met = texts.join(F.broadcast(chosen), "k").where(F.length("t").between(1, max_chars))
+    got = sorted(met.groupBy("k", "y").agg(F.min("t").alias("t")).select("k", "t", "y").collect())
     return CompressionModel.fit([r["t"].encode() for r in got], [r["y"] for r in got])
 
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from novelspark.llm.bpe import Vocabulary, append_text, decode, encode, op8_byte_bpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
-V = Vocabulary(PATH)
+V = Vocabulary(open(PATH, "rb").read())
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=V.ranks, special_tokens={})
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 

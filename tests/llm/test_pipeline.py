@@ -26,7 +26,7 @@ def test_equals_brute_force_stage_by_stage(spark):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     found = {k for k, *_ in leaks_by_brute_force(list(docs.items()), items)}
     docs = {k: t for k, t in docs.items() if k not in found}
-    ranks = Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")).ranks
+    ranks = Vocabulary(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read()).ranks
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = {k: (library.encode_ordinary(t), hashlib.sha256(t.encode()).hexdigest()) for k, t in docs.items()}
     got = {r["doc_id"]: (list(r["ids"]), r["decoded_sha256"]) for r in corpus_pipeline.run(spark, d).collect()}

@@ -70,21 +70,20 @@ def test_links_connect_what_brute_force_connects(spark):
 
 def test_one_full_cell_is_dealt_by_pairs_of_tiles(spark):
     rnd = random.Random(8)
-    quarter = [sum(1 << b for b in rnd.sample(range(16), 8)) for _ in range(4000)]
-    fps = sorted({quarter[i] | quarter[i + 1] << 16 | quarter[i + 2] << 32 | quarter[i + 3] << 48 for i in range(0, 2000, 4)})
+    fps = set()
+    for _ in range(100):  # walks of steps of two bits, that leave every quarter at 8 set bits
+        bits = [set(rnd.sample(range(16), 8)) for _ in range(4)]
+        for _ in range(5):
+            fps.add(sum(1 << 16 * q + b for q in range(4) for b in bits[q]))
+            q = rnd.randrange(4)
+            bits[q] ^= {rnd.choice(sorted(bits[q])), rnd.choice(sorted(set(range(16)) - bits[q]))}
     signed = {x: x - (1 << 64) if x >> 63 else x for x in fps}
-    labels = {r["node"]: r["label"] for r in connected_components(near_links(spark.createDataFrame([(v,) for v in signed.values()], "fp long"), tile=25, radius=20)).collect()}
-    at = {x: x for x in fps}
-    for i, x in enumerate(fps):
-        for y in fps[:i]:
-            if (x ^ y).bit_count() <= 20 and at[x] != at[y]:
-                old, new = at[x], at[y]
-                at = {k: new if v == old else v for k, v in at.items()}
-    groups, got = {}, {}
+    labels = {r["node"]: r["label"] for r in connected_components(near_links(spark.createDataFrame([(v,) for v in signed.values()], "fp long"), tile=25)).collect()}
+    want, groups, got = brute_components({x: x for x in fps}), {}, {}
     for x in fps:
-        groups.setdefault(at[x], set()).add(x)
+        groups.setdefault(want[x], set()).add(x)
         got.setdefault(labels.get(signed[x], signed[x]), set()).add(x)
-    assert len(fps) > 480 and 20 < len(groups) < 470 and sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
+    assert len(fps) > 480 and len(groups) < 120 and sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
 
 
 def test_nulls_ties_and_clashing_columns(spark):
