@@ -17,11 +17,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where that is unset (tests), a folder of our own."""
+    """The session's spark.checkpoint.dir; where that is unset, in local mode, a folder of our own. A cluster must name one that all its machines see."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="novelspark-"))
     return os.path.dirname(spark.sparkContext.getCheckpointDir())
 
