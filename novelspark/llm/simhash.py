@@ -13,8 +13,8 @@ most. At a similarity of 0.8 two fingerprints differ in 19.4 +- 4.1 bits, so tha
 64 bits they differ in 9.7 +- 2.9, which is too near to unrelated texts' 32 +- 4). A radius of 30 leaves few population
 counts to skip, so there the cells are classes of set sizes, of a factor of 1.26: similar sets are in one cell or in
 adjacent ones. Every link is verified on the whole shingle sets. First each text is compared with the least of its
-candidates; only pairs of texts that these links leave in different components are then compared, so that a large group
-of copies costs a row a text. Texts that are equal but for A-Z and white space are one class (64-bit hash) and enter
+candidates. Texts that then have a candidate in another component go on with their sets, in tiles again, and a pair of
+tiles counts the shared shingles of all its pairs of texts: no step makes a row a pair, however large a group is. Texts that are equal but for A-Z and white space are one class (64-bit hash) and enter
 once. A text of fewer words than a shingle has one shingle, the whole text; texts without a word are one class.
 
 A null text counts as empty; texts without a word have fingerprint zero and are linked with each other like any other. A
@@ -110,9 +110,9 @@ def _cells_around(radius: int, sign: int) -> Column:
     return F.transform(legal, lambda m: _number([c + m[q] for q, c in enumerate(counts)]))
 
 
-def _tiles(rows: DataFrame, value: Column, by: str, size: int) -> DataFrame:
-    """rows (cell, by, ...) packed to (cell, part, v): about size values in one array, dealt by the hash of by."""
-    parts = rows.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
+def _tiles(rows: DataFrame, value: Column, by: str, size: int, weight: Column | None = None) -> DataFrame:
+    """rows (cell, by, ...) packed to (cell, part, v): values of about size in weight in one array, dealt by the hash of by."""
+    parts = rows.groupBy("cell").agg(F.ceil((F.count("*") if weight is None else F.sum(weight)) / size).cast("int").alias("parts"))
     dealt = rows.join(F.broadcast(parts), "cell").select("cell", F.pmod(F.xxhash64(by), "parts").cast("int").alias("part"), value.alias("v"))
     return stored(dealt.groupBy("cell", "part").agg(F.sort_array(F.collect_list("v")).alias("v")), "tiles")
 
@@ -244,7 +244,7 @@ def _sketches(words: int):
 
 
 def _candidates(radius: int, numerator: int, denominator: int, chunk: int = 64):
-    """Pairs of tiles of (c, low, high, size, label) to candidates (a, b). label -1: for each text the least c of its candidates, or its own if that is less; else all pairs of different labels."""
+    """Pairs of tiles of (c, low, high, size, label) to rows (a, b) of each text b that has candidates there: a is the least c of these and its own; where texts have labels (not -1), only candidates of other labels count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 64):
@@ -260,29 +260,57 @@ def _candidates(radius: int, numerator: int, denominator: int, chunk: int = 64):
                     a, b = np.nonzero(apart <= radius)
                     a += i
                     fits = denominator * np.minimum(x[a, 3], y[b, 3]) >= numerator * np.maximum(x[a, 3], y[b, 3])
-                    fits &= a < b if same[r] else True
                     fits &= (x[a, 4] != y[b, 4]) | (x[a, 4] == -1)
+                    if same[r]:
+                        fits &= a < b
                     found.append((x[a[fits], 0], y[b[fits], 0]))
                 a, b = (np.concatenate(f) for f in zip(*found, strict=True))
-                if len(a) and x[0, 4] == -1:
+                if len(a):
                     each, other = np.concatenate([a, b]), np.concatenate([b, a])
                     order = np.lexsort((other, each))
-                    first = order[np.diff(each[order], prepend=each[order[0]] - 1) != 0]
-                    a, b = np.minimum(other[first], each[first]), each[first]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    first = order[np.concatenate([[True], each[order][1:] != each[order][:-1]])]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other[first], each[first])), pa.array(each[first])], ["a", "b"])
 
     return run
 
 
-def _compared(classes: DataFrame, radius: int, numerator: int, denominator: int, tile: int) -> DataFrame:
-    """classes (c, low, high, size, label) to the candidates (a, b)."""
+def _cells_by_size(rows: DataFrame, numerator: int, denominator: int) -> DataFrame:
     # 1.26 is more than 1 / 0.8, so that rounding can't part similar sizes by two cells.
-    step = math.log(1.008 * denominator / numerator)
-    cells = classes.withColumn("cell", F.floor(F.log("size") / step).cast("int"))
-    tiles = _tiles(cells, F.array("c", "low", "high", "size", "label"), "c", tile)
+    return rows.withColumn("cell", F.floor(F.log("size") / math.log(1.008 * denominator / numerator)).cast("int"))
+
+
+def _pairs_by_size(tiles: DataFrame) -> DataFrame:
     cell = F.col("cell")
-    return _tile_pairs(tiles, F.array(cell, cell + 1), F.array(cell, cell - 1)).mapInArrow(_candidates(radius, numerator, denominator), "a bigint, b bigint")
+    return _tile_pairs(tiles, F.array(cell, cell + 1), F.array(cell, cell - 1))
+
+
+def _exact(numerator: int, denominator: int):
+    """Pairs of tiles of (c, n, h: the sets end to end) to links (a, b), a spanning forest of all pairs that are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 1):
+            (xc, xn, xh), (yc, yn, yh) = (tuple(batch.column(s).field(n).flatten().to_numpy() for n in ("c", "n", "h")) for s in ("x", "y"))
+            same = batch.column("same")[0].as_py()
+            order = np.argsort(yh, kind="stable")
+            owner, yh = np.repeat(np.arange(len(yc)), yn)[order], yh[order]
+            ends, left, right = np.cumsum(xn), [], []
+            for i in range(len(xc)):
+                own = xh[ends[i] - xn[i] : ends[i]]
+                lo = np.searchsorted(yh, own, "left")
+                many = np.searchsorted(yh, own, "right") - lo
+                at = np.arange(many.sum()) + np.repeat(lo - (np.cumsum(many) - many), many)
+                shared = np.bincount(owner[at], minlength=len(yc))
+                j = np.flatnonzero(denominator * shared >= numerator * (xn[i] + yn - shared))
+                j = j[j > i] if same else j
+                left.append(np.full(len(j), i))
+                right.append(j)
+            i, j = np.concatenate(left), np.concatenate(right)
+            if len(i):
+                both = np.concatenate([xc, yc])
+                k, least = _forest(i, j + (0 if same else len(xc)), len(both))
+                yield pa.RecordBatch.from_arrays([pa.array(both[k]), pa.array(both[least])], ["a", "b"])
+
+    return run
 
 
 def _sets(words: int):
@@ -326,9 +354,13 @@ def near_copies(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text"
     rows = stored(plain.mapInArrow(_sketches(words), "key bigint, t bigint, c bigint, low bigint, high bigint, size bigint"), "sketches")
     least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "t")).alias("least")
     classes = stored(rows.groupBy("c").agg(least, *[F.first(x).alias(x) for x in ("low", "high", "size")], F.count("*").alias("n")), "text-classes")
-    compare = lambda of: _compared(of.where("size > 0"), radius, numerator, denominator, tile)
-    alone = classes.withColumn("label", F.lit(-1).cast("long"))
-    star = stored(compare(alone).groupBy("b").agg(F.min("a").alias("a")), "candidates")
+
+    def asked(of: DataFrame) -> DataFrame:
+        tiles = _tiles(_cells_by_size(of.where("size > 0"), numerator, denominator), F.array("c", "low", "high", "size", "label"), "c", tile)
+        found = _pairs_by_size(tiles).mapInArrow(_candidates(radius, numerator, denominator), "a bigint, b bigint")
+        return stored(found.groupBy("b").agg(F.min("a").alias("a")), "candidates")
+
+    star = asked(classes.withColumn("label", F.lit(-1).cast("long")))
     met = classes.join(star.select(F.col("b").alias("c")), "c")
     # One text a class: rows that repeat both key and text are the same text.
     needed = met.select("c", *place(F.col("least.key"), F.col("least.t")))
@@ -336,10 +368,11 @@ def near_copies(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text"
     sets = stored(texts.select("c", "text").mapInArrow(_sets(words), "c bigint, found array<bigint>"), "shingle-sets")
     links = _verified(star.where("a < b"), sets, numerator, denominator)
     labels = connected_components(links).withColumnRenamed("node", "c")
-    rest = stored(compare(met.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))), "candidates")
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(rest, sets, numerator, denominator))
+    apart = asked(met.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c")))
+    left = sets.join(apart.select(F.col("b").alias("c")), "c").withColumn("size", F.size("found"))
+    tiles = _tiles(_cells_by_size(left, numerator, denominator), F.struct("c", "size", "found"), "c", 100 * tile, F.col("size"))
+    tiles = tiles.withColumn("v", F.struct(F.col("v.c").alias("c"), F.col("v.size").alias("n"), F.flatten("v.found").alias("h")))
+    links = links.unionByName(_pairs_by_size(tiles).mapInArrow(_exact(numerator, denominator), "a bigint, b bigint"))
     labels = connected_components(links).withColumnRenamed("node", "c")
     of = stored(classes.select("c", "n").join(labels, "c", "left").select("c", "n", F.coalesce("label", "c").alias("component")), "labelled")
     return looked_up(rows.select("key", "t", "c"), of, ["c"], "n").select("key", "t", "component")

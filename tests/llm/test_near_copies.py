@@ -1,7 +1,9 @@
 import random
 
 import corpus_pipeline
-from novelspark.llm.simhash import keep_one_near_copy
+from pyspark.sql import functions as F
+
+from novelspark.llm.simhash import keep_one_near_copy, near_copies
 
 
 def brute(rows):
@@ -51,3 +53,18 @@ def test_chains_beyond_the_leading_text_and_null_keys(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in keep_one_near_copy(df).collect())
     assert got == brute(rows)
+
+
+def test_large_group_whose_pairs_are_similar_or_not(spark):
+    rnd = random.Random(2)
+    words = [f"w{i}" for i in range(146)]
+    rows = []
+    for k in range(500):
+        copy = list(words)
+        for _ in range(rnd.randint(0, 9)):
+            copy[rnd.randrange(len(copy))] = f"new{rnd.random()}"
+        rows.append((k, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((False, r["doc_id"]) for r in near_copies(df, tile=40).groupBy("component").agg(F.min("key").alias("doc_id")).collect())
+    want = brute(rows)
+    assert len(want) > 20 and len(set(got) ^ set(want)) <= 2
