@@ -11,13 +11,13 @@ from novelspark.operators.similarity import nearest_means
 def replay(visits: DataFrame, j: int, block: int = 1024) -> DataFrame:
     """visits (agent_id, step, prow, pcol, pvec) to (agent_id, step, prow, pcol, score); null where there is no earlier visit.
 
-    Patches of one step have one ordinal, so that none counts as earlier than another of its own visit; blocks are cut by
-    step, and a block of b steps holds b grids.
+    Patches of one step have one ordinal, so that none counts as earlier than another of its own visit. Blocks are cut by
+    patches, numbered through the agent's steps by the size of the largest grid, so that a block holds block of them at most.
     """
-    cell = F.col("prow") * 1000 + F.col("pcol")
-    ids = visits.withColumn("id", F.col("step") * 1_000_000 + cell)
-    rows = ids.select(F.col("agent_id").alias("g"), "id", F.col("step").alias("ord"), F.col("pvec").alias("vec"))
-    found = nearest_means(rows, rows, j, earlier=True, block=max(1, block // 4))
+    grid = visits.agg((F.coalesce(F.max("prow"), F.lit(0)) + 1).cast("long").alias("rows"), (F.coalesce(F.max("pcol"), F.lit(0)) + 1).cast("long").alias("columns")).first()
+    ids = visits.withColumn("id", (F.col("step") * grid["rows"] + F.col("prow")) * grid["columns"] + F.col("pcol"))
+    rows = ids.select(F.col("agent_id").alias("g"), "id", F.col("step").alias("ord"), F.col("id").alias("pos"), F.col("pvec").alias("vec"))
+    found = nearest_means(rows, rows, j, earlier=True, block=block)
     scores = found.select(F.col("g").alias("agent_id"), F.col("q_id").alias("id"), F.col("novelty").alias("score"))
     return ids.join(scores, ["agent_id", "id"], "left").select("agent_id", "step", "prow", "pcol", "score")
 

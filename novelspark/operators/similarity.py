@@ -1,7 +1,8 @@
 """Exact top-k by inner product, in blocks.
 
-Vectors are packed into blocks of bounded size along a dense ordinal; a query block meets the base blocks by an equi-join on
-group and block number, one matrix product each, and only each block's best k go on to the merge. A group of any size is
+Vectors are packed into blocks of bounded size along a dense ordinal; a query block is sent to the number of each base block
+of its group, where an equi-join on group and number brings the base block in, one matrix product each, and only each
+block's best k go on to the merge. A group of any size is
 so dealt over many tasks. Similarities are rounded to 9 places before anything is ranked, which takes the order of
 summation out of the result; ties go to the smaller id.
 """
@@ -21,8 +22,8 @@ BLOCK = 1024
 
 
 def _packed(df: DataFrame, prefix: str, block: int) -> DataFrame:
-    """df (g, id, ord, vec) to (g, {prefix}_block, {prefix}_ids, {prefix}_ords, {prefix}_vecs)."""
-    rows = df.select("g", F.floor(F.col("ord") / block).cast("int").alias(f"{prefix}_block"), F.struct("id", "ord", F.col("vec").cast("array<double>").alias("vec")).alias("row"))
+    """df (g, id, ord, vec) to (g, {prefix}_block, {prefix}_ids, {prefix}_ords, {prefix}_vecs). Blocks are cut along pos, where df has it."""
+    rows = df.select("g", F.floor(F.col("pos" if "pos" in df.columns else "ord") / block).cast("int").alias(f"{prefix}_block"), F.struct("id", "ord", F.col("vec").cast("array<double>").alias("vec")).alias("row"))
     packs = rows.groupBy("g", f"{prefix}_block").agg(F.sort_array(F.collect_list("row")).alias("rows"))
     return packs.select("g", f"{prefix}_block", F.col("rows.id").alias(f"{prefix}_ids"), F.col("rows.ord").alias(f"{prefix}_ords"), F.flatten("rows.vec").alias(f"{prefix}_vecs"))
 
@@ -31,9 +32,10 @@ def _block_pairs(queries: DataFrame, base: DataFrame, earlier: bool, block: int)
     ship(queries.sparkSession)
     q = _packed(queries.where("vec is not null"), "q", block)
     b = _packed(base.where("vec is not null"), "b", block)
-    asked = q.join(b.select("g", "b_block"), "g")
-    if earlier:
-        asked = asked.where("b_block <= q_block")
+    last = F.floor(F.max("pos" if "pos" in base.columns else "ord") / block).cast("int").alias("last")
+    asked = q.join(base.where("vec is not null").groupBy("g").agg(last), "g")
+    until = F.least("q_block", "last") if earlier else F.col("last")
+    asked = asked.withColumn("b_block", F.explode(F.sequence(F.lit(0), until))).drop("last")
     return asked.join(b, ["g", "b_block"]).select("g", *[f"{p}_{c}" for p in "qb" for c in ("ids", "ords", "vecs")])
 
 
@@ -52,7 +54,7 @@ def top_similar(queries: DataFrame, base: DataFrame, k: int, earlier: bool = Fal
     """(g, q_id, b_id, sim, rank): for each query the k most similar rows of base in its group, rank from 1.
 
     queries, base: (g long, id long, ord long, vec); ord counts from 0 in each group. earlier: only rows of base whose ord is
-    below the query's. A null vector on either side is left out.
+    below the query's. A null vector on either side is left out. pos, if there, cuts the blocks in place of ord, in the same order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,12 +119,15 @@ def replay_novelty(visits: DataFrame, j: int, block: int = 512) -> DataFrame:
     return out.select(F.col("g").alias("agent_id"), F.col("q_id").alias("step"), "novelty", "n_near")
 
 
-def novelty_against(candidates: DataFrame, history: DataFrame, j: int) -> DataFrame:
-    """candidates and history (agent_id, row_id, embedding): (agent_id, row_id, novelty, n_near). An agent without history has no rows."""
+def novelty_against(candidates: DataFrame, history: DataFrame, j: int, numbered: bool = False) -> DataFrame:
+    """candidates and history (agent_id, row_id, embedding): (agent_id, row_id, novelty, n_near). An agent without history has no rows.
+
+    numbered: the candidates' row_ids are dense enough to cut blocks by; an agent's candidates are then not brought together to be numbered.
+    """
     order = Window.partitionBy("agent_id").orderBy("row_id")
     rows = [
-        d.select(F.col("agent_id").alias("g"), F.col("row_id").alias("id"), (F.row_number().over(order) - 1).cast("long").alias("ord"), F.col("embedding").alias("vec"))
-        for d in (candidates, history)
+        d.select(F.col("agent_id").alias("g"), F.col("row_id").alias("id"), (F.col("row_id") if own else F.row_number().over(order) - 1).cast("long").alias("ord"), F.col("embedding").alias("vec"))
+        for d, own in ((candidates, numbered), (history, False))
     ]
     out = nearest_means(*rows, j)
     return out.select(F.col("g").alias("agent_id"), F.col("q_id").alias("row_id"), "novelty", "n_near")

@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from novelspark.functions import vec
-from novelspark.operators import choose, similarity
+from novelspark.operators import choose, similarity, taste
 from novelspark.runtime import stored
 
 
-def scored_candidates(current: DataFrame, history: DataFrame, archive: DataFrame, graph: DataFrame, n: int, m: int, j: int, seed: int, k: int) -> DataFrame:
-    """(agent_id, step, row_id, is_random, pos, score): one superstep's candidates with their novelty, rounded to 9 places before it is compared."""
+def scored_candidates(current: DataFrame, history: DataFrame, archive: DataFrame, graph: DataFrame, n: int, m: int, j: int, seed: int, k: int, tastes: DataFrame | None = None, weight: float = 0.0) -> DataFrame:
+    """(agent_id, step, row_id, is_random, pos, novelty, score): one superstep's candidates with their novelty, rounded to 9 places before it is compared.
+
+    score is the novelty; with tastes (agent_id, taste) the novelty and weight times the cosine with the agent's taste, rounded alike.
+    """
     draws = choose.random_draws(current, archive, m, seed, n)
     near = graph.where(F.col("nn_rank") <= k + 1)
     found = choose.candidates(current, near, draws, history)
     items = archive.select("row_id", "embedding")
     novelty = similarity.novelty_against(found.select("agent_id", "row_id").join(items, "row_id"), history.select("agent_id", "row_id").join(items, "row_id"), j)
-    return found.join(novelty.select("agent_id", "row_id", F.round("novelty", 9).alias("score")), ["agent_id", "row_id"])
+    out = found.join(novelty.select("agent_id", "row_id", F.round("novelty", 9).alias("novelty")), ["agent_id", "row_id"])
+    if tastes is None:
+        return out.withColumn("score", F.col("novelty"))
+    out = out.join(items, "row_id").join(tastes, "agent_id", "left")
+    return out.withColumn("score", F.round(F.col("novelty") + taste.bonus("embedding", F.col("taste"), weight), 9)).drop("embedding", "taste")
 
 
-def superstep(current: DataFrame, history: DataFrame, archive: DataFrame, graph: DataFrame, n: int, m: int, j: int, temperature: float, seed: int, k: int) -> DataFrame:
-    """(agent_id, step, row_id, novelty, rank_among_candidates, n_candidates, was_random_jump): each agent's choice. An agent without a candidate has no row."""
-    scored = choose.with_rank(scored_candidates(current, history, archive, graph, n, m, j, seed, k), "agent_id", "step")
-    counts = scored.groupBy("agent_id", "step").agg(F.count("*").alias("n_candidates"))
-    chosen = choose.softmax_choice(scored, temperature, seed, "agent_id", "step")
-    out = chosen.join(counts, ["agent_id", "step"])
-    return out.select("agent_id", "step", "row_id", F.col("score").alias("novelty"), "rank_among_candidates", "n_candidates", (F.col("is_random") == 1).alias("was_random_jump"))
+def superstep(current: DataFrame, history: DataFrame, archive: DataFrame, graph: DataFrame, n: int, m: int, j: int, temperature: float, seed: int, k: int, tastes: DataFrame | None = None, weight: float = 0.0) -> DataFrame:
+    """(agent_id, step, row_id, novelty, rank_among_candidates, n_candidates, was_random_jump): each agent's choice by score. An agent without a candidate has no row."""
+    scored = choose.with_rank(scored_candidates(current, history, archive, graph, n, m, j, seed, k, tastes, weight), "agent_id", "step")
+    scored = scored.withColumn("n_candidates", F.count("*").over(Window.partitionBy("agent_id", "step")))
+    out = choose.softmax_choice(scored, temperature, seed, "agent_id", "step")
+    return out.select("agent_id", "step", "row_id", "novelty", "rank_among_candidates", "n_candidates", (F.col("is_random") == 1).alias("was_random_jump"))
 
 
 def walk(starts: DataFrame, archive: DataFrame, graph: DataFrame, steps: int, m: int = 5, j: int = 15, k: int = 50, temperature: float = 0.05, seed: int = 42, window: int = 10, bored_below: float | None = None) -> tuple[DataFrame, DataFrame]:

@@ -89,7 +89,7 @@ def log_violations(log: DataFrame) -> DataFrame:
 
 
 def walk_trend(log: DataFrame) -> DataFrame:
-    """Means of the first and last third (max(1, n // 3) steps each) of the steps with a novelty, slope, range, population deviation, jumps and sibling hops."""
+    """Means of the first and last third (max(1, n // 3) steps each) of the steps with a novelty, slope, range, population deviation, jumps and sibling hops. Where the log has rank_among_candidates and n_candidates, also the share of first ranks among ranked steps, and the mean number of candidates behind the start."""
     scored = log.where("novelty is not null")
     w = Window.partitionBy("agent_id")
     scored = scored.withColumn("i", F.row_number().over(by_step())).withColumn("n", F.count("*").over(w))
@@ -99,10 +99,19 @@ def walk_trend(log: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("i") > F.col("n") - third, F.col("novelty"))).alias("last_third"), F.regr_slope("novelty", "step").alias("slope"),
         F.min("novelty").alias("min_novelty"), F.max("novelty").alias("max_novelty"), F.stddev_pop("novelty").alias("std_novelty"),
     )
-    hops = log.groupBy("agent_id").agg(F.count_if("was_random_jump").alias("n_jumps"), F.count_if("is_sibling_hop").alias("n_sibling_hops"), F.count("*").alias("n_steps"))
+    more = []
+    if {"rank_among_candidates", "n_candidates"} <= set(log.columns):
+        more = [F.avg((F.col("rank_among_candidates") == 1).cast("int")).alias("rank1_share"), F.avg(F.when(F.col("step") > 0, F.col("n_candidates"))).alias("mean_candidates")]
+    hops = log.groupBy("agent_id").agg(F.count_if("was_random_jump").alias("n_jumps"), F.count_if("is_sibling_hop").alias("n_sibling_hops"), F.count("*").alias("n_steps"), *more)
     return main.join(hops, "agent_id")
 
 
+def same_walks(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(agent_id, equal) of two runs' logs: whether an agent went the same way in both; an agent that is in one only didn't."""
+    other = fingerprint(b).withColumnRenamed("sha", "other")
+    return fingerprint(a).join(other, "agent_id", "full").select("agent_id", F.coalesce(F.col("sha") == F.col("other"), F.lit(False)).alias("equal"))
+
+
 def degeneracy_flags(trend: DataFrame) -> DataFrame:
     """Flags of walks that went wrong: not declining, flat, mostly jumps, mostly sibling hops."""
     rules = {

@@ -126,20 +126,22 @@ def archive_ceiling(spark, d):
     archive, history = view(spark, d, "archive").select("row_id", "embedding"), _history(spark, d)
     every = similarity.for_each(history.select("agent_id").distinct(), archive)
     fresh = every.join(history.select("agent_id", "row_id"), ["agent_id", "row_id"], "left_anti")
-    scored = similarity.novelty_against(fresh, history.join(archive, "row_id"), J).withColumn("novelty", F.round("novelty", 9))
+    scored = similarity.novelty_against(fresh, history.join(archive, "row_id"), J, numbered=True).withColumn("novelty", F.round("novelty", 9))
     w = Window.partitionBy("agent_id").orderBy(F.desc("novelty"), "row_id")
     return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("agent_id", "row_id", r6("novelty").alias("novelty"))
 
 
 def probe_report(spark, d):
-    """Outside vectors as probes (label below 5) or controls, scored against each agent's visits: novelty, best one, nearest item."""
+    """Outside vectors as probes (label below 5) or controls, scored against each agent's visits and taste: novelty, taste similarity, their sum, best one by it, nearest item."""
     history = with_items(_history(spark, d), view(spark, d, "archive"), "embedding")
     probes = similarity.for_each(history.select("agent_id").distinct(), _external(spark, d))
     kind = view(spark, d, "archive").select("row_id", F.when(F.col("class_label").cast("int") < 5, "probe").otherwise("control").alias("kind"))
     nearest = nearest_in_archive(spark, d).select(F.col("query_row").alias("row_id"), "sim")
-    scored = similarity.novelty_against(probes, history, J).join(kind, "row_id").join(nearest, "row_id")
-    best = F.max_by("row_id", F.struct(F.round("novelty", 9), -F.col("row_id")))
-    out = scored.groupBy("agent_id", "kind").agg(F.count("*").alias("n"), F.avg("novelty").alias("mean_novelty"), best.alias("best"), F.round(F.avg("sim"), 5).alias("mean_nearest_sim"))
+    scored = similarity.novelty_against(probes, history, J, numbered=True).join(kind, "row_id").join(nearest, "row_id")
+    scored = scored.join(_external(spark, d), "row_id").join(_taste(spark, d), "agent_id", "left")
+    scored = scored.withColumn("taste_sim", F.when(F.col("taste").isNotNull(), vec.dot("embedding", "taste"))).withColumn("score", F.round(F.col("novelty") + taste.bonus("embedding", F.col("taste"), 0.5), 9))
+    best = F.max_by("row_id", F.struct("score", -F.col("row_id")))
+    out = scored.groupBy("agent_id", "kind").agg(F.count("*").alias("n"), F.avg("novelty").alias("mean_novelty"), F.round(F.avg("taste_sim"), 5).alias("mean_taste_similarity"), F.avg("score").alias("mean_score"), best.alias("best"), F.round(F.avg("sim"), 5).alias("mean_nearest_sim"))
     return rounded(out)
 
 
@@ -148,6 +150,27 @@ def locality_profile(spark, d):
     return rounded(graph.groupBy(F.col("nn_rank").cast("long").alias("nn_rank")).agg(F.avg(1 - F.col("sim")).alias("mean_distance"), F.count("*").alias("n")))
 
 
+def locality_contrast(spark, d):
+    """Neighbours' mean distance within a group and across groups, and that of seeded random pairs."""
+    archive = view(spark, d, "archive").select("row_id", "group_id", "embedding")
+    n = _n(spark, d)
+    near = similarity.knn_graph(archive, K).where("row_id <> nb_row")
+    own, other = archive.select("row_id", "group_id"), archive.select(F.col("row_id").alias("nb_row"), F.col("group_id").alias("nb_group"))
+    same = F.coalesce(F.col("group_id") == F.col("nb_group"), F.lit(False))
+    near = near.join(own, "row_id").join(other, "nb_row").agg(F.avg(F.when(same, 1 - F.col("sim"))).alias("same_group"), F.avg(F.when(~same, 1 - F.col("sim"))).alias("other_group"))
+    drawn = archive.withColumn("nb_row", F.floor(keyed_uniform(SEED, F.col("row_id"), "pair") * n).cast("long")).where("nb_row <> row_id")
+    pairs = drawn.join(archive.select(F.col("row_id").alias("nb_row"), F.col("embedding").alias("other")), "nb_row")
+    pairs = pairs.agg(F.count("*").alias("n_pairs"), F.avg(F.round(1 - vec.dot("embedding", "other"), 9)).alias("random_pairs"))
+    return rounded(near.crossJoin(pairs).withColumn("group_ratio", F.col("same_group") / F.col("other_group")))  # one row each
+
+
+def walk_step_taste(spark, d):
+    """A superstep in which the agents' tastes count: the first item that each visited, at a weight of one half."""
+    archive = view(spark, d, "archive")
+    out = walk.superstep(_current(spark, d), _history(spark, d), archive, similarity.knn_graph(archive, K), _n(spark, d), M, J, T, SEED, K, _taste(spark, d), 0.5)
+    return rounded(out.select("agent_id", "step", "row_id", "novelty", F.col("rank_among_candidates").cast("long").alias("rank_among_candidates"), "n_candidates", "was_random_jump"))
+
+
 def patch_novelty(spark, d):
     out = patches.replay(_patch_visits(spark, d), J)
     return out.select("agent_id", "step", "prow", "pcol", r6("score").alias("score"))
@@ -209,8 +232,8 @@ def walk_replay_check(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    knn_graph, nearest_in_archive, random_draws, random_starts, unresolved_starts, candidates, novelty_candidates, rank_candidates, softmax, softmax_choice, walk_step, taste_bonus, combined_score,
-    taste_update, archive_ceiling, probe_report, locality_profile, patch_novelty, patch_scale, patch_step_stats, patch_corr, centre_patches, patch_mean, fps, novelty_walk, walk_replay_check,
+    knn_graph, nearest_in_archive, random_draws, random_starts, unresolved_starts, candidates, novelty_candidates, rank_candidates, softmax, softmax_choice, walk_step, walk_step_taste, taste_bonus, combined_score,
+    taste_update, archive_ceiling, probe_report, locality_profile, locality_contrast, patch_novelty, patch_scale, patch_step_stats, patch_corr, centre_patches, patch_mean, fps, novelty_walk, walk_replay_check,
 )}
 
 _DOT = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9)"
@@ -231,6 +254,9 @@ _MORE = {
     "against": f"SELECT c.agent_id, c.row_id, {_DOT} AS sim, h.row_id AS h_row FROM cand c JOIN history h ON h.agent_id = c.agent_id JOIN archive a ON a.row_id = c.row_id JOIN archive b ON b.row_id = h.row_id",
     "novel": f"SELECT agent_id, row_id, round(avg(1 - sim), 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY agent_id, row_id ORDER BY sim DESC, h_row) AS rk FROM against) q WHERE rk <= {J} GROUP BY agent_id, row_id",
     "scoredc": "SELECT c.*, n.score, row_number() OVER (PARTITION BY c.agent_id, c.step ORDER BY n.score DESC, c.is_random, c.pos) AS rank FROM cand c JOIN novel n ON n.agent_id = c.agent_id AND n.row_id = c.row_id",
+    "pulled": """SELECT s.agent_id, s.step, s.row_id, s.is_random, s.pos, s.score AS novelty, round(s.score + coalesce(0.5e0 * list_dot_product(a.embedding::DOUBLE[], t.taste), 0), 9) AS score
+ FROM scoredc s JOIN archive a ON a.row_id = s.row_id LEFT JOIN tastes t ON t.agent_id = s.agent_id""",
+    "pulledr": "SELECT *, row_number() OVER (PARTITION BY agent_id, step ORDER BY score DESC, is_random, pos) AS rank, count(*) OVER (PARTITION BY agent_id, step) AS n FROM pulled",
     "chosen": f"""SELECT * FROM scoredc QUALIFY row_number() OVER (PARTITION BY agent_id, step ORDER BY round(score / {T} - ln(-ln((('0x' || substr(md5(concat('{SEED}|', agent_id, '|', step, '|', row_id)), 1, 13))::BIGINT + 0.5e0) / 4503599627370496.0e0)), 9) DESC, row_id) = 1""",
     "tastes": "SELECT v.agent_id, CASE WHEN v.agent_id % 5 <> 2 THEN a.embedding::DOUBLE[] END AS taste FROM visits v JOIN archive a ON v.row_id = a.row_id WHERE v.step = 0",
     "tasted": """SELECT l.agent_id, l.step, l.novelty, a.embedding::DOUBLE[] AS e, t.taste, CASE WHEN t.taste IS NULL THEN 0 ELSE 0.5e0 * list_dot_product(a.embedding::DOUBLE[], t.taste) END AS bonus
@@ -278,14 +304,24 @@ SQL = {
     "softmax_choice": _q("SELECT agent_id, row_id FROM chosen"),
     "walk_step": _q("""SELECT c.agent_id, c.step, c.row_id, round(c.score, 6) AS novelty, c.rank AS rank_among_candidates, n.n AS n_candidates, c.is_random = 1 AS was_random_jump
  FROM chosen c JOIN (SELECT agent_id, step, count(*) AS n FROM scoredc GROUP BY agent_id, step) n ON n.agent_id = c.agent_id AND n.step = c.step"""),
+    "walk_step_taste": _q(f"""SELECT agent_id, step, row_id, round(novelty, 6) AS novelty, rank AS rank_among_candidates, n AS n_candidates, is_random = 1 AS was_random_jump FROM pulledr
+ QUALIFY row_number() OVER (PARTITION BY agent_id, step ORDER BY round(score / {T} - ln(-ln((('0x' || substr(md5(concat('{SEED}|', agent_id, '|', step, '|', row_id)), 1, 13))::BIGINT + 0.5e0) / 4503599627370496.0e0)), 9) DESC, row_id) = 1"""),
     "taste_bonus": _q("SELECT agent_id, step, round(bonus, 6) AS bonus FROM tasted"),
     "combined_score": _q("SELECT agent_id, step, round(novelty + bonus, 6) AS score FROM tasted"),
     "taste_update": _q("""SELECT agent_id, step, round(u[1] / n, 6) AS first, round(list_dot_product(u, taste) / n, 6) AS kept, round(1 - list_dot_product(u, taste) / n, 6) AS shift
  FROM (SELECT *, greatest(sqrt(list_dot_product(u, u)), 1e-12) AS n FROM updated) q"""),
     "archive_ceiling": _q("SELECT agent_id, row_id, round(novelty, 6) AS novelty FROM ceiling QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY novelty DESC, row_id) = 1"),
-    "probe_report": _q("""SELECT p.agent_id, CASE WHEN a.class_label::INT < 5 THEN 'probe' ELSE 'control' END AS kind, count(*) AS n, round(avg(p.novelty), 6) AS mean_novelty, arg_max(p.row_id, (round(p.novelty, 9), -p.row_id)) AS best,
- round(avg(round(n.sim, 6)), 5) AS mean_nearest_sim FROM probed p JOIN archive a ON a.row_id = p.row_id JOIN nearest n ON n.query_row = p.row_id GROUP BY 1, 2"""),
+    "probe_report": _q("""SELECT p.agent_id, CASE WHEN a.class_label::INT < 5 THEN 'probe' ELSE 'control' END AS kind, count(*) AS n, round(avg(p.novelty), 6) AS mean_novelty,
+ round(avg(list_dot_product(o.embedding::DOUBLE[], t.taste)), 5) AS mean_taste_similarity, round(avg(p.novelty + coalesce(0.5e0 * list_dot_product(o.embedding::DOUBLE[], t.taste), 0)), 6) AS mean_score,
+ arg_max(p.row_id, (round(p.novelty + coalesce(0.5e0 * list_dot_product(o.embedding::DOUBLE[], t.taste), 0), 9), -p.row_id)) AS best,
+ round(avg(round(n.sim, 6)), 5) AS mean_nearest_sim FROM probed p JOIN archive a ON a.row_id = p.row_id JOIN nearest n ON n.query_row = p.row_id
+ JOIN outside o ON o.row_id = p.row_id LEFT JOIN tastes t ON t.agent_id = p.agent_id GROUP BY 1, 2"""),
     "locality_profile": _q("SELECT nn_rank, round(avg(1 - sim), 6) AS mean_distance, count(*) AS n FROM graph GROUP BY nn_rank"),
+    "locality_contrast": _q(f"""WITH n AS (SELECT avg(1 - g.sim) FILTER (same) AS s, avg(1 - g.sim) FILTER (NOT same) AS o FROM (SELECT g.*, coalesce(a.group_id = b.group_id, false) AS same
+ FROM graph g JOIN archive a ON a.row_id = g.row_id JOIN archive b ON b.row_id = g.nb_row WHERE g.row_id <> g.nb_row) g),
+d AS (SELECT *, cast(floor((('0x' || substr(md5(concat('{SEED}|', row_id, '|pair')), 1, 13))::BIGINT + 0.5e0) / 4503599627370496.0e0 * (SELECT count(*) FROM embeddings)) AS BIGINT) AS nb_row FROM archive),
+p AS (SELECT count(*) AS n_pairs, avg(round(1 - list_dot_product(d.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9)) AS r FROM d JOIN archive b ON b.row_id = d.nb_row WHERE d.row_id <> d.nb_row)
+SELECT round(s, 6) AS same_group, round(o, 6) AS other_group, n_pairs, round(r, 6) AS random_pairs, round(s / o, 6) AS group_ratio FROM n, p"""),
     "patch_novelty": _q("SELECT agent_id, step, prow, pcol, round(score, 6) AS score FROM patch_scores"),
     "patch_scale": _q("SELECT round(quantile_cont(score, 0.75), 6) AS p75, round(quantile_cont(score, 0.98), 6) AS p98 FROM patch_scores"),
     "patch_step_stats": _q("SELECT agent_id, step, round(mean_score, 6) AS mean_score, round(max_score, 6) AS max_score, round(min_score, 6) AS min_score, round(hot_fraction, 6) AS hot_fraction, argmax_cell::INT AS argmax_cell FROM patch_stats"),

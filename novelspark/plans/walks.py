@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from novelspark.functions import vec
@@ -28,9 +28,10 @@ _MORE = {
     "stops": f"""SELECT agent_id, coalesce(min(step) FILTER (in_window = {WINDOW} AND running < {THRESHOLD}), max(step)) AS stop_step,
  CASE WHEN count(*) FILTER (in_window = {WINDOW} AND running < {THRESHOLD}) > 0 THEN 'boredom' ELSE 'max_steps' END AS stop_reason FROM means GROUP BY agent_id""",
     "scored": "SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY step) AS i, count(*) OVER (PARTITION BY agent_id) AS n FROM enriched WHERE novelty IS NOT NULL",
-    "trend": """SELECT s.*, h.n_jumps, h.n_sibling_hops, h.n_steps FROM (SELECT agent_id, count(*) AS n_scored, avg(novelty) FILTER (i <= greatest(1, n // 3)) AS first_third,
+    "trend": """SELECT s.*, h.n_jumps, h.n_sibling_hops, h.n_steps, h.rank1_share, h.mean_candidates FROM (SELECT agent_id, count(*) AS n_scored, avg(novelty) FILTER (i <= greatest(1, n // 3)) AS first_third,
  avg(novelty) FILTER (i > n - greatest(1, n // 3)) AS last_third, regr_slope(novelty, step) AS slope, min(novelty) AS min_novelty, max(novelty) AS max_novelty, stddev_pop(novelty) AS std_novelty
- FROM scored GROUP BY agent_id) s JOIN (SELECT agent_id, count(*) FILTER (was_random_jump) AS n_jumps, count(*) FILTER (sibling) AS n_sibling_hops, count(*) AS n_steps FROM enriched GROUP BY agent_id) h ON s.agent_id = h.agent_id""",
+ FROM scored GROUP BY agent_id) s JOIN (SELECT agent_id, count(*) FILTER (was_random_jump) AS n_jumps, count(*) FILTER (sibling) AS n_sibling_hops, count(*) AS n_steps,
+ avg(((row_id + step) % 3 = 0)::INT) FILTER (step > 0) AS rank1_share, avg(20 + row_id % 7) FILTER (step > 0) AS mean_candidates FROM enriched GROUP BY agent_id) h ON s.agent_id = h.agent_id""",
 }
 
 
@@ -117,7 +118,43 @@ def visited_distinct(spark, d):
 
 
 def walk_trend(spark, d):
-    return wl.rounded(wl.walk_trend(enriched(spark, d)))
+    """The visits have no ranks of their own: a rank and a number of candidates are derived from step and item."""
+    ranked = enriched(spark, d).withColumn("rank_among_candidates", F.when(F.col("step") > 0, 1 + (F.col("row_id") + F.col("step")) % 3)).withColumn("n_candidates", 20 + F.col("row_id") % 7)
+    return wl.rounded(wl.walk_trend(ranked))
+
+
+def _damaged(spark, d):
+    """The visits as a run that went otherwise for some agents: one in ten stops a step earlier, another loses step 1."""
+    last = F.max("step").over(Window.partitionBy("agent_id"))
+    kept = view(spark, d, "visits").withColumn("last", last).where(~((F.col("agent_id") % 10 == 3) & (F.col("step") == F.col("last"))) & ~((F.col("agent_id") % 10 == 7) & (F.col("step") == 1)))
+    return kept.drop("last")
+
+
+def runs_equal(spark, d):
+    """A run against another run of the same agents."""
+    return wl.same_walks(view(spark, d, "visits"), _damaged(spark, d))
+
+
+def broken_log(spark, d):
+    """The rules of the log, on a log with steps missing and with items visited again."""
+    again = F.when((F.col("agent_id") % 10 == 5) & (F.col("step") == 4), F.first("chip_id").over(Window.partitionBy("agent_id").orderBy("step"))).otherwise(F.col("chip_id"))
+    rows = _damaged(spark, d).withColumn("chip_id", again).join(log(spark, d).select("agent_id", "step", "novelty"), ["agent_id", "step"], "left")
+    out = wl.log_violations(rows.withColumn("history_size", F.col("step") + 1))
+    return out.select("agent_id", F.col("step").cast("long").alias("step"), "rule")
+
+
+def unvisited_by_few(spark, d):
+    """What the first agents of the log leave unvisited."""
+    few = view(spark, d, "visits").where("agent_id % 50 = 1")
+    return view(spark, d, "archive").select("row_id", "chip_id").join(few.select("row_id"), "row_id", "left_anti")
+
+
+def taste_drift(spark, d):
+    """The taste that starts with the first item, and how far it has come from there."""
+    items = wl.with_items(log(spark, d), view(spark, d, "archive"), "embedding")
+    starts = items.where("step = 0").select("agent_id", F.col("embedding").alias("taste"))
+    out = taste.fold_from(starts, items, 0.3, STRONG)
+    return wl.rounded(out.select("agent_id", F.col("n_updates").cast("long").alias("n_updates"), "total_shift", "drift", F.get("taste", 0).alias("taste_0")))
 
 
 def degeneracy_flags(spark, d):
@@ -157,6 +194,7 @@ def near_twins(spark, d):
     both = similarity.replay_novelty(visits, J).join(one, ["agent_id", "step"])
     out = both.groupBy("agent_id").agg(
         F.count("*").alias("n_scored"), F.count_if(F.col("nearest") <= 0.7).alias("n_twins"), F.avg(F.when(F.col("nearest") <= 0.7, F.col("novelty"))).alias("twin_novelty"),
+        F.when((F.count("*") > 2) & (F.stddev_pop("novelty") > 0) & (F.stddev_pop("nearest") > 0), F.round(F.corr("novelty", "nearest"), 5)).alias("corr_nearest"),
     )
     return wl.rounded(out)
 
@@ -177,7 +215,7 @@ def taste_fold(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     novelty_replay, log_enrich, running_mean, boredom_stop, agent_summary, shared_chips, terminal_state, walk_sequence, log_projection, log_invariants, latest_run, sibling_hops,
-    visited_distinct, walk_trend, degeneracy_flags, run_equal, walk_overlap, walk_compare, near_twins, unvisited, strong_encounters, taste_fold,
+    visited_distinct, runs_equal, broken_log, unvisited_by_few, taste_drift, walk_trend, degeneracy_flags, run_equal, walk_overlap, walk_compare, near_twins, unvisited, strong_encounters, taste_fold,
 )}
 
 SQL = {
@@ -201,7 +239,21 @@ SQL = {
     "sibling_hops": sql("SELECT agent_id, count(*) FILTER (sibling) AS n_sibling_hops, count(*) AS n_steps FROM enriched GROUP BY agent_id"),
     "visited_distinct": sql("SELECT row_id, chip_id FROM archive WHERE row_id IN (SELECT row_id FROM visits)"),
     "walk_trend": sql("""SELECT agent_id, n_scored, round(first_third, 6) AS first_third, round(last_third, 6) AS last_third, round(slope, 6) AS slope, round(min_novelty, 6) AS min_novelty, round(max_novelty, 6) AS max_novelty,
- round(std_novelty, 6) AS std_novelty, n_jumps, n_sibling_hops, n_steps FROM trend"""),
+ round(std_novelty, 6) AS std_novelty, n_jumps, n_sibling_hops, n_steps, round(rank1_share, 6) AS rank1_share, round(mean_candidates, 6) AS mean_candidates FROM trend"""),
+    "runs_equal": sql("""WITH f AS (SELECT agent_id, string_agg(concat(step, ':', chip_id), ',' ORDER BY step) AS s FROM visits GROUP BY agent_id),
+o AS (SELECT agent_id, string_agg(concat(step, ':', chip_id), ',' ORDER BY step) AS s FROM (SELECT *, max(step) OVER (PARTITION BY agent_id) AS last FROM visits) v WHERE NOT (agent_id % 10 = 3 AND step = last) AND NOT (agent_id % 10 = 7 AND step = 1) GROUP BY agent_id)
+SELECT coalesce(f.agent_id, o.agent_id) AS agent_id, coalesce(f.s = o.s, false) AS equal FROM f FULL JOIN o ON f.agent_id = o.agent_id"""),
+    "broken_log": sql("""WITH v AS (SELECT *, max(step) OVER (PARTITION BY agent_id) AS last FROM log),
+k AS (SELECT * FROM v WHERE NOT (agent_id % 10 = 3 AND step = last) AND NOT (agent_id % 10 = 7 AND step = 1)),
+r AS (SELECT agent_id, step, novelty, CASE WHEN agent_id % 10 = 5 AND step = 4 THEN first_value(chip_id) OVER (PARTITION BY agent_id ORDER BY step) ELSE chip_id END AS chip_id FROM k)
+SELECT agent_id, step, rule FROM (SELECT agent_id, step, unnest([CASE WHEN step <> row_number() OVER (PARTITION BY agent_id ORDER BY step) - 1 THEN 'dense_steps' END,
+ CASE WHEN row_number() OVER (PARTITION BY agent_id, chip_id ORDER BY step) > 1 THEN 'no_revisit' END, CASE WHEN (novelty IS NULL) <> (step = 0) THEN 'novelty_null_at_start_only' END]) AS rule FROM r) q WHERE rule IS NOT NULL"""),
+    "unvisited_by_few": sql("SELECT row_id, chip_id FROM archive WHERE row_id NOT IN (SELECT row_id FROM visits WHERE agent_id % 50 = 1)"),
+    "taste_drift": sql(f"""WITH RECURSIVE strong AS (SELECT agent_id, novelty, e, row_number() OVER (PARTITION BY agent_id ORDER BY step) AS i FROM enriched WHERE novelty >= {STRONG}),
+f AS (SELECT agent_id, 0::BIGINT AS i, e AS t, e AS t0, 0.0::DOUBLE AS shift FROM enriched WHERE step = 0
+ UNION ALL SELECT agent_id, i, list_transform(u, lambda x: x / greatest(sqrt(list_dot_product(u, u)), 1e-12)), t0, shift + 1 - list_dot_product(t, u) / greatest(sqrt(list_dot_product(u, u)), 1e-12) FROM (
+ SELECT s.agent_id, s.i, f.t, f.t0, f.shift, list_transform(list_zip(f.t, s.e), lambda z: 0.7e0 * z[1] + 0.3e0 * s.novelty * z[2]) AS u FROM f JOIN strong s ON s.agent_id = f.agent_id AND s.i = f.i + 1) q)
+SELECT agent_id, max(i) AS n_updates, round(max_by(shift, i), 6) AS total_shift, round(1 - list_dot_product(max_by(t, i), any_value(t0)), 6) AS drift, round(max_by(t[1], i), 6) AS taste_0 FROM f GROUP BY agent_id"""),
     "degeneracy_flags": sql("""SELECT agent_id, concat_ws(',', CASE WHEN last_third >= first_third THEN 'not_declining' END, CASE WHEN std_novelty < 0.01 THEN 'flat' END,
  CASE WHEN n_jumps > 0.5 * n_steps THEN 'mostly_jumps' END, CASE WHEN n_sibling_hops > 0.5 * n_steps THEN 'mostly_siblings' END) AS flags FROM trend"""),
     "run_equal": sql("""WITH f AS (SELECT agent_id, sha256(string_agg(concat(lpad(cast(step AS string), 8, '0'), ':', chip_id), chr(10) ORDER BY step)) AS sha FROM visits GROUP BY agent_id)
@@ -211,7 +263,8 @@ SELECT a.agent_id, a.sha, coalesce(a.sha = b.sha, false) AS equal_next FROM f a
 SELECT run, round(avg(was_random_jump::INT), 6) AS jump_share, round(avg(d_prev), 6) AS mean_step_distance, round(avg(d_prev) FILTER (NOT was_random_jump), 6) AS mean_local_step_distance, count(*) FILTER (shared) AS n_shared_visits
 FROM enriched e JOIN first f ON e.agent_id = f.agent_id JOIN many m ON e.chip_id = m.chip_id GROUP BY run"""),
     "near_twins": sql("""WITH one AS (SELECT agent_id, step, 1 - sim AS nearest FROM replay_ranked WHERE rk = 1)
-SELECT r.agent_id, count(*) AS n_scored, count(*) FILTER (nearest <= 0.7) AS n_twins, round(avg(novelty) FILTER (nearest <= 0.7), 6) AS twin_novelty FROM replay r JOIN one o ON r.agent_id = o.agent_id AND r.step = o.step GROUP BY r.agent_id"""),
+SELECT r.agent_id, count(*) AS n_scored, count(*) FILTER (nearest <= 0.7) AS n_twins, round(avg(novelty) FILTER (nearest <= 0.7), 6) AS twin_novelty,
+ CASE WHEN count(*) > 2 AND stddev_pop(novelty) > 0 AND stddev_pop(nearest) > 0 THEN round(corr(novelty, nearest), 5) END AS corr_nearest FROM replay r JOIN one o ON r.agent_id = o.agent_id AND r.step = o.step GROUP BY r.agent_id"""),
     "unvisited": sql("SELECT row_id, chip_id FROM archive WHERE row_id NOT IN (SELECT row_id FROM visits)"),
     "strong_encounters": sql(f"SELECT agent_id, step, chip_id, round(novelty, 6) AS novelty FROM log WHERE novelty >= {STRONG}"),
     "taste_fold": sql(f"""WITH RECURSIVE strong AS (SELECT agent_id, novelty, e, row_number() OVER (PARTITION BY agent_id ORDER BY step) AS i FROM enriched WHERE novelty >= {STRONG}),
