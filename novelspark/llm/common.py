@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from novelspark.runtime import shared_dir, ship, stored
 
-__all__ = ["ROWS", "ascii_lower", "documents", "looked_up", "partitions", "shared_dir", "ship", "small", "stored", "text_or_empty"]
+__all__ = ["ROWS", "arrow_rows", "ascii_lower", "documents", "looked_up", "partitions", "shared_dir", "ship", "small", "stored", "text_or_empty"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -42,6 +43,18 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is written inside sends its Python workers at most rows rows at once: for rows that hold whole tiles."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def looked_up(rows: DataFrame, table: DataFrame, by: list[str], n: str, heavy: int = 1000) -> DataFrame:
     """Those rows whose by table has, with its other columns. table: stored, one row for each by, and in n the number of rows that have it.
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from novelspark.llm.common import documents, looked_up, partitions, ship, small, stored, text_or_empty
+from novelspark.llm.common import arrow_rows, documents, looked_up, partitions, ship, small, stored, text_or_empty
 from novelspark.llm.graph import connected_components
 from novelspark.llm.rolling import mixed
 
@@ -182,7 +182,8 @@ def near_links(classes: DataFrame, radius: int = 3, tile: int = 1024) -> DataFra
     cells = classes.select("fp", _number(_counts(F.col("fp"))).alias("cell"))  # 17 ** 4 cells at most
     tiles = _tiles(cells, F.col("fp"), "fp", tile)
     pairs = _tile_pairs(tiles, _cells_around(radius, 1), _cells_around(radius, -1))
-    return pairs.mapInArrow(_compare(radius), "a bigint, b bigint")
+    with arrow_rows(classes.sparkSession, 512):
+        return stored(pairs.mapInArrow(_compare(radius), "a bigint, b bigint"), "near-links")
 
 
 def near_duplicates(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
@@ -358,7 +359,8 @@ def near_copies(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text"
     def asked(of: DataFrame) -> DataFrame:
         tiles = _tiles(_cells_by_size(of.where("size > 0"), numerator, denominator), F.array("c", "low", "high", "size", "label"), "c", tile)
         found = _pairs_by_size(tiles).mapInArrow(_candidates(radius, numerator, denominator), "a bigint, b bigint")
-        return stored(found.groupBy("b").agg(F.min("a").alias("a")), "candidates")
+        with arrow_rows(of.sparkSession, 64):
+            return stored(found.groupBy("b").agg(F.min("a").alias("a")), "candidates")
 
     star = asked(classes.withColumn("label", F.lit(-1).cast("long")))
     met = classes.join(star.select(F.col("b").alias("c")), "c")
@@ -372,7 +374,8 @@ def near_copies(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text"
     left = sets.join(apart.select(F.col("b").alias("c")), "c").withColumn("size", F.size("found"))
     tiles = _tiles(_cells_by_size(left, numerator, denominator), F.struct("c", "size", "found"), "c", 100 * tile, F.col("size"))
     tiles = tiles.withColumn("v", F.struct(F.col("v.c").alias("c"), F.col("v.size").alias("n"), F.flatten("v.found").alias("h")))
-    links = links.unionByName(_pairs_by_size(tiles).mapInArrow(_exact(numerator, denominator), "a bigint, b bigint"))
+    with arrow_rows(docs.sparkSession, 8):
+        links = links.unionByName(stored(_pairs_by_size(tiles).mapInArrow(_exact(numerator, denominator), "a bigint, b bigint"), "exact-links"))
     labels = connected_components(links).withColumnRenamed("node", "c")
     of = stored(classes.select("c", "n").join(labels, "c", "left").select("c", "n", F.coalesce("label", "c").alias("component")), "labelled")
     return looked_up(rows.select("key", "t", "c"), of, ["c"], "n").select("key", "t", "component")
