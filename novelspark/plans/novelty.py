@@ -254,8 +254,9 @@ _MORE = {
     "against": f"SELECT c.agent_id, c.row_id, {_DOT} AS sim, h.row_id AS h_row FROM cand c JOIN history h ON h.agent_id = c.agent_id JOIN archive a ON a.row_id = c.row_id JOIN archive b ON b.row_id = h.row_id",
     "novel": f"SELECT agent_id, row_id, round(avg(1 - sim), 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY agent_id, row_id ORDER BY sim DESC, h_row) AS rk FROM against) q WHERE rk <= {J} GROUP BY agent_id, row_id",
     "scoredc": "SELECT c.*, n.score, row_number() OVER (PARTITION BY c.agent_id, c.step ORDER BY n.score DESC, c.is_random, c.pos) AS rank FROM cand c JOIN novel n ON n.agent_id = c.agent_id AND n.row_id = c.row_id",
-    "pulled": """SELECT s.agent_id, s.step, s.row_id, s.is_random, s.pos, s.score AS novelty, round(s.score + coalesce(0.5e0 * list_dot_product(a.embedding::DOUBLE[], t.taste), 0), 9) AS score
- FROM scoredc s JOIN archive a ON a.row_id = s.row_id LEFT JOIN tastes t ON t.agent_id = s.agent_id""",
+    "pulled": """SELECT s.agent_id, s.step, s.row_id, s.is_random, s.pos, s.score AS novelty,
+ round(s.score + CASE WHEN s.agent_id % 5 <> 2 THEN 0.5e0 ELSE 0 END * list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score
+ FROM scoredc s JOIN archive a ON a.row_id = s.row_id JOIN visits v ON v.agent_id = s.agent_id AND v.step = 0 JOIN archive b ON b.row_id = v.row_id""",
     "pulledr": "SELECT *, row_number() OVER (PARTITION BY agent_id, step ORDER BY score DESC, is_random, pos) AS rank, count(*) OVER (PARTITION BY agent_id, step) AS n FROM pulled",
     "chosen": f"""SELECT * FROM scoredc QUALIFY row_number() OVER (PARTITION BY agent_id, step ORDER BY round(score / {T} - ln(-ln((('0x' || substr(md5(concat('{SEED}|', agent_id, '|', step, '|', row_id)), 1, 13))::BIGINT + 0.5e0) / 4503599627370496.0e0)), 9) DESC, row_id) = 1""",
     "tastes": "SELECT v.agent_id, CASE WHEN v.agent_id % 5 <> 2 THEN a.embedding::DOUBLE[] END AS taste FROM visits v JOIN archive a ON v.row_id = a.row_id WHERE v.step = 0",
