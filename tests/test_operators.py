@@ -282,3 +282,27 @@ def test_encoders(spark):
     assert [(r["prow"], r["pcol"], list(r["pvec"])) for r in got] == [(0, 0, [0, 1]), (0, 1, [2, 3]), (1, 0, [4, 5]), (1, 1, [6, 7])]
     words = docs.select("doc_id", encode.hashed_words(F.col("text")).alias("v")).collect()
     assert all(abs(np.linalg.norm(r["v"]) - 1) < 1e-9 and len(r["v"]) == 64 for r in words)
+
+
+def test_patches_of_large_grids_are_cut_into_blocks_of_patches(spark):
+    rnd = np.random.default_rng(4)
+    grid = rnd.standard_normal((3, 14, 14, 4))
+    grid /= np.linalg.norm(grid, axis=3, keepdims=True)
+    rows = [(0, s, i, j, grid[s, i, j].tolist()) for s in range(3) for i in range(14) for j in range(14)]
+    df = spark.createDataFrame(rows, "agent_id long, step long, prow int, pcol int, pvec array<double>")
+    got = {(r["step"], r["prow"], r["pcol"]): r["score"] for r in patches.replay(df, 5, block=100).collect()}
+    for s, i, j in [(0, 0, 0), (1, 3, 13), (2, 13, 13), (2, 0, 7)]:
+        if s == 0:
+            assert got[s, i, j] is None
+            continue
+        distances = np.sort(1 - grid[:s].reshape(-1, 4) @ grid[s, i, j])[:5]
+        assert got[s, i, j] == pytest.approx(distances.mean(), abs=1e-8)
+
+
+def test_taste_from_a_first_item_and_its_drift(spark):
+    starts = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0])], "agent_id long, taste array<double>")
+    log = spark.createDataFrame([(1, 1, 1.0, [0.0, 1.0, 0.0]), (2, 1, 1.0, [0.0, 3.0, 4.0]), (3, 1, 0.1, [1.0, 0.0, 0.0])], "agent_id long, step long, novelty double, embedding array<double>")
+    got = {r["agent_id"]: r for r in taste.fold_from(starts, log, 0.5, 0.5).collect()}
+    assert got[1]["taste"][:2] == pytest.approx([0.5**0.5] * 2) and got[1]["drift"] == pytest.approx(1 - 0.5**0.5) and got[1]["total_shift"] == pytest.approx(1 - 0.5**0.5)
+    assert got[2]["taste"] == pytest.approx([0, 0.6, 0.8]) and got[2]["drift"] is None and got[2]["total_shift"] == 1
+    assert got[3]["n_updates"] == 0 and got[3]["drift"] == 0
