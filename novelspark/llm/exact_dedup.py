@@ -39,7 +39,7 @@ class DigestIndex:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             spec = {"buckets": buckets or partitions(spark), "key_type": key_type}
-            spark.createDataFrame([(spec["buckets"], key_type)], "buckets int, key_type string").coalesce(1).write.parquet(f"{path}/spec")
+            spark.range(0, 1, 1, 1).select(F.lit(spec["buckets"]).cast("int").alias("buckets"), F.lit(key_type).alias("key_type")).write.parquet(f"{path}/spec")
         self.buckets = spec["buckets"]
         self.table = "digest_index_" + hashlib.sha256(path.encode()).hexdigest()[:32]
         spark.sql(
