@@ -7,8 +7,11 @@ holds one of the item's sketched shingles, however long the document is. (Signat
 usual form, rest on the similarity of two sets, which is 0.01 for an item of 40 shingles in a document of 4,000: they
 miss most short items. Sketching the items only and looking every shingle of a document up in them misses none.)
 
-The search is a stated query set, the items in blocks of bounded size, against all rows: a block is broadcast, and a
-scan of the documents hashes all their shingles, and counts the shared shingles of the candidates exactly, as strings.
+The sketches are a table. One scan of the documents hashes all their shingles and drops those that a bitmap of the
+sketches rules out; its 2^26 bits are all that is broadcast. An equi-join of the others with the sketches gives the
+candidates, by digest of the text, so that copies are searched once. The documents that have candidates meet their
+items, a few at a time, and the shared shingles are counted exactly, as strings: equal digests or hashes of different
+strings cost time and change nothing.
 
 Words are runs of letters and digits (ASCII ones, A-Z lower-cased, and all characters beyond ASCII). Items of fewer than
 ``words`` words have one shingle of all their words. Null texts count as empty; items without a word are never found;
@@ -18,22 +21,23 @@ repeated items and rows are reported each. Other columns are not read (leaks), o
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from novelspark.llm.common import documents, ship, small, text_or_empty
+from novelspark.llm.common import documents, ship, small, stored, text_or_empty
 from novelspark.llm.rolling import U, Prefixes
 
 WORDS, THRESHOLD = 5, 0.8
-#: Bytes of items in a block, and of documents hashed at once.
-BLOCK, CHUNK = 8_000_000, 1 << 20
+#: Bytes of text hashed at once, and candidate items that travel with a text.
+CHUNK, TOGETHER = 1 << 20, 16
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
-_FILTER_BITS = 20
+_FILTER_BITS, _PAGE_BITS = 26, 15
+
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def words_of(text: str) -> list[bytes]:
@@ -63,99 +67,114 @@ def sketch_size(shingle_count: int, threshold: float) -> int:
     return largest - math.ceil(threshold * largest - 1e-9) + 1
 
 
-class Items:
-    """A block of items with their sketches, by shingle length."""
-
-    def __init__(self, items: list[tuple[int, str]], words: int, threshold: float):
-        self.ids, self.shingles, self.by_length = [], [], {}
-        sketches = defaultdict(list)
-        for key, text in items:
-            found = words_of(text or "")
-            n = min(words, len(found))
-            own = sorted(shingles(found, n)) if found else []
-            if not own:
-                continue
-            h = _hashes(own, n)[1]
-            bottom = np.sort(h)[: sketch_size(len(own), threshold)]
-            sketches[n] += [(x, len(self.ids)) for x in bottom.tolist()]
-            self.ids.append(key)
-            self.shingles.append((n, frozenset(own)))
-        for n, pairs in sketches.items():
-            pairs.sort()
-            h = np.array([p[0] for p in pairs], U)
-            seen = np.zeros(1 << _FILTER_BITS, bool)
-            seen[(h >> U(64 - _FILTER_BITS)).astype(np.int64)] = True
-            self.by_length[n] = (h, np.array([p[1] for p in pairs]), seen)
-
-    def candidates(self, joined: list[bytes]) -> set[tuple[int, int]]:
-        out = set()
-        for n, (h, item, seen) in self.by_length.items():
-            row, mine = _hashes(joined, n)
-            maybe = seen[(mine >> U(64 - _FILTER_BITS)).astype(np.int64)]
-            row, mine = row[maybe], mine[maybe]
-            lo, hi = np.searchsorted(h, mine, "left"), np.searchsorted(h, mine, "right")
-            for i in np.flatnonzero(hi > lo):
-                out.update((int(row[i]), int(x)) for x in item[lo[i] : hi[i]])
-        return out
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    block, size = [], 0
-    for key, text in benchmark.select(F.col(item_col).cast("long"), text_or_empty(text_col)).toLocalIterator():
-        block.append((key, text))
-        size += len(text) + 64
-        if size >= BLOCK:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ref, item_id, words): items that have a word, their words with single spaces."""
+    for batch in small(batches):
+        words = pa.array([b" ".join(words_of(t)) for t in batch.column("text").to_pylist()], pa.binary())
+        out = pa.RecordBatch.from_arrays([batch.column("ref"), batch.column("item_id"), words], ["ref", "item_id", "words"])
+        yield out.filter(pa.array([w != b"" for w in words.to_pylist()], pa.bool_()))
 
 
-_FOUND = "key bigint, item_id bigint, n_shared bigint, n_shingles bigint, containment double"
+def _own_shingles(joined: bytes, words: int) -> tuple[int, set[bytes]]:
+    found = joined.split()
+    n = min(words, len(found))
+    return n, shingles(found, n)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, key_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, item_id, n_shared, n_shingles, containment): documents that contain threshold or more of an item's distinct shingles."""
-    spark = docs.sparkSession
-    ship(spark)
-    plain = docs.select(F.col(key_col).cast("long").alias("key"), text_or_empty(text_col).alias("text"))
-    out = None
-    for block in _blocks(benchmark, item_col, "text"):
-        found = plain.mapInArrow(_search(spark.sparkContext.broadcast(Items(block, words, threshold)), threshold), _FOUND)
-        out = found if out is None else out.unionAll(found)
-    return out if out is not None else spark.createDataFrame([], _FOUND)
-
-
-def _search(items, threshold: float):
-    def check(own: Items, keys: list, joined: list[bytes]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], {}
-        for r, i in sorted(own.candidates(joined)):
-            n, wanted = own.shingles[i]
-            if (r, n) not in held:
-                held = {(r, n): shingles(joined[r].split(), n)}
-            shared = len(wanted & held[r, n])
-            if shared >= threshold * len(wanted) - 1e-9:
-                rows.append((keys[r], own.ids[i], shared, len(wanted), shared / len(wanted)))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x) if j else pa.array(x, pa.int64()) for j, x in enumerate(zip(*rows, strict=True))], ["key", "item_id", "n_shared", "n_shingles", "containment"])
+def _sketched(words: int, threshold: float) -> Batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            for ref, joined in zip(batch.column("ref").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                n, own = _own_shingles(joined, words)
+                h = np.sort(_hashes(sorted(own), n)[1])[: sketch_size(len(own), threshold)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), ref, np.int64))], ["n", "h", "ref"])
+
+    return run
+
+
+def _bitmap(sketches: DataFrame) -> np.ndarray:
+    """A bit for each value of the first _FILTER_BITS bits of a hash: 8 MB in pages of 4 KB, of which those in use are collected."""
+    x = F.shiftrightunsigned("h", 64 - _FILTER_BITS)
+    bits = np.zeros((1 << (_FILTER_BITS - _PAGE_BITS), 1 << (_PAGE_BITS - 3)), np.uint8)
+    pages = sketches.groupBy(F.shiftright(x, _PAGE_BITS).alias("page")).agg(F.bitmap_construct_agg(x.bitwiseAND((1 << _PAGE_BITS) - 1)).alias("bits"))
+    for page, own in pages.collect():
+        bits[page] = np.frombuffer(bytes(own), np.uint8)
+    return bits.ravel()
+
+
+def _met(search) -> Batches:
+    """(digest, n, h): the shingles of each text that the bitmap doesn't rule out."""
+
+    def check(digests: list[int], joined: list[bytes]) -> Iterator[pa.RecordBatch]:
+        lengths, bits = search.value
+        for n in lengths:
+            row, h = _hashes(joined, n)
+            x = (h >> U(64 - _FILTER_BITS)).astype(np.int64)
+            maybe = (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
+            row, h = row[maybe], h[maybe]
+            if len(h):
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(digests, np.int64)[row]), pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64))], ["digest", "n", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = items.value
-        keys, joined, size = [], [], 0
+        digests, joined, size = [], [], 0
         for batch in small(batches):
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                keys.append(key)
+            for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                digests.append(digest)
                 joined.append(b" ".join(words_of(text)))
                 size += len(joined[-1])
                 if size >= CHUNK:
-                    yield from check(own, keys, joined)
-                    keys, joined, size = [], [], 0
-        if keys:
-            yield from check(own, keys, joined)
+                    yield from check(digests, joined)
+                    digests, joined, size = [], [], 0
+        if digests:
+            yield from check(digests, joined)
 
     return run
 
 
+def _verified(words: int, threshold: float) -> Batches:
+    """The candidates of each text that share enough of their shingles with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            rows = []
+            for key, text, items in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "items")), strict=True):
+                wanted = [(i["item_id"], *_own_shingles(i["words"], words)) for i in items]
+                found = words_of(text)
+                held = {}
+                for n in {n for _, n, _ in wanted}:
+                    asked = set().union(*(own for _, m, own in wanted if m == n))
+                    held[n] = {s for i in range(len(found) - n + 1) if (s := b" ".join(found[i : i + n])) in asked}
+                for item, n, own in wanted:
+                    shared = len(own & held[n])
+                    if shared >= threshold * len(own) - 1e-9:
+                        rows.append((key, item, shared, len(own), shared / len(own)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x) if j == 4 else pa.array(x, pa.int64()) for j, x in enumerate(zip(*rows, strict=True))], ["key", "item_id", "n_shared", "n_shingles", "containment"])
+
+    return run
+
+
+_FOUND = "key bigint, item_id bigint, n_shared bigint, n_shingles bigint, containment double"
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, key_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, item_id, n_shared, n_shingles, containment): documents that contain threshold or more of an item's distinct shingles."""
+    spark = docs.sparkSession
+    ship(spark)
+    plain = docs.select(F.col(key_col).cast("long").alias("key"), text_or_empty(text_col).alias("text")).withColumn("digest", F.xxhash64("text"))
+    named = benchmark.select(F.monotonically_increasing_id().alias("ref"), F.col(item_col).cast("long").alias("item_id"), text_or_empty("text").alias("text"))
+    items = stored(named.mapInArrow(_worded, "ref bigint, item_id bigint, words binary"), "benchmark-items")
+    sketches = stored(items.mapInArrow(_sketched(words, threshold), "n int, h bigint, ref bigint"), "benchmark-sketches")
+    lengths = sorted(r["n"] for r in sketches.select("n").distinct().collect())  # words at most
+    search = spark.sparkContext.broadcast((lengths, _bitmap(sketches)))
+    met = plain.select("digest", "text").mapInArrow(_met(search), "digest bigint, n int, h bigint").distinct()
+    pairs = stored(met.join(sketches, ["n", "h"]).select("digest", "ref").distinct(), "benchmark-candidates")
+    parts = pairs.groupBy("digest").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+    part = F.pmod(F.xxhash64("ref"), F.col("parts")).alias("part")
+    asked = pairs.join(parts, "digest").join(items, "ref").groupBy("digest", part).agg(F.collect_list(F.struct("item_id", "words")).alias("items"))
+    return plain.join(stored(asked, "benchmark-asked").drop("part"), "digest").select("key", "text", "items").mapInArrow(_verified(words, threshold), _FOUND)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key_col: str = "doc_id", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that contain an item. A row with a null key stays: nothing names it."""
     found = leaks(docs, benchmark, key_col, words=words, threshold=threshold).select(F.col("key").alias("_key")).distinct()
