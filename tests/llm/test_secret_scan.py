@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
 import re
+import string
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -51,4 +54,42 @@ def test_patterns_on_hard_texts_and_model(spark):
     for i in range(len(planted), len(rows)):
         assert got[i] == [], rows[i]
     assert scan(df.limit(0), models).count() == 0
+    repeated = spark.createDataFrame([(None, "see " + planted[0]), (None, "see " + planted[0]), (3, "")], "doc_id long, text string")
+    assert sorted((len(r["spans"]) for r in scan(repeated, models).collect() if r["key"] is None)) == [1, 1]
     assert MarkovModels.train(df.select(F.col("text").alias("sample"), F.lit(True).alias("random")).limit(0)).ratio[0] == 0
+
+
+def test_ratio_and_threshold_are_those_of_the_models(spark):
+    """The ratio recomputed from the samples' pairs; planted keys of 12 to 40 characters found; ordinary words of documents left alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    samples = labelled_samples(docs, max_documents=100)
+    models = MarkovModels.train(samples)
+    pairs, firsts = Counter(), Counter()
+    for r in samples.collect():
+        for a, b in zip(r["sample"], r["sample"][1:]):
+            if ord(a) < 128 and ord(b) < 128:
+                pairs[r["random"], a, b] += 1
+                firsts[r["random"], a] += 1
+    log = lambda kind, a, b: math.log((pairs[kind, a, b] + 0.5) / (firsts[kind, a] + 0.5 * 68))
+    rnd = random.Random(7)
+    sets = [string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_uppercase + "234567"]
+    keys = [(k, "".join(rnd.choice(chars) for _ in range(n))) for k, chars in enumerate(sets) for n in (12, 13, 14, 16, 19, 24, 40) for _ in range(40)]
+    tokens = [t for _, t in keys] + ["ordinary_words_joined", "somethingverylong"]
+    df = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(tokens)], "doc_id long, text string")
+    scores = {r["doc_id"]: r["s"] for r in df.select("doc_id", MarkovModels.score(F.substring_index(F.substring_index("text", " ", 2), " ", -1), models.column()).alias("s")).collect()}
+    got = {r["key"]: [tuple(s) for s in r["spans"] if s[1] == 3] for r in scan(df, models).collect()}
+    for i, t in enumerate(tokens):
+        want = sum(log(True, a, b) - log(False, a, b) for a, b in zip(t, t[1:]))
+        assert abs(scores[i] - want) < 0.001 * len(t)
+        if abs(want - 20) > 0.1:
+            assert got[i] == ([(4, 3, 4 + len(t))] if want >= 20 else []), t
+    models = MarkovModels.train(labelled_samples(docs))
+    found = {r["key"]: bool(r["markov"]) for r in scan(df, models).collect()}
+    for k, least in enumerate((0.99, 0.95, 0.95)):
+        of_set = [found[i] for i, (j, _) in enumerate(keys) if j == k]
+        assert sum(of_set) >= least * len(of_set)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = [r for r in scan(docs, models).collect() if r["markov"]]
+    runs = [texts[r["key"]][s["start"] : s["end"]] for r in rows for s in r["markov"]]
+    assert not [t for t in runs if t.isalpha() and (t.islower() or t.istitle() or t.isupper())]
+    assert len(rows) <= 0.01 * len(texts)
