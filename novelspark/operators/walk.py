@@ -91,3 +91,11 @@ def farthest_points(archive: DataFrame, start: int, n: int) -> DataFrame:
             break
         picks.append((i, newest["row_id"], newest["near"]))
     return spark.createDataFrame(picks, "pick int, row_id bigint, min_distance double")
+
+
+def points_log(picks: DataFrame, archive: DataFrame) -> DataFrame:
+    """The picks of farthest_points as a visit log of agent 0: novelty is the distance to the nearest earlier pick, all that was not picked yet was a candidate, and the pick ranks first among it."""
+    later = F.col("step") > 0
+    log = picks.select(F.lit(0).cast("long").alias("agent_id"), F.col("pick").cast("long").alias("step"), "row_id", F.col("min_distance").alias("novelty"), F.lit(False).alias("was_random_jump"))
+    log = log.withColumn("rank_among_candidates", F.when(later, 1)).withColumn("n_candidates", F.when(later, F.lit(archive.count()) - F.col("step")).otherwise(0))
+    return log.join(archive.select("row_id", "chip_id"), "row_id")

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from novelspark.functions import vec
 from novelspark.functions.rand import keyed_uniform
 from novelspark.operators import choose, patches, similarity, taste, walk
-from novelspark.operators.walk_log import r6, rounded, with_items
+from novelspark.operators.walk_log import agent_summary, enrich, r6, rounded, running_mean, with_items
 from novelspark.plans import walks
-from novelspark.plans.fixtures import view
+from novelspark.plans.fixtures import duckdb_sql, view
 from novelspark.plans.walks import sql
 
 K, J, M, T, SEED = 50, 15, 5, 0.05, 42
+PICKS = 50
 
 
 def knn_graph(spark, d):
@@ -210,7 +211,26 @@ def patch_mean(spark, d):
 
 
 def fps(spark, d):
-    return rounded(walk.farthest_points(view(spark, d, "archive"), 0, 8))
+    return rounded(walk.farthest_points(view(spark, d, "archive"), 0, PICKS))
+
+
+def _picked(spark, d):
+    archive = view(spark, d, "archive")
+    return enrich(walk.points_log(walk.farthest_points(archive, 0, PICKS), archive), archive)
+
+
+def fps_log(spark, d):
+    out = running_mean(_picked(spark, d), walks.WINDOW)
+    return rounded(out.select(
+        "agent_id", "step", "chip_id", "novelty", "novelty_running_mean", "rank_among_candidates", "n_candidates", "was_random_jump", "embedding_distance_from_prev", "geo_distance_km_from_prev",
+        F.col("time_delta_days_from_prev").cast("long").alias("time_delta_days_from_prev"), F.col("history_size").cast("long").alias("history_size"),
+    ))
+
+
+def fps_summary(spark, d):
+    s = agent_summary(_picked(spark, d))
+    out = s.withColumn("n_unique_groups", F.col("n_unique_groups").cast("long")).withColumn("chip_ids", F.array_join("chip_ids", ","))
+    return rounded(out.drop("novelty_curve").withColumn("stop_reason", F.when(F.col("n_steps") == PICKS, "max_steps").otherwise("exhausted")))
 
 
 def _walked(spark, d):
@@ -233,7 +253,7 @@ def walk_replay_check(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     knn_graph, nearest_in_archive, random_draws, random_starts, unresolved_starts, candidates, novelty_candidates, rank_candidates, softmax, softmax_choice, walk_step, walk_step_taste, taste_bonus, combined_score,
-    taste_update, archive_ceiling, probe_report, locality_profile, locality_contrast, patch_novelty, patch_scale, patch_step_stats, patch_corr, centre_patches, patch_mean, fps, novelty_walk, walk_replay_check,
+    taste_update, archive_ceiling, probe_report, locality_profile, locality_contrast, patch_novelty, patch_scale, patch_step_stats, patch_corr, centre_patches, patch_mean, fps, fps_log, fps_summary, novelty_walk, walk_replay_check,
 )}
 
 _DOT = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9)"
@@ -284,12 +304,15 @@ def _q(body: str) -> str:
     return sql(body, **_MORE)
 
 
-def _fps(n: int) -> str:
+def _fps(body: str, n: int = PICKS) -> str:
+    """body on the table picked, and on the log tables made of it."""
     steps = ["p0 AS (SELECT 0 AS pick, 0::BIGINT AS row_id, NULL::DOUBLE AS min_distance)", "d0 AS (SELECT row_id, embedding, 2.0::DOUBLE AS near FROM archive)"]
     for i in range(1, n):
         steps.append(f"d{i} AS MATERIALIZED (SELECT b.row_id, b.embedding, least(b.near, round(1 - list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9)) AS near FROM d{i - 1} b JOIN archive a ON a.row_id = (SELECT row_id FROM p{i - 1}) WHERE b.row_id <> (SELECT row_id FROM p{i - 1}))")
         steps.append(f"p{i} AS MATERIALIZED (SELECT {i} AS pick, row_id, near AS min_distance FROM d{i} ORDER BY near DESC, row_id LIMIT 1)")
-    return sql("WITH " + ", ".join(steps) + " SELECT pick, row_id, round(min_distance, 6) AS min_distance FROM (" + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(n)) + ") q")
+    picked = "WITH " + ", ".join(steps) + " SELECT pick, row_id, min_distance FROM (" + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(n)) + ") q"
+    log = "SELECT 0::BIGINT AS agent_id, pick::BIGINT AS step, p.row_id, a.chip_id, false AS was_random_jump, min_distance AS novelty FROM picked p JOIN archive a ON a.row_id = p.row_id"
+    return duckdb_sql(body, **(walks.MORE | {"picked": picked, "log": log}))
 
 
 SQL = {
@@ -332,6 +355,12 @@ SELECT round(s, 6) AS same_group, round(o, 6) AS other_group, n_pairs, round(r,
     "centre_patches": _q("SELECT row_id, prow, pcol, pos::INT AS pos, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY row_id, prow, pcol)), 1e-12), 6) AS value FROM pless"),
     "patch_mean": _q("""WITH c AS (SELECT row_id FROM archive ORDER BY (('0x' || substr(md5(concat('7|', chip_id)), 1, 13))::BIGINT + 0.5e0) / 4503599627370496.0e0, chip_id LIMIT 100)
 SELECT pos::INT AS pos, round(avg(x), 6) AS value FROM plong WHERE row_id IN (SELECT row_id FROM c) GROUP BY pos"""),
-    "fps": _fps(8),
+    "fps": _fps("SELECT pick, row_id, round(min_distance, 6) AS min_distance FROM picked"),
+    "fps_log": _fps("""SELECT agent_id, step, chip_id, round(novelty, 6) AS novelty, round(running, 6) AS novelty_running_mean, CASE WHEN step > 0 THEN 1 END AS rank_among_candidates,
+ CASE WHEN step > 0 THEN (SELECT count(*) FROM embeddings) - step ELSE 0 END AS n_candidates, was_random_jump, round(d_prev, 6) AS embedding_distance_from_prev, round(km_prev, 6) AS geo_distance_km_from_prev,
+ days_prev AS time_delta_days_from_prev, history_size FROM means"""),
+    "fps_summary": _fps(f"""SELECT agent_id, count(*) AS n_steps, round(avg(novelty), 6) AS mean_novelty, 0::BIGINT AS n_random_jumps, round(sum(km_prev), 6) AS geo_distance_total_km, round(sum(d_prev), 6) AS embedding_distance_total,
+ min(date) AS first_date, max(date) AS last_date, count(DISTINCT group_id) + max(CASE WHEN group_id IS NULL THEN 1 ELSE 0 END) AS n_unique_groups, string_agg(chip_id, ',' ORDER BY step) AS chip_ids,
+ CASE WHEN count(*) = {PICKS} THEN 'max_steps' ELSE 'exhausted' END AS stop_reason FROM enriched GROUP BY agent_id"""),
     "walk_replay_check": "SELECT 0::BIGINT AS agent_id, 0::BIGINT AS step WHERE false",
 }

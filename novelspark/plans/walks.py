@@ -12,7 +12,7 @@ from novelspark.plans.fixtures import duckdb_sql, view
 
 J, WINDOW, THRESHOLD, STRONG = 15, 10, 0.8, 0.85
 
-_MORE = {
+MORE = {
     "replay_pairs": """SELECT a.agent_id, a.step, b.step AS b_step, round(list_dot_product(ea.embedding::DOUBLE[], eb.embedding::DOUBLE[]), 9) AS sim
  FROM visits a JOIN visits b ON a.agent_id = b.agent_id AND b.step < a.step JOIN embeddings ea ON ea.vec_id = a.row_id JOIN embeddings eb ON eb.vec_id = b.row_id""",
     "replay_ranked": "SELECT *, row_number() OVER (PARTITION BY agent_id, step ORDER BY sim DESC, b_step) AS rk FROM replay_pairs",
@@ -36,7 +36,7 @@ _MORE = {
 
 
 def sql(body: str, **more: str) -> str:
-    return duckdb_sql(body, **_MORE, **more)
+    return duckdb_sql(body, **MORE, **more)
 
 
 def log(spark: SparkSession, d: str) -> DataFrame:
