@@ -73,14 +73,26 @@ def training(key: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(10)) != 0
 
 
-def frequent_words(rows: DataFrame, head: int) -> np.ndarray:
+def frequent_words(rows: DataFrame, head: int, at_once: int = 1_000_000) -> np.ndarray:
     """The hashes of the most frequent words of rows (text), sorted: all words of the highest classes of counts, of an eighth of a doubling each, that hold at most head words together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
             for _, data, ends in _chunks(batch.column("text")):
-                h, n = np.unique(words(data, ends)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+                parts.append(np.unique(words(data, ends)[1], return_counts=True))
+                size += len(parts[-1][0])
+                if size >= at_once:
+                    yield summed(parts)
+                    parts, size = [], 0
+        if size:
+            yield summed(parts)
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(h)
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+        return pa.RecordBatch.from_arrays([pa.array(h[order][cuts].view(np.int64)), pa.array(np.add.reduceat(n[order], cuts))], ["h", "n"])
 
     counts = rows.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     counts = stored(counts.withColumn("class", F.floor(8 * F.log2("n")).cast("int")), "lm-words")
