@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,23 +11,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 NOVELTY = "agent_id bigint, step bigint, novelty double, history_size bigint"
+TASTED = NOVELTY + ", taste_similarity double, taste_shift double, n_updates bigint, drift double"
 ALERT = "agent_id bigint, stop_step bigint, mean double, late bigint"
 
 
+@dataclass(frozen=True)
+class Taste:
+    """Encounters with a novelty of threshold or more pull a key's taste by rate. start: with the key's "first" vector or from "zero"."""
+
+    rate: float
+    threshold: float
+    start: str = "first"
+
+    def __post_init__(self) -> None:
+        if not 0 < self.rate <= 1:
+            raise ValueError("rate must be above 0 and at most 1")
+        if self.start not in ("first", "zero"):
+            raise ValueError("start must be first or zero")
+
+
+@dataclass
+class Palate:
+    """One key's taste and the taste that its drift is measured from; None for none."""
+
+    taste: np.ndarray | None = None
+    first: np.ndarray | None = None
+    n_updates: int = 0
+
+    def visit(self, how: Taste, v: np.ndarray, novelty: float | None) -> tuple[float | None, float | None, int, float | None]:
+        """(similarity to the taste so far, shift where this visit moves it, updates so far, drift since the start)."""
+        before, shift = self.taste, None
+        if novelty is None and before is None and how.start == "first":
+            self.taste = self.first = v
+        elif novelty is not None and novelty >= how.threshold:
+            pulled = how.rate * novelty * v + (0 if before is None else (1 - how.rate) * before)
+            norm = np.linalg.norm(pulled)
+            self.taste = pulled / norm if norm > 0 else None
+            self.n_updates += 1
+            shift = 1.0 if before is None else 1.0 if self.taste is None else float(1 - before @ self.taste)
+            self.first = self.taste if self.first is None else self.first
+        drift = None if self.taste is None or self.first is None else float(1 - self.taste @ self.first)
+        return None if before is None else float(v @ before), shift, self.n_updates, drift
+
+
 class NoveltyProcessor(StatefulProcessor):
     """Each vector against the key's earlier ones: the mean of the j smallest distances, null for the first. Rows of a batch are taken in order of step.
 
     max_history bounds the state: beyond it the oldest vectors are forgotten, which changes the scores; None keeps all.
+    taste: the key's taste is kept as well, and told of each visit.
     """
 
-    def __init__(self, j: int, max_history: int | None = None):
-        self.j, self.max_history = j, max_history
+    def __init__(self, j: int, max_history: int | None = None, taste: Taste | None = None):
+        self.j, self.max_history, self.taste = j, max_history, taste
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.history = handle.getListState("history", "vec array<double>")
+        if self.taste:
+            self.palate = handle.getValueState("palate", "taste array<double>, first array<double>, n_updates bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         past = [np.asarray(r[0], float) for r in self.history.get()] if self.history.exists() else []
+        palate = Palate()
+        if self.taste and self.palate.exists():
+            *vectors, n = self.palate.get()
+            palate = Palate(*[None if v is None else np.asarray(v, float) for v in vectors], n)
         known, out = len(past), []
         for r in pd.concat(list(rows)).sort_values("step").itertuples(index=False):
             v = np.asarray(r.embedding, float)
@@ -34,21 +82,28 @@ class NoveltyProcessor(StatefulProcessor):
             if past:
                 distances = 1 - np.round(np.stack(past) @ v, 9)
                 novelty = float(np.sort(distances)[: self.j].mean())
-            out.append((key[0], r.step, novelty, len(past) + 1))
+            out.append((key[0], r.step, novelty, len(past) + 1, *(palate.visit(self.taste, v, novelty) if self.taste else ())))
             past.append(v)
         if self.max_history is not None and len(past) > self.max_history:
             self.history.put([(v.tolist(),) for v in past[-self.max_history :]])
         else:
             self.history.appendList([(v.tolist(),) for v in past[known:]])
-        yield pd.DataFrame(out, columns=["agent_id", "step", "novelty", "history_size"])
+        if self.taste:
+            self.palate.update((*[None if v is None else v.tolist() for v in (palate.taste, palate.first)], palate.n_updates))
+        names = ["agent_id", "step", "novelty", "history_size"]
+        yield pd.DataFrame(out, columns=names + ["taste_similarity", "taste_shift", "n_updates", "drift"] * bool(self.taste))
 
     def close(self) -> None:
         pass
 
 
-def online_novelty(stream: DataFrame, j: int, max_history: int | None = None) -> DataFrame:
-    """stream (agent_id, step, embedding) to (agent_id, step, novelty, history_size). Needs the RocksDB state store."""
-    return stream.groupBy("agent_id").transformWithStateInPandas(NoveltyProcessor(j, max_history), NOVELTY, "Append", "None")
+def online_novelty(stream: DataFrame, j: int, max_history: int | None = None, taste: Taste | None = None) -> DataFrame:
+    """stream (agent_id, step, embedding) to (agent_id, step, novelty, history_size). Needs the RocksDB state store.
+
+    taste: adds taste_similarity (to the taste before the visit), taste_shift (null where the visit didn't move it),
+    n_updates and drift (from the taste at the start, or, from zero, from the first one).
+    """
+    return stream.groupBy("agent_id").transformWithStateInPandas(NoveltyProcessor(j, max_history, taste), TASTED if taste else NOVELTY, "Append", "None")
 
 
 class BoredomProcessor(StatefulProcessor):

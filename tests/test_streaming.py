@@ -2,9 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from novelspark.operators import similarity
+from novelspark.operators import similarity, taste
 from novelspark.operators import walk_log as wl
-from novelspark.streaming.online import boredom_alerts, online_novelty
+from novelspark.streaming.online import Taste, boredom_alerts, online_novelty
 
 
 @pytest.fixture
@@ -41,6 +41,31 @@ def test_stream_equals_replay(rocks, tmp_path):
         assert size == s + 1 and (novelty is None if s == 0 else abs(novelty - want[a, s]) < 1e-8)
 
 
+@pytest.mark.parametrize("start", ["first", "zero"])
+def test_stream_taste_equals_fold(rocks, tmp_path, start):
+    df = visits(rocks)
+    got: dict = {}
+    for r in sorted(run(rocks, df, tmp_path, f"tasted_{start}", lambda s: online_novelty(s, 4, taste=Taste(0.3, 0.8, start))), key=lambda r: r["step"]):
+        shift = got[r["agent_id"]][1] if r["step"] else 0.0
+        assert r["step"] or (r["taste_similarity"] is None and r["taste_shift"] is None)
+        got[r["agent_id"]] = r["n_updates"], shift + (r["taste_shift"] or 0.0), r["drift"]
+    log = df.join(similarity.replay_novelty(df, 4), ["agent_id", "step"], "left")
+    starts = log.where("step = 0").select("agent_id", F.col("embedding").alias("taste"))
+    want = taste.fold_from(starts, log, 0.3, 0.8) if start == "first" else taste.fold(log, 0.3, 0.8, 5)
+    rows = want.collect()
+    assert len(rows) == len(got) == 3 and all(r["n_updates"] > 1 for r in rows)
+    for r in rows:
+        n, shift, drift = got[r["agent_id"]]
+        assert n == r["n_updates"] and abs(shift - r["total_shift"]) < 1e-8
+        assert start == "zero" or abs(drift - r["drift"]) < 1e-8
+
+
+def test_taste_settings():
+    for bad in ((0.0, 0.5), (1.5, 0.5), (0.3, 0.5, "last")):
+        with pytest.raises(ValueError):
+            Taste(*bad)
+
+
 def test_alerts_equal_batch_stops(rocks, tmp_path):
     df = visits(rocks)
     log = df.join(similarity.replay_novelty(df, 4), ["agent_id", "step"], "left").select("agent_id", "step", "novelty")
