@@ -1,5 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
+from novelspark.llm.audit import OP11_SQL, op11_filter_audit
 from novelspark.llm.bpe import op8_byte_bpe
 from novelspark.llm.chat import op2_chat_formatting
 from novelspark.llm.decontaminate import op6_decontamination
@@ -10,6 +11,8 @@ from novelspark.llm.quality import op9_quality_classifier
 from novelspark.llm.repeats import op10_suffix_dedup
 from novelspark.llm.secret_scan import op1_secret_scan
 from novelspark.llm.simhash import op3_simhash_near_dedup
+from novelspark.llm.spelling import op12_spelling_variants
+from novelspark.llm.word_bpe import op13_word_bpe
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
@@ -22,6 +25,9 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_word_bpe": op13_word_bpe,
 }
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-/:-`{-\\x7f]+'), lambda x: x <> '')"
 
@@ -48,4 +54,4 @@ SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, co
 FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id
 """
 
-ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_suffix_dedup": OP10_SQL}
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_suffix_dedup": OP10_SQL, "op11_filter_audit": OP11_SQL}
