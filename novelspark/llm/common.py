@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from novelspark.runtime import shared_dir, ship, stored
 
-__all__ = ["ROWS", "arrow_rows", "ascii_lower", "documents", "looked_up", "partitions", "shared_dir", "ship", "small", "stored", "text_or_empty"]
+__all__ = ["PLACE", "ROWS", "arrow_rows", "ascii_lower", "documents", "looked_up", "partitions", "place", "shared_dir", "ship", "small", "stored", "text_or_empty"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: The columns of place().
+PLACE = ["_none", "_key", "_t"]
 #: Rows that become Python objects at once.
 ROWS = 128
 
@@ -32,6 +34,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def place(key: Column, t: Column) -> list[Column]:
+    """Key and text hash as columns without nulls, so that rows with a null key are dealt by their texts."""
+    return [c.alias(n) for c, n in zip((key.isNull(), F.coalesce(key, F.lit(0)), t), PLACE, strict=True)]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

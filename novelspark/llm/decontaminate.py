@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from novelspark.llm.common import documents, ship, small, stored, text_or_empty
+from novelspark.llm.common import PLACE, documents, place, ship, small, stored, text_or_empty
 from novelspark.llm.rolling import U, Prefixes
 
 WORDS, THRESHOLD = 5, 0.8
@@ -137,7 +137,7 @@ def _verified(words: int, threshold: float) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             rows = []
-            for key, text, items in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "items")), strict=True):
+            for key, t, text, items in zip(*(batch.column(c).to_pylist() for c in ("key", "digest", "text", "items")), strict=True):
                 wanted = [(i["item_id"], *_own_shingles(i["words"], words)) for i in items]
                 found = words_of(text)
                 held = {}
@@ -147,18 +147,18 @@ def _verified(words: int, threshold: float) -> Batches:
                 for item, n, own in wanted:
                     shared = len(own & held[n])
                     if shared >= threshold * len(own) - 1e-9:
-                        rows.append((key, item, shared, len(own), shared / len(own)))
+                        rows.append((key, t, item, shared, len(own), shared / len(own)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) if j == 4 else pa.array(x, pa.int64()) for j, x in enumerate(zip(*rows, strict=True))], ["key", "item_id", "n_shared", "n_shingles", "containment"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) if j == 5 else pa.array(x, pa.int64()) for j, x in enumerate(zip(*rows, strict=True))], ["key", "t", "item_id", "n_shared", "n_shingles", "containment"])
 
     return run
 
 
-_FOUND = "key bigint, item_id bigint, n_shared bigint, n_shingles bigint, containment double"
+_FOUND = "key bigint, t bigint, item_id bigint, n_shared bigint, n_shingles bigint, containment double"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, item_id, n_shared, n_shingles, containment): documents that contain threshold or more of an item's distinct shingles."""
+    """(key, t, item_id, n_shared, n_shingles, containment): documents that contain threshold or more of an item's distinct shingles. t: the text's xxhash64."""
     spark = docs.sparkSession
     ship(spark)
     plain = docs.select(F.col(key_col).cast("long").alias("key"), text_or_empty(text_col).alias("text")).withColumn("digest", F.xxhash64("text"))
@@ -172,15 +172,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key_col: str = "doc_id", text_c
     parts = pairs.groupBy("digest").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
     part = F.pmod(F.xxhash64("ref"), F.col("parts")).alias("part")
     asked = pairs.join(parts, "digest").join(items, "ref").groupBy("digest", part).agg(F.collect_list(F.struct("item_id", "words")).alias("items"))
-    return plain.join(stored(asked, "benchmark-asked").drop("part"), "digest").select("key", "text", "items").mapInArrow(_verified(words, threshold), _FOUND)
+    return plain.join(stored(asked, "benchmark-asked").drop("part"), "digest").select("key", "digest", "text", "items").mapInArrow(_verified(words, threshold), _FOUND)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key_col: str = "doc_id", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that contain an item. A row with a null key stays: nothing names it."""
-    found = leaks(docs, benchmark, key_col, words=words, threshold=threshold).select(F.col("key").alias("_key")).distinct()
-    return docs.join(found, docs[key_col].cast("long") == F.col("_key"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows whose text contains an item. Rows are known by key and text together, so that a null or repeated key harms no other row."""
+    found = leaks(docs, benchmark, key_col, text_col, words=words, threshold=threshold).select(*place(F.col("key"), F.col("t"))).distinct()
+    named = docs.select("*", *place(docs[key_col].cast("long"), F.xxhash64(text_or_empty(text_col))))
+    return named.join(found, PLACE, "left_anti").select(*docs.columns)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.withColumnRenamed("key", "doc_id")
+    return found.drop("t").withColumnRenamed("key", "doc_id")

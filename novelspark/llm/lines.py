@@ -19,8 +19,9 @@ All of it is DataFrame functions. Ranks come from a range-partitioned sort; no s
 rows are combined before the shuffle, and very frequent ranks (the empty line) reach their rows by broadcast. Each round
 is written to the shared folder.
 
-The corpus's order is by key, then line. A null text counts as empty, which is one empty line; a null key comes first.
-Rows that repeat a key are the same place in this order: they aren't each other's earlier copy. Lines end at \\n only
+The corpus's order is by key, then hash of the text, then line. A null text counts as empty, which is one empty line; a
+null key comes first. Different texts of one key, or without one, so are documents of their own. Rows that repeat both key
+and text are the same places in this order: they aren't each other's earlier copy and lose the same lines. Lines end at \\n only
 and are compared as they are. Other columns of the input are kept as they are.
 """
 
@@ -37,7 +38,7 @@ MIN_CHARS = 20
 
 
 def _place(line: str) -> Column:
-    return F.struct(F.col("k").isNotNull(), "k", line)
+    return F.struct(F.col("k").isNotNull(), "k", "t", line)
 
 
 def _repeated(rows: DataFrame, by: list[str], line: str, ranked: bool = False) -> DataFrame:

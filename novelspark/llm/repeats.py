@@ -16,9 +16,11 @@ Work is dealt by trigger hash, in packed blocks; a document's text is shuffled o
 with its places is combined in each task before the shuffle. Entries of one trigger beyond ``hot`` are dealt on by
 window instead of by trigger.
 
-A null text counts as empty. A null key comes before all others. A text below ``length`` bytes loses nothing. Rows that
-repeat a key are the same document in the order of places: they don't count as each other's earlier text. Columns of
-the input besides key and text are not read.
+A null text counts as empty. A null key comes before all others. A text below ``length`` bytes loses nothing. Different
+texts of one key, or without one, are documents of their own in the order of the texts' hashes. Rows that repeat both are
+one document: each loses the same bytes, and none counts as another's earlier text. They are parsed as one row for each
+batch that a task reads, their phrases are made once, and the rows come apart again in the result. Columns of the input
+besides key and text are not read.
 """
 
 from __future__ import annotations
@@ -60,6 +62,11 @@ def triggers(data: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> tu
     return doc, at - starts[doc], h[at], mixed(prefixes.of(lo, hi) ^ mixed((at - lo).astype(U)))
 
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before it."""
+    return np.concatenate([[True], np.any([x[1:] != x[:-1] for x in columns], axis=0)]) if len(columns[0]) else np.zeros(0, bool)
+
+
 def _planes(x: np.ndarray, width: int) -> bytes:
     """The low width bytes of each value, all first bytes first: small and sorted values then compress well."""
     return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)[:, :width].T.tobytes()
@@ -103,16 +110,16 @@ def _parse(buckets: list[int], length: int, anchor: int):
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         k, t, off, h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-        if len(k) > 1 and (np.diff(k) < 0).any():
-            order = np.lexsort((off, k))
-            k, t, off, h, c = k[order], t[order], off[order], h[order], c[order]
+        order = np.lexsort((off, t, k))
+        k, t, off, h, c = k[order], t[order], off[order], h[order], c[order]
+        once = _changes(k, t, off)
+        k, t, off, h, c = k[once], t[once], off[once], h[once], c[once]
         x = mixed(h ^ mixed(c))
         order = np.argsort(x, kind="stable")
         new = np.concatenate([[True], x[order][1:] != x[order][:-1]])
         first = order[np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))]
-        later = (k[order] != k[first]) | (off[order] != off[first])
         settled = np.zeros(len(x), bool)
-        settled[order] = later & ~new
+        settled[order] = ~new
         for settle in (False, True):
             i = np.flatnonzero(settled == settle)
             if len(i):
@@ -186,16 +193,14 @@ def _order_entries(length: int, anchor: int, hot: int):
         if not got["h"]:
             return
         h, c, k, t, off = (np.concatenate(got[n]) for n in ("h", "c", "k", "t", "off"))
-        order = np.lexsort((off, k, c, h))
+        order = np.lexsort((off, t, k, c, h))
+        order = order[_changes(h[order], c[order], k[order], t[order], off[order])]
         h, c, k, t, off = h[order], c[order], k[order], t[order], off[order]
-        new_h = np.concatenate([[True], h[1:] != h[:-1]])
-        new = new_h | np.concatenate([[True], c[1:] != c[:-1]])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        later = (k != k[first]) | (off != off[first])
+        new_h, new = _changes(h), _changes(h, c)
+        later = ~new
         if later.any():
             yield gone(k[later], t[later], off[later])
         entries = np.bincount(np.cumsum(new_h) - 1, weights=new)[np.cumsum(new_h) - 1]
-        # Rows that share the first place (repeats of one document) are asked about as well: each row finds its own windows.
         ask = ~later & (entries > 1)
         if ask.any():
             yield _places(k[ask], t[ask], off[ask], (entries[ask] > hot), h[ask])
@@ -209,10 +214,14 @@ def _phrases(buckets: list[int], length: int, anchor: int):
     width = reach + length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = set()
         for batch in small(batches, 512):
             k, t = batch.column("k").to_pylist(), batch.column("t").to_pylist()
             parts, windows = [], []
             for i, (text, asks) in enumerate(zip(batch.column("text").to_pylist(), batch.column("asks").to_pylist(), strict=True)):
+                if (k[i], t[i]) in met:
+                    continue
+                met.add((k[i], t[i]))
                 data = np.frombuffer(text.encode(), np.uint8)
                 at = np.array([a["start"] for a in asks])
                 h = np.array([a["h"] for a in asks])
@@ -245,10 +254,12 @@ def _order_windows(length: int, anchor: int, rows: int = 4_096):
     reach = length - anchor
     width = reach + length
 
-    def later(w, k, s):
-        """Which of the windows w at (k, s) have an earlier equal one."""
-        _, rank = np.unique(k, return_inverse=True)
-        place = rank.astype(np.int64) << 32 | s
+    def later(w, k, t, s):
+        """Which of the windows w at (k, t, s) have an earlier equal one."""
+        order = np.lexsort((t, k))
+        rank = np.empty(len(k), np.int64)
+        rank[order] = np.cumsum(_changes(k[order], t[order]))
+        place = rank << 32 | s
         order = np.argsort(w)
         new = np.concatenate([[True], w[order][1:] != w[order][:-1]])
         least = np.minimum.reduceat(place[order], np.flatnonzero(new))
@@ -272,7 +283,7 @@ def _order_windows(length: int, anchor: int, rows: int = 4_096):
             start = row * width + col
             w = flat.of(start, start + length)
             out = np.zeros((len(part), reach + 2), bool)
-            out[row, col] = later(w, k[part][row], off[part][row] - back[col])
+            out[row, col] = later(w, k[part][row], t[part][row], off[part][row] - back[col])
             edges = np.diff(out.astype(np.int8), axis=1, prepend=0)
             up, down = np.nonzero(edges == 1), np.nonzero(edges == -1)
             if len(up[0]):
@@ -290,13 +301,27 @@ def _order_windows(length: int, anchor: int, rows: int = 4_096):
                 text = np.frombuffer(b"".join(got["text"][j] for j in i), np.uint8).reshape(-1, width)
                 yield from of_phrases(h, c, k, t, off, text)
             else:
-                gone = later(h.astype(U) | c.astype(U) << U(48), k, off)
+                gone = later(h.astype(U) | c.astype(U) << U(48), k, t, off)
                 if gone.any():
                     yield _places(k[gone], t[gone], off[gone], off[gone] + length)
 
     return run
 
 
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, t, text) with copies: one for those of a batch that repeat key and text."""
+    for batch in batches:
+        k, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "t"))
+        order = np.lexsort((t, k))
+        first = np.flatnonzero(_changes(k[order], t[order]))
+        copies = pa.array(np.diff(first, append=len(order)).astype(np.int32))
+        if len(first) < len(order):
+            batch = batch.take(pa.array(order[first]))
+        else:
+            copies = pa.array(np.ones(len(order), np.int32))
+        yield pa.RecordBatch.from_arrays([*batch.columns, copies], [*batch.schema.names, "copies"])
+
+
 def _merged(asks: list[dict], n: int) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted((x["start"], min(x["end"], n)) for x in asks):
@@ -317,7 +342,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edges = [0, *(x for s in spans for x in s), len(data)]
             kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-        yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([len(x.encode()) for x in batch.column("text").to_pylist()], pa.int64()), pa.array(removed, pa.list_(span)), pa.array(kept, pa.binary())], ["k", "n_bytes", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("copies"), pa.array([len(x.encode()) for x in batch.column("text").to_pylist()], pa.int64()), pa.array(removed, pa.list_(span)), pa.array(kept, pa.binary())], ["k", "copies", "n_bytes", "spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
@@ -336,13 +361,15 @@ def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
     blocks = rows.mapInArrow(_parse(own, length, anchor), _BLOCK_DDL).repartition(n, "bucket")
     entries = blocks.mapInArrow(_order_entries(length, anchor, hot), _PLACE)
     asks = F.collect_list(F.struct("start", "end", "h")).alias("asks")
-    dealt = rows.repartition(n, "k", "t")
+    dealt = rows.mapInArrow(_combined, "k bigint, t bigint, text string, copies int").repartition(n, "k", "t")
     asked = dealt.join(entries.where(F.col("h").isNotNull()).groupBy("k", "t").agg(asks), ["k", "t"])
     phrases = asked.select("k", "t", "text", "asks").mapInArrow(_phrases(own, length, anchor), _BLOCK_DDL).repartition(n, "bucket")
     windows = phrases.mapInArrow(_order_windows(length, anchor), _PLACE)
     gone = entries.where(F.col("h").isNull()).unionByName(windows)
-    gone = gone.groupBy("k", "t").agg(F.collect_list(F.struct("start", "end")).alias("asks"))
-    out = dealt.join(gone, ["k", "t"], "left").select("k", "text", "asks").mapInArrow(_cut, "k bigint, n_bytes bigint, spans array<struct<start:int,end:int>>, kept binary")
+    gone = gone.groupBy("k", "t").agg(F.collect_set(F.struct("start", "end")).alias("asks"))
+    out = dealt.join(gone, ["k", "t"], "left").select("k", "copies", "text", "asks")
+    out = out.mapInArrow(_cut, "k bigint, copies int, n_bytes bigint, spans array<struct<start:int,end:int>>, kept binary")
+    out = out.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("copies")
     return out.withColumn("k", F.when(F.col("k") != _NULL_KEY, F.col("k"))).withColumnRenamed("k", key_col)
 
 

@@ -32,16 +32,15 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from novelspark.llm.common import arrow_rows, documents, looked_up, partitions, ship, small, stored, text_or_empty
+from novelspark.llm.common import PLACE, arrow_rows, documents, looked_up, partitions, place, ship, small, stored, text_or_empty
 from novelspark.llm.graph import connected_components
 from novelspark.llm.rolling import mixed
 
 SEED = 42
 _QUARTERS, _LEVELS = 4, 17
-PLACE = ["_none", "_key", "_t"]
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -204,11 +203,6 @@ def _labelled(docs: DataFrame, key_col: str, text_col: str, words: int, radius:
     return looked_up(rows, of, ["fp"], "n").drop("n")
 
 
-def place(key: Column, t: Column) -> list[Column]:
-    """Key and text hash as columns without nulls, so that rows with a null key are dealt by their texts."""
-    return [c.alias(n) for c, n in zip((key.isNull(), F.coalesce(key, F.lit(0)), t), PLACE, strict=True)]
-
-
 def least_rows(docs: DataFrame, found: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component of found (key, t, component; t the text's xxhash64, null as empty): the row with the least key, then t; null keys come last.
 
@@ -216,9 +210,9 @@ def least_rows(docs: DataFrame, found: DataFrame, key_col: str = "doc_id", text_
     """
     least = found.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "t")).alias("least"))
     least = least.select(*place(F.col("least.key"), F.col("least.t")))
-    kept = docs.select("*", *place(docs[key_col].cast("long"), F.xxhash64(text_or_empty(text_col)))).join(least, PLACE, "left_semi")
-    first = Window.partitionBy(*PLACE).orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+    # Rows that repeat key and text become one where they are read, before they meet.
+    once = docs.select("*", *place(docs[key_col].cast("long"), F.xxhash64(text_or_empty(text_col)))).dropDuplicates(PLACE)
+    return once.join(least, PLACE, "left_semi").select(*docs.columns)
 
 
 def keep_one(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:

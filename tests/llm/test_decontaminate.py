@@ -47,5 +47,14 @@ def test_partial_items_and_edge_cases(spark):
     found = {k for k, *_ in want if k is not None}
     clean = decontaminate(df, bench)
     assert clean.columns == df.columns
-    assert sorted(r["doc_id"] for r in clean.collect() if r["doc_id"] is not None) == sorted(k for k, _ in docs if k is not None and k not in found)
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=order) == sorted(((k, t) for k, t in docs if k not in found and k is not None), key=order)
     assert leaks(df.limit(0), bench).count() == 0 and leaks(df, bench.limit(0)).count() == 0
+
+
+def test_null_and_repeated_keys_harm_no_other_row(spark):
+    item = "what is the name of the river that runs through the old town"
+    rows = [(1, "clean text of its own"), (1, f"so: {item}?"), (None, f"again, {item}!"), (None, "another clean one"), (5, item), (None, None), (None, "another clean one")]
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "doc_id long, text string, _key string, item_id int")
+    clean = decontaminate(df.withColumnRenamed("_key", "ref"), spark.createDataFrame([(3, item)], "item_id long, text string"))
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in clean.collect()) == sorted([("1", "clean text of its own"), *[("None", "another clean one")] * 2, ("None", "None")])

@@ -1,12 +1,25 @@
 import random
 
+import xxhash
+
 from novelspark.llm.lines import OP4_SQL, drop_repeated_lines, op4_line_dedup
 
 
+def place(k, t):
+    """Documents stand by key, then hash of the text; nulls first."""
+    h = xxhash.xxh64_intdigest(t or "", 42)
+    return k is not None, k or 0, h - (h >> 63 << 64)
+
+
 def brute(rows, min_chars):
-    """{key: text without the runs of lines that stand earlier too and hold min_chars characters}, runs of every length."""
+    """{(has a key, key): text without the runs of lines that stand earlier too and hold min_chars characters}, runs of every length."""
+    return {at[:2]: text for at, text in brute_rows(rows, min_chars).items()}
+
+
+def brute_rows(rows, min_chars):
+    """The same by place()."""
     first, out = {}, {}
-    docs = sorted(((k is not None, k or 0), (t or "").split("\n")) for k, t in rows)
+    docs = sorted((place(k, t), (t or "").split("\n")) for k, t in rows)
     for at, lines in docs:
         for n in range(len(lines)):
             for d in range(1, len(lines) - n + 1):
@@ -23,6 +36,15 @@ def brute(rows, min_chars):
     return out
 
 
+def test_rows_without_a_key_or_with_one_key(spark):
+    shared = ["one shared line of text", "two", "three, and a bit more"]
+    rows = [(None, "\n".join(["own a", *shared])), (None, "\n".join(shared)), (None, "\n".join(["own b", "own c", "own d", *shared])), (7, "\n".join(["x", *shared])), (7, "\n".join(shared[:1])), (None, "\n".join(shared)), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_rows(rows, 20)
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in drop_repeated_lines(df).collect())
+    assert got == sorted((k is not None, k or 0, want[place(k, t)]) for k, t in rows)
+
+
 def kept(spark, rows, **how):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     return {r["doc_id"]: r["text"] for r in drop_repeated_lines(df, **how).collect()}

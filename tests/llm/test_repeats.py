@@ -4,22 +4,29 @@ import random
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import pytest
+import xxhash
 
 from novelspark.llm import repeats
 from novelspark.llm.repeats import op10_suffix_dedup, remove_repeats
 
 
+def place(k, t):
+    """Documents stand by key, then hash of the text; nulls first."""
+    h = xxhash.xxh64_intdigest(t or "", 42)
+    return k is not None, k or 0, h - (h >> 63 << 64)
+
+
 def brute(rows, length):
-    """{key: spans} by a table of every window's earliest place."""
+    """{key: spans of its rows in the order of place()} by a table of every window's earliest place."""
     seen, out = {}, {}
-    order = sorted(((k, (t or "").encode()) for k, t in rows), key=lambda r: (r[0] is not None, r[0] or 0))
-    for k, data in order:
+    order = sorted(((place(k, t), k, (t or "").encode()) for k, t in rows), key=lambda r: r[0])
+    for at, _, data in order:
         for s in range(len(data) - length + 1):
-            seen.setdefault(data[s : s + length], (k is not None, k or 0, s))
-    for k, data in order:
+            seen.setdefault(data[s : s + length], (at, s))
+    for at, k, data in order:
         spans = []
         for s in range(len(data) - length + 1):
-            if seen[data[s : s + length]] < (k is not None, k or 0, s):
+            if seen[data[s : s + length]] < (at, s):
                 if spans and s <= spans[-1][1]:
                     spans[-1][1] = s + length
                 else:
@@ -69,7 +76,7 @@ def test_many_rows_of_one_key_lose_their_own_bytes(spark):
     for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), length=16, anchor=6).collect():
         got.setdefault(r["doc_id"], []).append(([(s["start"], s["end"]) for s in r["spans"]], bytes(r["kept"])))
     for key in (None, 7):
-        texts = [t.encode() for k, t in sorted(rows, key=lambda r: r[0] is not None) if k == key]
+        texts = [t.encode() for k, t in sorted(rows, key=lambda r: place(*r)) if k == key]
         want = []
         for data, spans in zip(texts, brute(rows, 16)[key], strict=True):
             kept = bytearray(data)
@@ -79,6 +86,20 @@ def test_many_rows_of_one_key_lose_their_own_bytes(spark):
         assert sorted(got[key]) == sorted(want)
 
 
+def test_thousands_of_identical_rows_without_a_key(spark):
+    rnd = random.Random(4)
+    passage = "".join(rnd.choice("abcdefgh") for _ in range(400))
+    text = "".join("".join(rnd.choice("ijklmnop") for _ in range(rnd.randint(0, 200))) + passage[rnd.randint(0, 90) :] for _ in range(12))
+    rows = [(None, text)] * 5000 + [(None, "<" + passage + ">"), (3, "x" + passage), (3, passage + "y"), (4, text), (4, text), (5, None)]
+    want = brute([*set(rows)], 100)
+    got = {}
+    for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).groupBy("doc_id", "n_bytes", "spans").count().collect():
+        got.setdefault(r["doc_id"], []).append(([(s["start"], s["end"]) for s in r["spans"]], r["count"]))
+    many = {(None, len(text)): 5000, (4, len(text)): 2}
+    sizes = {k: [len((t or "").encode()) for _, t in sorted({r for r in rows if r[0] == k}, key=lambda r: place(*r))] for k in want}
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted((s, many.get((k, n), 1)) for s, n in zip(v, sizes[k], strict=True)) for k, v in want.items()}
+
+
 def test_query_on_documents(spark):
     d = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
