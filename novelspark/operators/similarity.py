@@ -59,7 +59,7 @@ def top_similar(queries: DataFrame, base: DataFrame, k: int, earlier: bool = Fal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, q_ids, b_ids, sim in _products(batches, earlier):
-            qs, bs, best = _best(sim, b_ids, k)
+            qs, bs, best = best_of(sim, b_ids, k)
             if len(qs):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(qs), g, np.int64)), pa.array(q_ids[qs]), pa.array(b_ids[bs]), pa.array(best)], ["g", "q_id", "b_id", "sim"])
 
@@ -90,7 +90,7 @@ def nearest_means(queries: DataFrame, base: DataFrame, k: int, earlier: bool = F
     return best.select("g", "q_id", mean.alias("novelty"), F.size("sims").cast("long").alias("n_near"))
 
 
-def _best(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, value) of each row's k largest; ties by id. Columns come in any order."""
     if sim.shape[1] > k:
         least = -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k]
@@ -131,10 +131,3 @@ def novelty_against(candidates: DataFrame, history: DataFrame, j: int, numbered:
     ]
     out = nearest_means(*rows, j)
     return out.select(F.col("g").alias("agent_id"), F.col("q_id").alias("row_id"), "novelty", "n_near")
-
-
-def for_each(agents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Every agent with every item, block by block of items (row_id, ...): what a ceiling over the whole archive is asked of."""
-    last = items.agg(F.floor(F.max("row_id") / block).cast("int")).first()[0]
-    asked = agents.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(last or 0))))
-    return asked.join(items.withColumn("_block", F.floor(F.col("row_id") / block).cast("int")), "_block").drop("_block")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from novelspark.functions import vec
 from novelspark.functions.rand import keyed_uniform
-from novelspark.operators import choose, patches, similarity, taste, walk
+from novelspark.operators import blocks, choose, patches, probe, similarity, taste, walk
 from novelspark.operators.walk_log import agent_summary, enrich, r6, rounded, running_mean, with_items
 from novelspark.plans import walks
 from novelspark.plans.fixtures import duckdb_sql, view
@@ -18,7 +18,8 @@ PICKS = 50
 
 
 def knn_graph(spark, d):
-    return rounded(similarity.knn_graph(view(spark, d, "archive"), K))
+    out = blocks.knn_graph(view(spark, d, "archive"), K)
+    return rounded(out)
 
 
 def _external(spark, d):
@@ -27,8 +28,7 @@ def _external(spark, d):
 
 
 def nearest_in_archive(spark, d):
-    rows = [x.select(F.lit(0).cast("long").alias("g"), F.col("row_id").alias("id"), F.col("row_id").alias("ord"), F.col("embedding").alias("vec")) for x in (_external(spark, d), view(spark, d, "archive"))]
-    out = similarity.top_similar(*rows, 1)
+    out = blocks.nearest(_external(spark, d), view(spark, d, "archive").select("row_id", "embedding"), 1)
     return out.select(F.col("q_id").alias("query_row"), F.col("b_id").alias("row_id"), r6("sim").alias("sim"))
 
 
@@ -124,26 +124,18 @@ def taste_update(spark, d):
 
 def archive_ceiling(spark, d):
     """The most novel unvisited item for each agent."""
-    archive, history = view(spark, d, "archive").select("row_id", "embedding"), _history(spark, d)
-    every = similarity.for_each(history.select("agent_id").distinct(), archive)
-    fresh = every.join(history.select("agent_id", "row_id"), ["agent_id", "row_id"], "left_anti")
-    scored = similarity.novelty_against(fresh, history.join(archive, "row_id"), J, numbered=True).withColumn("novelty", F.round("novelty", 9))
-    w = Window.partitionBy("agent_id").orderBy(F.desc("novelty"), "row_id")
-    return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("agent_id", "row_id", r6("novelty").alias("novelty"))
+    archive = view(spark, d, "archive").select("row_id", "embedding")
+    out = blocks.ceiling(_history(spark, d).join(archive, "row_id"), archive, J)
+    return out.select("agent_id", "row_id", r6("novelty").alias("novelty"))
 
 
 def probe_report(spark, d):
     """Outside vectors as probes (label below 5) or controls, scored against each agent's visits and taste: novelty, taste similarity, their sum, best one by it, nearest item."""
     history = with_items(_history(spark, d), view(spark, d, "archive"), "embedding")
-    probes = similarity.for_each(history.select("agent_id").distinct(), _external(spark, d))
     kind = view(spark, d, "archive").select("row_id", F.when(F.col("class_label").cast("int") < 5, "probe").otherwise("control").alias("kind"))
-    nearest = nearest_in_archive(spark, d).select(F.col("query_row").alias("row_id"), "sim")
-    scored = similarity.novelty_against(probes, history, J, numbered=True).join(kind, "row_id").join(nearest, "row_id")
-    scored = scored.join(_external(spark, d), "row_id").join(_taste(spark, d), "agent_id", "left")
-    scored = scored.withColumn("taste_sim", F.when(F.col("taste").isNotNull(), vec.dot("embedding", "taste"))).withColumn("score", F.round(F.col("novelty") + taste.bonus("embedding", F.col("taste"), 0.5), 9))
-    best = F.max_by("row_id", F.struct("score", -F.col("row_id")))
-    out = scored.groupBy("agent_id", "kind").agg(F.count("*").alias("n"), F.avg("novelty").alias("mean_novelty"), F.round(F.avg("taste_sim"), 5).alias("mean_taste_similarity"), F.avg("score").alias("mean_score"), best.alias("best"), F.round(F.avg("sim"), 5).alias("mean_nearest_sim"))
-    return rounded(out)
+    out = probe.report(history, _external(spark, d).join(kind, "row_id"), _taste(spark, d), J, 0.5)
+    near = nearest_in_archive(spark, d).join(kind.withColumnRenamed("row_id", "query_row"), "query_row").groupBy("kind").agg(F.round(F.avg("sim"), 5).alias("mean_nearest_sim"))
+    return rounded(out.withColumn("mean_taste_similarity", F.round("mean_taste_similarity", 5)).join(near, "kind"))
 
 
 def locality_profile(spark, d):
