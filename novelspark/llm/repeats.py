@@ -18,9 +18,9 @@ window instead of by trigger.
 
 A null text counts as empty. A null key comes before all others. A text below ``length`` bytes loses nothing. Different
 texts of one key, or without one, are documents of their own in the order of the texts' hashes. Rows that repeat both are
-one document: each loses the same bytes, and none counts as another's earlier text. They are parsed as one row for each
-batch that a task reads, their phrases are made once, and the rows come apart again in the result. Columns of the input
-besides key and text are not read.
+one document: each loses the same bytes, none counts as another's earlier text, their places count once, and a task makes
+their phrases once. Rows without a key are dealt over up to SPREAD tasks a text. Columns of the input besides key and text are not
+read.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ LENGTH, ANCHOR = 100, 32
 #: Bytes of text that are parsed at once, and places that a task packs at once.
 CHUNK, PLACES = 1 << 20, 400_000
 HOT = 100_000
+SPREAD = 64
 _LOW = (1 << 30) - 1
 _NULL_KEY = -(1 << 63)
 
@@ -308,20 +309,6 @@ def _order_windows(length: int, anchor: int, rows: int = 4_096):
     return run
 
 
-def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (k, t, text) with copies: one for those of a batch that repeat key and text."""
-    for batch in batches:
-        k, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "t"))
-        order = np.lexsort((t, k))
-        first = np.flatnonzero(_changes(k[order], t[order]))
-        copies = pa.array(np.diff(first, append=len(order)).astype(np.int32))
-        if len(first) < len(order):
-            batch = batch.take(pa.array(order[first]))
-        else:
-            copies = pa.array(np.ones(len(order), np.int32))
-        yield pa.RecordBatch.from_arrays([*batch.columns, copies], [*batch.schema.names, "copies"])
-
-
 def _merged(asks: list[dict], n: int) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted((x["start"], min(x["end"], n)) for x in asks):
@@ -342,7 +329,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edges = [0, *(x for s in spans for x in s), len(data)]
             kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("copies"), pa.array([len(x.encode()) for x in batch.column("text").to_pylist()], pa.int64()), pa.array(removed, pa.list_(span)), pa.array(kept, pa.binary())], ["k", "copies", "n_bytes", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([len(x.encode()) for x in batch.column("text").to_pylist()], pa.int64()), pa.array(removed, pa.list_(span)), pa.array(kept, pa.binary())], ["k", "n_bytes", "spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
@@ -360,16 +347,19 @@ def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
     rows = docs.select(key.alias("k"), F.xxhash64(text).alias("t"), text.alias("text"))
     blocks = rows.mapInArrow(_parse(own, length, anchor), _BLOCK_DDL).repartition(n, "bucket")
     entries = blocks.mapInArrow(_order_entries(length, anchor, hot), _PLACE)
-    asks = F.collect_list(F.struct("start", "end", "h")).alias("asks")
-    dealt = rows.mapInArrow(_combined, "k bigint, t bigint, text string, copies int").repartition(n, "k", "t")
-    asked = dealt.join(entries.where(F.col("h").isNotNull()).groupBy("k", "t").agg(asks), ["k", "t"])
+    keyless = F.col("k") == _NULL_KEY
+    dealt = rows.withColumn("s", F.when(keyless, F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))).repartition(n, "k", "t", "s")
+
+    def asked_of(places: DataFrame, *columns: str) -> DataFrame:
+        """A row for each document, or for each of the tasks that it is dealt over, with its places."""
+        sets = places.groupBy("k", "t").agg(F.collect_set(F.struct(*columns)).alias("asks"))
+        return sets.withColumn("s", F.explode(F.when(keyless, F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+
+    asked = dealt.join(asked_of(entries.where(F.col("h").isNotNull()), "start", "end", "h"), ["k", "t", "s"])
     phrases = asked.select("k", "t", "text", "asks").mapInArrow(_phrases(own, length, anchor), _BLOCK_DDL).repartition(n, "bucket")
     windows = phrases.mapInArrow(_order_windows(length, anchor), _PLACE)
     gone = entries.where(F.col("h").isNull()).unionByName(windows)
-    gone = gone.groupBy("k", "t").agg(F.collect_set(F.struct("start", "end")).alias("asks"))
-    out = dealt.join(gone, ["k", "t"], "left").select("k", "copies", "text", "asks")
-    out = out.mapInArrow(_cut, "k bigint, copies int, n_bytes bigint, spans array<struct<start:int,end:int>>, kept binary")
-    out = out.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("copies")
+    out = dealt.join(asked_of(gone, "start", "end"), ["k", "t", "s"], "left").select("k", "text", "asks").mapInArrow(_cut, "k bigint, n_bytes bigint, spans array<struct<start:int,end:int>>, kept binary")
     return out.withColumn("k", F.when(F.col("k") != _NULL_KEY, F.col("k"))).withColumnRenamed("k", key_col)
 
 
