@@ -10,6 +10,7 @@ from novelspark.operators import archive as ar
 from novelspark.operators.walk_log import r6, rounded
 from novelspark.plans.fixtures import duckdb_sql as sql
 from novelspark.plans.fixtures import view
+from novelspark.sources import tables
 
 
 def scan_fragments(spark, d):
@@ -83,6 +84,16 @@ def row_mismatch(spark, d):
     return out.select("file", "file_row", F.col("a.product_id").alias("selected"), F.col("b.product_id").alias("found"))
 
 
+def payload_lookup(spark, d):
+    """Vectors fetched by file and row for the items of one class; of one in five the item after it is asked for by mistake, which the id found there shows."""
+    path = f"{d}/embeddings.parquet"
+    manifest = tables.positions(spark, path, "vec_id", "label").where("label = 3")
+    wanted = manifest.select("file", (F.col("file_row") + (F.col("vec_id") % 5 == 0).cast("long")).alias("file_row"), F.col("vec_id").alias("row_id"))
+    out = tables.lookup(wanted, path, "vec_id", "embedding").where("found is not null")
+    first = F.element_at("found.embedding", 1).cast("double")
+    return rounded(out.select("row_id", F.col("found.vec_id").alias("found_id"), (F.col("found.vec_id") != F.col("row_id")).alias("mismatch"), first.alias("first")))
+
+
 def pending_items(spark, d):
     rows = view(spark, d, "fragments")
     done = rows.where("cloud_cover < 15").select("product_id")
@@ -210,7 +221,7 @@ def sensor_counts(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     scan_fragments, duplicate_keys, manifest_build, path_catalog, shard_prefix, expected_items, key_agreement, fragment_filter, land_mask, first_per_cell, sample_n, norm_violations, shape_violations,
-    black_tiles, row_mismatch, pending_items, haversine, day_delta, null_clean, coerce, parse_ts, platform, season_pick, band_reorder, cloud_fraction, season_explode, tiles, tile_centres, tile_pixels,
+    black_tiles, row_mismatch, payload_lookup, pending_items, haversine, day_delta, null_clean, coerce, parse_ts, platform, season_pick, band_reorder, cloud_fraction, season_explode, tiles, tile_centres, tile_pixels,
     l2_normalise, cosine_pairs, mean_vector, centre, project_new, mean_norms, coverage_stats, sensor_counts,
 )} | {"keyed_uniform": uniform}
 
@@ -259,6 +270,9 @@ SQL = {
     "norm_violations": sql("SELECT row_id, prow, pcol, round(n, 6) AS norm FROM (SELECT *, sqrt(list_dot_product(pvec::DOUBLE[], pvec::DOUBLE[])) AS n FROM patches) q WHERE abs(n - 1) > 1e-3 + 1e-5"),
     "shape_violations": sql("SELECT sample_id FROM samples WHERE doc_id % 7 = 0"),
     "black_tiles": sql("SELECT sample_id, round(f, 6) AS black, f > 0.2 AS dropped FROM (SELECT sample_id, len(list_filter(range(16), lambda i: greatest(bands[1][i + 1], bands[2][i + 1], bands[3][i + 1]) = 0)) / 16.0e0 AS f FROM samples) q"),
+    "payload_lookup": sql("""
+SELECT a.vec_id AS row_id, b.vec_id AS found_id, b.vec_id <> a.vec_id AS mismatch, round(CAST(b.embedding[1] AS DOUBLE), 6) AS first
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + CASE WHEN a.vec_id % 5 = 0 THEN 1 ELSE 0 END WHERE a.label = 3"""),
     "row_mismatch": sql("SELECT file, file_row, product_id AS selected, concat(product_id, 'x') AS found FROM fragments WHERE file_row % 50 = 7"),
     "pending_items": sql("SELECT product_id, file FROM fragments WHERE cloud_cover >= 15"),
     "haversine": sql("""SELECT a.row_id, round(CASE WHEN a.lat IS NOT NULL AND a.lon IS NOT NULL AND b.lat IS NOT NULL AND b.lon IS NOT NULL THEN

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,15 +65,75 @@ def stage_key(parameters: dict) -> str:
     return hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:12]
 
 
-def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str, parameters: dict, force: bool = False) -> DataFrame:
-    """The stage table for these parameters below path: read if it was finished, else built and written. Spark's _SUCCESS marks what was finished."""
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """Changes when a file below paths comes, goes, or changes its length or time. Files are listed and added up by Spark; none is read."""
+    said = []
+    for path in paths:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
+        said.append(list(files.agg(F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime")), F.sum(F.xxhash64("path", "length", "modificationTime") % 1_000_003)).first()))
+    return hashlib.sha256(json.dumps(said).encode()).hexdigest()[:16]
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def published(spark: SparkSession, at: str) -> dict | None:
+    """What the pointer of a stage table says: its build, and the fingerprint of the inputs that this was made from. None before the first build."""
+    pointer, fs = _files(spark, f"{at}/_current")
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, at: str, said: dict) -> None:
+    """Puts the pointer in place in one step: written aside, then renamed over the old one."""
+    aside, fs = _files(spark, f"{at}/_next-{uuid.uuid4().hex}")
+    stream = fs.create(aside, True)
+    try:
+        stream.write(json.dumps(said).encode())
+    finally:
+        stream.close()
+    kinds = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(kinds, 1)
+    how[0] = kinds.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri() if aside.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(aside, _files(spark, f"{at}/_current")[0], how)
+
+
+def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str, parameters: dict, force: bool = False, inputs: Sequence[str] = ()) -> DataFrame:
+    """The stage table for these parameters below path: read if it was finished from inputs as they are now, else built.
+
+    A build is written to a folder of its own and then published by a pointer. Until that, and if the build fails, the
+    table that was published before stays what readers get, and no folder that is being read is touched: those of old
+    builds go with sweep(). Of builds at the same time the last to finish counts. inputs: files or folders that the table is made from.
+    """
     at = f"{path}/{stage_key(parameters)}"
-    jvm = spark._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
-    done = marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
-    if force or not done:
-        build().write.mode("overwrite").parquet(at)
-    return spark.read.parquet(at)
+    made_from = fingerprint(spark, *inputs)
+    have = published(spark, at)
+    if force or have is None or have["inputs"] != made_from:
+        have = {"build": f"build-{uuid.uuid4().hex}", "inputs": made_from}
+        build().write.parquet(f"{at}/{have['build']}")
+        _publish(spark, at, have)
+    return spark.read.parquet(f"{at}/{have['build']}")
+
+
+def sweep(spark: SparkSession, path: str, parameters: dict) -> int:
+    """Removes the builds of a stage table that aren't published, those that failed among them; how many. Not while one is being built or an old one read."""
+    at = f"{path}/{stage_key(parameters)}"
+    have = published(spark, at)
+    top, fs = _files(spark, at)
+    gone = 0
+    for found in fs.listStatus(top) if fs.exists(top) else []:
+        name = found.getPath().getName()
+        if name.startswith(("build-", "_next-")) and (have is None or name != have["build"]):
+            gone += fs.delete(found.getPath(), True)
+    return gone
 
 
 def write_embeddings(df: DataFrame, manifest: DataFrame, path: str, key: str = "chip_id") -> None:
@@ -87,3 +148,22 @@ def catalog_files(spark: SparkSession, path: str, pattern: str = "*", limit: int
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length")
     out = files.select("path", F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1).alias("stem"), F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("label"), "length").orderBy("path")
     return out if limit is None else out.limit(limit)
+
+
+def positions(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """(file, file_row, *columns) of the Parquet files below path: where each row stands."""
+    rows = spark.read.parquet(path)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("file_row"), *columns)
+
+
+def lookup(wanted: DataFrame, path: str, *columns: str) -> DataFrame:
+    """wanted (file, file_row, ...) with columns of the row that stands there in the Parquet files below path; null where there is none.
+
+    Only the files that are asked for are opened, and of these only the columns. Their names come to the driver, which
+    lists the files of a table anyway. Names that both have are told apart: the file's are columns of the struct found.
+    """
+    spark = wanted.sparkSession
+    asked = [r["file"] for r in wanted.select("file").where("file is not null").distinct().collect()]
+    rows = spark.read.parquet(path).where(F.col("_metadata.file_path").isin(asked))
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("file_row"), F.struct(*columns).alias("found"))
+    return wanted.join(rows, ["file", "file_row"], "left")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 NOVELTY = "agent_id bigint, step bigint, novelty double, history_size bigint"
@@ -70,19 +71,24 @@ class NoveltyProcessor(StatefulProcessor):
             self.palate = handle.getValueState("palate", "taste array<double>, first array<double>, n_updates bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        visits = pd.concat(list(rows)).sort_values("step")
+        yield self.scored(key, zip(visits["step"], visits["embedding"], strict=True))
+
+    def scored(self, key, visits: Iterable[tuple[int, Sequence[float]]]) -> pd.DataFrame:
+        """Scores the visits, in the order given, and adds them to the key's history."""
         past = [np.asarray(r[0], float) for r in self.history.get()] if self.history.exists() else []
         palate = Palate()
         if self.taste and self.palate.exists():
             *vectors, n = self.palate.get()
             palate = Palate(*[None if v is None else np.asarray(v, float) for v in vectors], n)
         known, out = len(past), []
-        for r in pd.concat(list(rows)).sort_values("step").itertuples(index=False):
-            v = np.asarray(r.embedding, float)
+        for step, embedding in visits:
+            v = np.asarray(embedding, float)
             novelty = None
             if past:
                 distances = 1 - np.round(np.stack(past) @ v, 9)
                 novelty = float(np.sort(distances)[: self.j].mean())
-            out.append((key[0], r.step, novelty, len(past) + 1, *(palate.visit(self.taste, v, novelty) if self.taste else ())))
+            out.append((key[0], step, novelty, len(past) + 1, *(palate.visit(self.taste, v, novelty) if self.taste else ())))
             past.append(v)
         if self.max_history is not None and len(past) > self.max_history:
             self.history.put([(v.tolist(),) for v in past[-self.max_history :]])
@@ -91,12 +97,52 @@ class NoveltyProcessor(StatefulProcessor):
         if self.taste:
             self.palate.update((*[None if v is None else v.tolist() for v in (palate.taste, palate.first)], palate.n_updates))
         names = ["agent_id", "step", "novelty", "history_size"]
-        yield pd.DataFrame(out, columns=names + ["taste_similarity", "taste_shift", "n_updates", "drift"] * bool(self.taste))
+        return pd.DataFrame(out, columns=names + ["taste_similarity", "taste_shift", "n_updates", "drift"] * bool(self.taste))
 
     def close(self) -> None:
         pass
 
 
+class OrderedNoveltyProcessor(NoveltyProcessor):
+    """The same for rows that arrive in any order: each waits, keyed by its step, until the watermark has passed its time, and those that are due are then scored in order of step.
+
+    A row whose time the watermark has already passed, or whose step isn't above those that have been scored, would change
+    scores that are out: it is left out and counted in late.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "step bigint", "ms bigint, vec array<double>")
+        self.reached = handle.getValueState("reached", "step bigint, late bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        passed = timer.getCurrentWatermarkInMs()
+        reached, late = self.reached.get() if self.reached.exists() else (None, 0)
+        before = late
+        for batch in rows:
+            for step, ms, v in zip(batch["step"].tolist(), batch["ms"].tolist(), batch["embedding"], strict=True):
+                if ms <= passed or reached is not None and step <= reached:
+                    late += 1
+                else:
+                    self.waiting.updateValue((step,), (ms, [float(x) for x in v]))
+                    self.handle.registerTimer(ms)
+        if late > before:
+            self.reached.update((reached, late))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        due = sorted((step, vec) for (step,), (ms, vec) in self.waiting.iterator() if ms <= now)
+        if not due:
+            return
+        for step, _ in due:
+            self.waiting.removeKey((step,))
+        _, late = self.reached.get() if self.reached.exists() else (None, 0)
+        self.reached.update((due[-1][0], late))
+        yield self.scored(key, due).assign(late=late)
+
+
 def online_novelty(stream: DataFrame, j: int, max_history: int | None = None, taste: Taste | None = None) -> DataFrame:
     """stream (agent_id, step, embedding) to (agent_id, step, novelty, history_size). Needs the RocksDB state store.
 
@@ -106,6 +152,18 @@ def online_novelty(stream: DataFrame, j: int, max_history: int | None = None, ta
     return stream.groupBy("agent_id").transformWithStateInPandas(NoveltyProcessor(j, max_history, taste), TASTED if taste else NOVELTY, "Append", "None")
 
 
+def ordered_novelty(stream: DataFrame, j: int, lateness: str, time_col: str = "ts", max_history: int | None = None, taste: Taste | None = None) -> DataFrame:
+    """online_novelty for rows in any order of arrival, with late: the key's rows left out so far because they came too late.
+
+    stream also has time_col, which grows with an agent's step. A row is scored once the watermark, lateness behind the
+    newest time, has passed it: the scores are those of a replay of all rows that came in time. Steps without a time are left out.
+    """
+    timed = stream.where(F.col(time_col).isNotNull()).withWatermark(time_col, lateness)
+    timed = timed.select("agent_id", "step", "embedding", F.unix_millis(time_col).alias("ms"), time_col)
+    schema = (TASTED if taste else NOVELTY) + ", late bigint"
+    return timed.groupBy("agent_id").transformWithStateInPandas(OrderedNoveltyProcessor(j, max_history, taste), schema, "Append", "EventTime")
+
+
 class BoredomProcessor(StatefulProcessor):
     """One alert an agent, when the mean of its last window novelties falls below threshold. A step at or before the last one seen is dropped and counted as late."""
 

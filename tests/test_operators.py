@@ -234,6 +234,41 @@ def test_stage_tables_resume(spark, tmp_path):
     assert len(built) == 3
 
 
+def test_a_failed_rebuild_leaves_the_published_table(spark, tmp_path):
+    given, made = str(tmp_path / "given"), str(tmp_path / "made")
+    spark.range(5).write.parquet(given)
+    how = {"a": 1}
+
+    def build():
+        return spark.read.parquet(given)
+
+    def fails():
+        return spark.range(4).select(F.when(F.col("id") < 3, F.col("id")).otherwise(F.raise_error(F.lit("midway")).cast("long")).alias("id"))
+
+    first = tables.materialize(spark, build, made, how, inputs=[given])
+    with pytest.raises(Exception, match="midway"):
+        tables.materialize(spark, fails, made, how, force=True, inputs=[given])
+    assert first.count() == 5 and tables.materialize(spark, fails, made, how, inputs=[given]).count() == 5
+    spark.range(2).write.mode("append").parquet(given)
+    assert tables.materialize(spark, build, made, how, inputs=[given]).count() == 7
+    assert first.count() == 5, "a reader of the old build isn't disturbed"
+    assert tables.sweep(spark, made, how) == 2 and tables.materialize(spark, fails, made, how, inputs=[given]).count() == 7
+    assert tables.sweep(spark, made, {"b": 1}) == 0
+
+
+def test_lookup_opens_only_the_files_asked_for(spark, tmp_path):
+    path = tmp_path / "parts"
+    spark.range(60).select(F.col("id"), (F.col("id") * 10).alias("value"), F.col("id").alias("file")).repartitionByRange(6, "id").write.parquet(str(path))
+    at = {r["id"]: (r["file"], r["file_row"]) for r in tables.positions(spark, str(path), "id").collect()}
+    asked = [(*at[i], i) for i in (3, 5, 44)] + [(at[3][0], 999, -1), (None, 0, -2)]
+    wanted = spark.createDataFrame(asked, "file string, file_row long, id long")
+    for name in {f for f, _ in at.values()} - {f for f, *_ in asked}:
+        (path / name.rsplit("/", 1)[1]).write_bytes(b"not a Parquet file")
+    got = {r["id"]: r["found"] and (r["found"]["id"], r["found"]["value"]) for r in tables.lookup(wanted, str(path), "id", "value").collect()}
+    assert got == {3: (3, 30), 5: (5, 50), 44: (44, 440), -1: None, -2: None}
+    assert tables.lookup(wanted.limit(0), str(path), "id").count() == 0
+
+
 def test_embeddings_agree_with_manifest(spark, tmp_path):
     items = archive_of(spark, unit(5, 4))
     tables.write_embeddings(items, items, str(tmp_path / "e"))

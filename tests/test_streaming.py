@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from novelspark.operators import similarity, taste
 from novelspark.operators import walk_log as wl
-from novelspark.streaming.online import Taste, boredom_alerts, online_novelty
+from novelspark.streaming.online import Taste, boredom_alerts, online_novelty, ordered_novelty
 
 
 @pytest.fixture
@@ -72,3 +72,33 @@ def test_alerts_equal_batch_stops(rocks, tmp_path):
     got = {r["agent_id"]: r["stop_step"] for r in run(rocks, log, tmp_path, "bored", lambda s: boredom_alerts(s, 3, 0.9))}
     want = {r["agent_id"]: r["stop_step"] for r in wl.boredom_stop(log, 3, 0.9).collect() if r["stop_reason"] == "boredom"}
     assert got == want and got
+
+
+def shuffled(spark, df, path, name, batches, build):
+    """batches: which (agent_id, step) each file holds, in order of arrival; the time is an hour a step."""
+    timed = df.withColumn("ts", F.timestamp_seconds(F.lit(1_600_000_000) + 3600 * F.col("step")))
+    for some in batches:
+        keys = spark.createDataFrame(some, "agent_id long, step long")
+        timed.join(F.broadcast(keys), ["agent_id", "step"]).coalesce(1).write.parquet(f"{path}/in", mode="append")
+    stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    q = build(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(200)
+    return spark.table(name).collect()
+
+
+def test_shuffled_arrival_equals_replay_and_lateness_is_counted(rocks, tmp_path):
+    df = visits(rocks)
+    rnd = np.random.default_rng(5)
+    in_time = [(a, s) for a in range(3) for s in range(12)]
+    rnd.shuffle(in_time)
+    dropped = (1, 2)  # comes when the watermark is past step 11
+    in_time = [(int(a), int(s)) for a, s in in_time if (a, s) != dropped]
+    end = rocks.createDataFrame([(9, s, [1.0, 0.0, 0.0, 0.0, 0.0]) for s in (40, 60)], df.schema)
+    batches = [in_time[:12], in_time[12:24], in_time[24:], [(9, 40)], [dropped, (9, 60)]]
+    rows = shuffled(rocks, df.unionByName(end), tmp_path, "ordered", batches, lambda s: ordered_novelty(s, 4, "24 hours"))
+    want = {(r["agent_id"], r["step"]): r["novelty"] for r in similarity.replay_novelty(df.where("not (agent_id = 1 and step = 2)"), 4).collect()}
+    got = {(r["agent_id"], r["step"]): (r["novelty"], r["history_size"]) for r in rows if r["agent_id"] != 9}
+    assert set(got) == set(in_time)
+    assert {r["agent_id"]: r["late"] for r in rows if r["step"] == 11} == {0: 0, 1: 1, 2: 0}
+    for (a, s), (novelty, size) in got.items():
+        assert size == s + 1 - ((a, s) > (1, 2) and a == 1) and (novelty is None if s == 0 else abs(novelty - want[a, s]) < 1e-8)
