@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from novelspark.llm.common import documents, ship, small, text_or_empty
+from novelspark.llm.common import documents, ship, small, stored, text_or_empty
 
 #: What is counted of the rows of a cell: all, those labelled good, those labelled toxic.
 MEASURES = ("n", "good", "toxic")
@@ -70,6 +70,7 @@ def cells(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", part_col:
             F.min(F.when(~keyless, F.struct("_key", *MEASURES))).alias("_least"),
         )
     )
+    lines = stored(lines, "audit-lines")  # else each use reads the texts again
     first = lines.where("_least is not null").groupBy("_same").agg(F.min("_least._key").alias("_first"))
     lines = lines.join(first, "_same", "left")
     ahead = {m: F.col(f"_{m}") + F.when(F.col("_least._key") == F.col("_first"), F.col(f"_least.{m}")).otherwise(0) for m in MEASURES}
