@@ -3,8 +3,9 @@
 A text is cut into blocks of block bytes (all of it; so a long text doesn't become its own dictionary), each is compressed
 with either dictionary. The difference of the summed sizes over their sum, and the log of their sum over the text's size (a
 text that repeats itself shrinks under either dictionary), are turned into a probability by a logistic curve fitted on
-labelled texts that the dictionaries haven't seen. The fit takes a bounded sample of labelled rows
-(max_rows a class, each of at most max_chars characters); scoring takes every row and whole text.
+labelled texts that the dictionaries haven't seen. The fit takes a bounded sample: max_rows labelled rows of a class, of any
+length, and of a text with more than max_blocks blocks so many of them, evenly from its beginning to its end. Scoring
+takes every row and whole text.
 
 A null text counts as empty; an empty text has the prior of the sample. Repeated rows are scored again. Labels that are
 null, or of documents that aren't there, are not used; a document labelled both ways counts as both, a label given twice once. With no labelled
@@ -89,6 +90,14 @@ def _dictionary(texts: list[bytes], size: int, block: int) -> bytes:
         return b"".join(parts)[-size:]
 
 
+def spread(text: bytes, block: int, most: int) -> bytes:
+    """text, or most of its blocks end to end, at even distances from the first to the last."""
+    n = -(-len(text) // block)
+    if n <= most:
+        return text
+    return b"".join(text[i * block : (i + 1) * block] for i in (j * (n - 1) // (most - 1) for j in range(most)))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> tuple[float, float, float]:
     """Weights of the two measures and a constant by Newton's method on measures scaled to unit spread. Targets are drawn in from 0 and 1, so that separable classes stay finite."""
     middle, scale = x.mean(0), x.std(0) + 1e-9
@@ -103,22 +112,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2
     return float(slopes[0]), float(slopes[1]), float(w[2] - slopes @ middle)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 1500, max_chars: int = 20_000) -> CompressionModel:
-    """Fits on at most max_rows rows a class: those of 1 to max_chars characters whose hashed keys come first.
+def fit(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 1500, max_blocks: int = 40, block: int = 512) -> CompressionModel:
+    """Fits on at most max_rows rows a class, those whose hashed keys come first, and max_blocks blocks of each (spread).
 
-    Keys and lengths are chosen from first; only one text of each chosen key (the least of those that repeat it), 2 * max_rows
-    at most, comes to the driver. Longer labelled rows aren't learnt from.
+    Keys are chosen first; only one text of each chosen key (the least of those that repeat it) is cut, in tasks, and at
+    most 2 * max_rows * max_blocks blocks come to the driver. Empty texts aren't learnt from.
     """
-    long = docs.select(F.col(key_col).alias("k"), F.length(text_col).alias("n")).where(F.col("n").between(1, max_chars)).select("k")
-    rows = long.join(labels.select(F.col(key_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)"), "k").distinct()
+    ship(docs.sparkSession)
+    some = docs.where(F.length(text_col) > 0)
+    rows = some.select(F.col(key_col).alias("k")).join(labels.select(F.col(key_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)"), "k").distinct()
     chosen = None
     for y in (0, 1):
         first = rows.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(max_rows)
         chosen = first if chosen is None else chosen.unionAll(first)
-    texts = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"))
-    met = texts.join(F.broadcast(chosen), "k").where(F.length("t").between(1, max_chars))
-    got = sorted(met.groupBy("k", "y").agg(F.min("t").alias("t")).select("k", "t", "y").collect())
-    return CompressionModel.fit([r["t"].encode() for r in got], [r["y"] for r in got])
+    met = some.select(F.col(key_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "k")  # 2 * max_rows keys
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            parts = [spread(t.encode(), block, max_blocks) for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array(parts, pa.binary())], ["k", "y", "t"])
+
+    once = met.groupBy("k", "y").agg(F.min("t").alias("t"))
+    got = sorted((r["k"], bytes(r["t"]), r["y"]) for r in once.mapInArrow(cut, f"k {dict(met.dtypes)['k']}, y int, t binary").collect())
+    return CompressionModel.fit([t for _, t, _ in got], [y for *_, y in got], block=block)
 
 
 def score(docs: DataFrame, model: CompressionModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
