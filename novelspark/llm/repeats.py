@@ -18,9 +18,9 @@ window instead of by trigger.
 
 A null text counts as empty. A null key comes before all others. A text below ``length`` bytes loses nothing. Different
 texts of one key, or without one, are documents of their own in the order of the texts' hashes. Rows that repeat both are
-one document: each loses the same bytes, none counts as another's earlier text, their places count once, and a task makes
-their phrases once. Rows without a key are dealt over up to SPREAD tasks a text. Columns of the input besides key and text are not
-read.
+one document: each loses the same bytes, none counts as another's earlier text, their places count once, and their phrases
+are made once; they meet in one task, which reads them one after another. Columns of the input besides key and text are
+not read.
 """
 
 from __future__ import annotations
@@ -39,7 +39,6 @@ LENGTH, ANCHOR = 100, 32
 #: Bytes of text that are parsed at once, and places that a task packs at once.
 CHUNK, PLACES = 1 << 20, 400_000
 HOT = 100_000
-SPREAD = 64
 _LOW = (1 << 30) - 1
 _NULL_KEY = -(1 << 63)
 
@@ -347,19 +346,14 @@ def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
     rows = docs.select(key.alias("k"), F.xxhash64(text).alias("t"), text.alias("text"))
     blocks = rows.mapInArrow(_parse(own, length, anchor), _BLOCK_DDL).repartition(n, "bucket")
     entries = blocks.mapInArrow(_order_entries(length, anchor, hot), _PLACE)
-    keyless = F.col("k") == _NULL_KEY
-    dealt = rows.withColumn("s", F.when(keyless, F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))).repartition(n, "k", "t", "s")
-
-    def asked_of(places: DataFrame, *columns: str) -> DataFrame:
-        """A row for each document, or for each of the tasks that it is dealt over, with its places."""
-        sets = places.groupBy("k", "t").agg(F.collect_set(F.struct(*columns)).alias("asks"))
-        return sets.withColumn("s", F.explode(F.when(keyless, F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
-
-    asked = dealt.join(asked_of(entries.where(F.col("h").isNotNull()), "start", "end", "h"), ["k", "t", "s"])
+    dealt = rows.repartition(n, "k", "t")
+    asks = F.collect_set(F.struct("start", "end", "h")).alias("asks")
+    asked = dealt.join(entries.where(F.col("h").isNotNull()).groupBy("k", "t").agg(asks), ["k", "t"])
     phrases = asked.select("k", "t", "text", "asks").mapInArrow(_phrases(own, length, anchor), _BLOCK_DDL).repartition(n, "bucket")
     windows = phrases.mapInArrow(_order_windows(length, anchor), _PLACE)
     gone = entries.where(F.col("h").isNull()).unionByName(windows)
-    out = dealt.join(asked_of(gone, "start", "end"), ["k", "t", "s"], "left").select("k", "text", "asks").mapInArrow(_cut, "k bigint, n_bytes bigint, spans array<struct<start:int,end:int>>, kept binary")
+    gone = gone.groupBy("k", "t").agg(F.collect_set(F.struct("start", "end")).alias("asks"))
+    out = dealt.join(gone, ["k", "t"], "left").select("k", "text", "asks").mapInArrow(_cut, "k bigint, n_bytes bigint, spans array<struct<start:int,end:int>>, kept binary")
     return out.withColumn("k", F.when(F.col("k") != _NULL_KEY, F.col("k"))).withColumnRenamed("k", key_col)
 
 
