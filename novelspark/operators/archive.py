@@ -9,6 +9,10 @@ from novelspark.functions import vec
 from novelspark.functions.rand import keyed_uniform, md5_mod
 
 
+#: Cells of a mask that is broadcast, at most: some 20 MB.
+MASK_CELLS = 1_000_000
+
+
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).count().where("count > 1")
 
@@ -46,10 +50,14 @@ def quality_filter(df: DataFrame, max_cloud: float, max_nodata: float, south: fl
 
 
 def on_mask(df: DataFrame, mask: DataFrame, degrees: float) -> DataFrame:
-    """Rows whose centre lies on a cell of mask (mask_row, mask_col), a raster of at most (180 / degrees) * (360 / degrees) cells."""
+    """Rows whose centre lies on a cell of mask (mask_row, mask_col), a raster of at most (180 / degrees) * (360 / degrees) cells.
+
+    The mask goes to all tasks where that many cells are few, and meets the rows in a shuffle where they aren't.
+    """
     row = F.floor((90.0 - F.col("centre_lat")) / degrees).cast("int")
     col = F.floor((F.col("centre_lon") + 180.0) / degrees).cast("int")
-    return df.join(F.broadcast(mask), (row == F.col("mask_row")) & (col == F.col("mask_col")), "left_semi")
+    cells = (180 / degrees) * (360 / degrees)
+    return df.join(F.broadcast(mask) if cells <= MASK_CELLS else mask, (row == F.col("mask_row")) & (col == F.col("mask_col")), "left_semi")
 
 
 def first_per_key(df: DataFrame, key: str, *order) -> DataFrame:

@@ -73,12 +73,14 @@ def walk(starts: DataFrame, archive: DataFrame, graph: DataFrame, steps: int, m:
 def farthest_points(archive: DataFrame, start: int, n: int) -> DataFrame:
     """(pick, row_id, min_distance): start, then n - 1 times the row whose nearest pick is farthest; ties to the smaller row_id.
 
-    Only the newest pick, one vector, goes out to all rows; a picked row leaves the table. Distances are rounded to 9
+    A start that isn't there or has no vector is an error; other rows without a vector are left out. Only the newest pick, one vector, goes out to all rows; a picked row leaves the table. Distances are rounded to 9
     places before they are compared.
     """
     spark = archive.sparkSession
-    rows = stored(archive.select("row_id", vec.doubles("embedding").alias("embedding")), "fps")
+    rows = stored(archive.where((F.col("row_id") == start) | F.col("embedding").isNotNull()).select("row_id", vec.doubles("embedding").alias("embedding")), "fps")
     newest = rows.where(F.col("row_id") == start).first()
+    if newest is None or newest["embedding"] is None:
+        raise ValueError(f"the start, row {start}, isn't in the archive or has no vector")
     picks = [(0, start, None)]
     left = rows.withColumn("near", F.lit(2.0))
     for i in range(1, n):

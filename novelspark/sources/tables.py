@@ -7,7 +7,7 @@ import json
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +60,46 @@ def write_by_agent(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("agent_id").parquet(path)
 
 
+def write_bucketed(df: DataFrame, path: str, buckets: int, key: str = "agent_id") -> None:
+    """Rows by key in buckets files, however many keys there are: an agent's scores or tastes, sorted by key in its file.
+
+    Tables with as many buckets by the same key are joined and grouped by it without a shuffle. path must be new or empty.
+    """
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, key).sortWithinPartitions(key)
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", f"{path}/rows").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay
+    said = spark.range(0, 1, 1, 1).select(F.lit(buckets).alias("buckets"), F.lit(key).alias("key"), F.lit(df.schema.json()).alias("schema"))
+    said.write.parquet(f"{path}/spec")
+
+
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """A table of write_bucketed, in any session; Spark knows its buckets."""
+    said = spark.read.parquet(f"{path}/spec").first()
+    name = f"bucketed_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromJson(json.loads(said["schema"])).fields)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{said['key']}`) SORTED BY (`{said['key']}`) INTO {said['buckets']} BUCKETS LOCATION '{path}/rows'")
+    return spark.table(name)
+
+
+def write_shards(df: DataFrame, path: str, shard: str) -> None:
+    """A folder for each shard, one file each where a shard is of usual size."""
+    df.repartition(shard).write.partitionBy(shard).parquet(path)
+
+
+def first_shards(spark: SparkSession, path: str, shard: str, n: int) -> DataFrame:
+    """The rows of the first n shards by name of a table of write_shards.
+
+    The names come from the folders; which of them are read is found out when the query runs, by dynamic pruning, so that
+    the files of other shards are never opened.
+    """
+    rows = spark.read.parquet(path)
+    place = F.row_number().over(Window.orderBy(shard))  # a row a shard
+    names = rows.select(shard).distinct().withColumn("_place", place).where(F.col("_place") <= n)
+    return rows.join(F.broadcast(names.select(shard)), shard).select(*rows.columns)  # n rows
+
+
 def stage_key(parameters: dict) -> str:
     """The same for the same parameters in any order."""
     return hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:12]
@@ -91,7 +131,7 @@ def published(spark: SparkSession, at: str) -> dict | None:
         stream.close()
 
 
-def _publish(spark: SparkSession, at: str, said: dict) -> None:
+def publish(spark: SparkSession, at: str, said: dict) -> None:
     """Puts the pointer in place in one step: written aside, then renamed over the old one."""
     aside, fs = _files(spark, f"{at}/_next-{uuid.uuid4().hex}")
     stream = fs.create(aside, True)
@@ -119,7 +159,7 @@ def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str,
     if force or have is None or have["inputs"] != made_from:
         have = {"build": f"build-{uuid.uuid4().hex}", "inputs": made_from}
         build().write.parquet(f"{at}/{have['build']}")
-        _publish(spark, at, have)
+        publish(spark, at, have)
     return spark.read.parquet(f"{at}/{have['build']}")
 
 
