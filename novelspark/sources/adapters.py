@@ -21,6 +21,9 @@ _HOLDS = {
     IsNotNull: lambda v, f: v is not None,
 }
 
+#: The option that tells a source whether the session takes filters.
+_PUSHED = "filters-pushed"
+
 _ADAPTERS: dict[str, type[DataSource]] = {}
 
 
@@ -34,7 +37,8 @@ def adapter(
     """Registers a source: parts(options) on the driver, read(options, part) yields rows or Arrow batches in a task.
 
     facts(options, part): what holds for all rows of a part, {column: value}. Filters on these columns then drop parts
-    before any task reads them (needs spark.sql.python.filterPushdown.enabled); Spark applies every filter to the rows as well.
+    before any task reads them, where the session has spark.sql.python.filterPushdown.enabled when the source is loaded;
+    Spark applies every filter to the rows as well.
     A stream of the source reads each part once, in the order in which parts() lists them: its offset is the number of
     parts read, so parts() must only add new ones at the end.
     """
@@ -46,10 +50,6 @@ def adapter(
         def __init__(self, options: dict):
             self.options, self.held = options, []
 
-        def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-            self.held = [f for f in filters if type(f) in _HOLDS and len(f.attribute) == 1]
-            yield from filters
-
         def partitions(self) -> list[InputPartition]:
             out = []
             for p in parts(self.options):
@@ -61,6 +61,11 @@ def adapter(
         def read(self, partition: InputPartition) -> Iterator[tuple | pa.RecordBatch]:
             yield from read(self.options, partition.value)
 
+    class PushingReader(Reader):
+        def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+            self.held = [f for f in filters if type(f) in _HOLDS and len(f.attribute) == 1]
+            yield from filters
+
     class StreamReader(DataSourceStreamReader):
         def __init__(self, options: dict):
             self.options = options
@@ -86,7 +91,8 @@ def adapter(
             return schema
 
         def reader(self, schema) -> DataSourceReader:
-            return Reader(dict(self.options))
+            options = dict(self.options)
+            return (PushingReader if options.pop(_PUSHED, "false") == "true" and facts else Reader)(options)
 
         def streamReader(self, schema) -> DataSourceStreamReader:
             return StreamReader(dict(self.options))
@@ -100,7 +106,8 @@ def load(spark: SparkSession, name: str, **options) -> DataFrame:
     if name not in _ADAPTERS:
         raise KeyError(f"no adapter {name}; there are {', '.join(sorted(_ADAPTERS)) or 'none'}")
     spark.dataSource.register(_ADAPTERS[name])
-    return spark.read.format(name).options(**options).load()
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format(name).options(**options).option(_PUSHED, pushed).load()
 
 
 def load_stream(spark: SparkSession, name: str, **options) -> DataFrame:
