@@ -1,6 +1,7 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-An item's sketch is the bottom of its MinHash order: the shingles with the smallest hashes. Items are partitioned by
+An item's sketch is the bottom of its MinHash order: of its shingles those with the smallest hashes, but a shingle that
+twice as many items have comes later, so that common openings are sketched only where an item has little else. Items are partitioned by
 their number of shingles into classes that double; a class's sketch holds as many shingles as an item of its largest
 size can lack and still be contained, and one more. A document that contains the threshold's share of an item therefore
 holds one of the item's sketched shingles, however long the document is. (Signatures of whole documents in bands, the
@@ -25,10 +26,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from novelspark.llm.common import PLACE, documents, place, ship, small, stored, text_or_empty
+from novelspark.llm.common import PLACE, documents, looked_up, place, ship, small, stored, text_or_empty
 from novelspark.llm.rolling import U, Prefixes
 
 WORDS, THRESHOLD = 5, 0.8
@@ -81,17 +82,30 @@ def _own_shingles(joined: bytes, words: int) -> tuple[int, set[bytes]]:
     return n, shingles(found, n)
 
 
-def _sketched(words: int, threshold: float) -> Batches:
+def _shingled(words: int, threshold: float) -> Batches:
+    """(ref, n, h, keep): an item's distinct shingles of n words, and how many of them its sketch holds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             for ref, joined in zip(batch.column("ref").to_pylist(), batch.column("words").to_pylist(), strict=True):
                 n, own = _own_shingles(joined, words)
-                h = np.sort(_hashes(sorted(own), n)[1])[: sketch_size(len(own), threshold)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), ref, np.int64))], ["n", "h", "ref"])
+                h = np.unique(_hashes(sorted(own), n)[1])
+                keep = sketch_size(len(own), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), ref, np.int64)), pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), keep, np.int32))], ["ref", "n", "h", "keep"])
 
     return run
 
 
+def sketches_of(items: DataFrame, words: int, threshold: float) -> DataFrame:
+    """(n, h, ref) of items (ref, words), stored."""
+    every = stored(items.mapInArrow(_shingled(words, threshold), "ref bigint, n int, h bigint, keep int"), "benchmark-shingles")
+    common = stored(every.groupBy("n", "h").agg(F.count("*").alias("_c")), "benchmark-common")
+    met = looked_up(every, common, ["n", "h"], "_c")
+    # Hashes are unsigned: the sign bit turned over, signed order is theirs.
+    order = Window.partitionBy("ref").orderBy(F.floor(F.log2("_c")), F.col("h").bitwiseXOR(F.lit(-(1 << 63))))
+    return stored(met.withColumn("_i", F.row_number().over(order)).where("_i <= keep").select("n", "h", "ref"), "benchmark-sketches")
+
+
 def _bitmap(sketches: DataFrame) -> np.ndarray:
     """A bit for each value of the first _FILTER_BITS bits of a hash: 8 MB in pages of 4 KB, of which those in use are collected."""
     x = F.shiftrightunsigned("h", 64 - _FILTER_BITS)
@@ -164,14 +178,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key_col: str = "doc_id", text_c
     plain = docs.select(F.col(key_col).cast("long").alias("key"), text_or_empty(text_col).alias("text")).withColumn("digest", F.xxhash64("text"))
     named = benchmark.select(F.monotonically_increasing_id().alias("ref"), F.col(item_col).cast("long").alias("item_id"), text_or_empty("text").alias("text"))
     items = stored(named.mapInArrow(_worded, "ref bigint, item_id bigint, words binary"), "benchmark-items")
-    sketches = stored(items.mapInArrow(_sketched(words, threshold), "n int, h bigint, ref bigint"), "benchmark-sketches")
+    sketches = sketches_of(items, words, threshold)
     lengths = sorted(r["n"] for r in sketches.select("n").distinct().collect())  # words at most
     search = spark.sparkContext.broadcast((lengths, _bitmap(sketches)))
     met = plain.select("digest", "text").mapInArrow(_met(search), "digest bigint, n int, h bigint").distinct()
     pairs = stored(met.join(sketches, ["n", "h"]).select("digest", "ref").distinct(), "benchmark-candidates")
     parts = pairs.groupBy("digest").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
     part = F.pmod(F.xxhash64("ref"), F.col("parts")).alias("part")
-    asked = pairs.join(parts, "digest").join(items, "ref").groupBy("digest", part).agg(F.collect_list(F.struct("item_id", "words")).alias("items"))
+    wanted = stored(items.join(pairs.groupBy("ref").agg(F.count("*").alias("_n")), "ref"), "benchmark-wanted")
+    asked = looked_up(pairs.join(parts, "digest"), wanted, ["ref"], "_n").groupBy("digest", part).agg(F.collect_list(F.struct("item_id", "words")).alias("items"))
     return plain.join(stored(asked, "benchmark-asked").drop("part"), "digest").select("key", "digest", "text", "items").mapInArrow(_verified(words, threshold), _FOUND)
 
 

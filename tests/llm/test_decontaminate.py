@@ -1,6 +1,7 @@
 import random
 
-from novelspark.llm.decontaminate import decontaminate, leaks, op6_decontamination, shingles, words_of
+from novelspark.llm.common import stored
+from novelspark.llm.decontaminate import _worded, decontaminate, leaks, op6_decontamination, shingles, sketches_of, words_of
 
 
 def brute(docs, items, words=5, threshold=0.8):
@@ -58,3 +59,18 @@ def test_null_and_repeated_keys_harm_no_other_row(spark):
     df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "doc_id long, text string, _key string, item_id int")
     clean = decontaminate(df.withColumnRenamed("_key", "ref"), spark.createDataFrame([(3, item)], "item_id long, text string"))
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in clean.collect()) == sorted([("1", "clean text of its own"), *[("None", "another clean one")] * 2, ("None", "None")])
+
+
+def test_one_common_opening_of_half_of_all_items_and_documents(spark):
+    """A shingle that is in half of everything is in no sketch, and all leaks are found."""
+    rnd = random.Random(4)
+    word = lambda: "w" + str(rnd.randint(0, 5000))
+    opening = "which of the following statements is true"
+    items = [(i, (opening + " " if i % 2 else "") + " ".join(word() for _ in range(25))) for i in range(60)]
+    docs = [(k, " ".join([*(word() for _ in range(20)), opening if k % 2 else "x", *(word() for _ in range(30)), *([items[k % 60][1]] if k % 9 == 0 else [])])) for k in range(300)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    named = bench.selectExpr("item_id AS ref", "item_id", "text").mapInArrow(_worded, "ref bigint, item_id bigint, words binary")
+    met = sketches_of(stored(named, "items"), 5, 0.8).groupBy("n", "h").count().agg({"count": "max"}).first()[0]
+    assert met == 1
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r["key"], r["item_id"], r["n_shared"], r["n_shingles"]) for r in got} == brute(docs, items) and len(got) > 30

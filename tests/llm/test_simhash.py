@@ -111,3 +111,9 @@ def test_keep_one_keeps_one_row_of_each_group_under_null_and_repeated_keys(spark
     rows += [(None, "salt pepper oil vinegar six"), (7, "salt pepper oil vinegar six")]
     got = [(r["doc_id"], r["text"]) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
     assert sorted(got, key=str) == sorted(set(rows) - {(None, "salt pepper oil vinegar six")}, key=str)
+
+
+def test_a_hub_with_half_of_all_links(spark):
+    links = [(0, i) for i in range(1, 12_000)] + [(20_000 + 2 * i, 20_001 + 2 * i) for i in range(6_000)] + [(5, 19_999), (19_998, 19_999)]
+    got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect()}
+    assert got == {n: 0 for n in [*range(12_000), 19_998, 19_999]} | {20_000 + i: 20_000 + i // 2 * 2 for i in range(12_000)}
