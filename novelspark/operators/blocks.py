@@ -31,6 +31,8 @@ from novelspark.runtime import arrow_rows, ship, stored
 
 #: Vectors of a block at most, about; pivots at most (all are on the driver and in every task: their number doesn't grow with the data).
 SIZE, PIVOTS = 512, 1024
+#: Blocks of either side up to which a search has one cell and no bounds.
+ONE_CELL = 16
 #: Bytes of base vectors that a task holds at once in the grid.
 HELD = 64 << 20
 #: More than rounding to 9 places and the arithmetic of a bound can be out by.
@@ -233,11 +235,18 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, size: int = SIZE, toget
     spark = queries.sparkSession
     b = blocks(base, size)
     q = b if queries is base else blocks(queries, size)
+    count = b.count()
     if together is None:
         dims = b.select(F.size("centre")).first()
-        together = grid_side(b.count(), size, dims[0] if dims else 1)
-    must = meetings(q, b, k, together)
-    i = F.floor(F.col("q") / together).alias("i")
+        together = grid_side(count, size, dims[0] if dims else 1)
+    one = max(count, q.count()) <= ONE_CELL
+    if one:
+        # A cell holds all: every block goes there once, whatever bounds would drop.
+        others = [r["block"] for r in b.select("block").collect()]
+        must = q.select(F.col("block").alias("q"), F.lit(0).cast("long").alias("j"), F.array(*map(F.lit, others)).cast("array<bigint>").alias("others")).where(F.lit(bool(others)))
+    else:
+        must = meetings(q, b, k, together)
+    i = (F.lit(0).cast("long") if one else F.floor(F.col("q") / together)).alias("i")
     asked = must.select(i, "j", "q", "others").join(q.select(F.col("block").alias("q"), "ids", "vecs"), "q")
     needed = must.select(i, "j", F.explode("others").alias("b")).distinct().join(b.select(F.col("block").alias("b"), "ids", "vecs"), "b")
     rows = needed.select("i", "j", F.lit(0).alias("side"), F.col("b").alias("block"), "ids", "vecs", F.array().cast("array<bigint>").alias("others"))
