@@ -136,13 +136,14 @@ class MarkovModels:
         return F.aggregate(F.transform(F.split(token, ""), lambda c: F.ascii(c)), start, add)["sum"]
 
 
-def scan(documents: DataFrame, models: MarkovModels, text_col: str = "text", key_col: str = "doc_id", min_ratio: float = 20.0) -> DataFrame:
+def scan(documents: DataFrame, models: MarkovModels, text_col: str = "text", key_col: str = "doc_id", min_length: int = 8, min_ratio: float = 20.0) -> DataFrame:
     """(key, spans array<struct<start,kind,end>>): for each row of documents all spans by start, then kind.
 
     The patterns see the whole text. The models see the runs of [A-Za-z0-9+/_=-] that are left once the patterns' matches
-    are blanked, and report those whose log-likelihood ratio is min_ratio nats or more, whatever their length. (Runs with
-    so few pairs that not even the models' most telling pair could bring them there aren't scored.) Short strings say
-    less, so that fewer of them are found: the README has the share by length and alphabet.
+    are blanked, of min_length or more, which is the least that the assign pattern takes for a secret, and report those
+    whose log-likelihood ratio is min_ratio nats or more. (Where a lower min_length is asked for, runs with so few pairs
+    that not even the models' most telling pair could bring them there aren't scored.) Short strings say less, so that
+    fewer of them are found: the README has the share by length and alphabet.
     """
     df = documents.select(F.col(key_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     df = _pieces(_pieces(_pieces(df, "assign", "text", ASSIGN), "access", "text", ACCESS), "hex", "text", HEX)
@@ -155,7 +156,7 @@ def scan(documents: DataFrame, models: MarkovModels, text_col: str = "text", key
     )
     for kind, pattern in (("access", ACCESS), ("hex", HEX)):
         df = df.withColumn("left", F.when(F.col(f"with_{kind}") > 0, _blanked(F.col("left"), pattern)).otherwise(F.col("left")))
-    df = _pieces(df, "markov", "left", candidate_pattern(models.shortest(min_ratio)))
+    df = _pieces(df, "markov", "left", candidate_pattern(max(min_length, models.shortest(min_ratio))))
     ratio = models.column()
     df = df.withColumn("markov_keep", F.transform("markov_m", lambda m: MarkovModels.score(m, ratio) >= min_ratio))
     df = df.withColumn("markov", _spans("markov", F.col("markov_keep")))

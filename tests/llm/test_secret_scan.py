@@ -92,7 +92,7 @@ def test_ratio_and_threshold_are_those_of_the_models(spark):
     short = [(n, "".join(rnd.choice(sets[0]) for _ in range(n))) for n in (5, 6, 7, 8, 9, 10, 11) for _ in range(60)]
     words = ["password", "iPhone", "McDonald", "utf-8", "README", "covid19", "v2.0", "hello_world", "and/or", "ABC", "x86_64", "e-mail", "Wi-Fi", "2024-11-28", "1234567"]
     frame = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate([t for _, t in short] + words)], "doc_id long, text string")
-    found = {r["key"]: bool(r["markov"]) for r in scan(frame, models).collect()}
+    found = {r["key"]: bool(r["markov"]) for r in scan(frame, models, min_length=2).collect()}
     share = {n: sum(found[i] for i, (m, _) in enumerate(short) if m == n) / 60 for n in range(5, 12)}
     assert share[11] > 0.9 and share[8] > 0.7 and share[8] < share[11] + 0.05 and models.shortest(20) < 6
     assert not any(found[i] for i in range(len(short), len(found))), [w for i, w in enumerate(words) if found[len(short) + i]]
