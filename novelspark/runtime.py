@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,9 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.dirname(spark.sparkContext.getCheckpointDir())
 
 
+#: The folders of the scopes that are open, outermost first.
+_open: ContextVar[tuple[str, ...]] = ContextVar("open", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside goes when it ends: results must have been written elsewhere by then. For jobs that run again and again."""
+    name = f"scratch-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path("/".join([shared_dir(spark), *_open.get(), name]))
+    token = _open.set((*_open.get(), name))
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to a new table in the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df written to a new table in the shared folder and read again: cuts the lineage and survives lost executors. It stays there, but for those of scratch()."""
+    path = "/".join([shared_dir(df.sparkSession), *_open.get(), f"{name}-{uuid.uuid4().hex}"])
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

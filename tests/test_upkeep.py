@@ -1,11 +1,14 @@
 """Growing logs, kept sketches, bucketed and sharded tables, pushed filters: what a table at scale needs beside its rows."""
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from novelspark.operators import archive, patches, similarity, upkeep, walk
+from novelspark.runtime import scratch, shared_dir, stored
 from novelspark.sources import adapters, tables
 
 
@@ -106,6 +109,19 @@ def test_farthest_points_names_a_missing_start(spark):
     assert [r["row_id"] for r in walk.farthest_points(rows, 0, 5).collect()] == [0, 2]
 
 
+def test_scratch_tables_go_when_the_scope_ends(spark, tmp_path):
+    with scratch(spark):
+        outer = stored(spark.range(3), "outer")
+        with scratch(spark):
+            inner = stored(outer, "inner")
+            inner.write.parquet(str(tmp_path / "kept"))
+        assert outer.count() == 3
+        with pytest.raises(Exception, match="not exist|NOT_EXIST|FileNotFound"):
+            inner.count()
+    assert stored(spark.range(2), "after").count() == 2 and spark.read.parquet(str(tmp_path / "kept")).count() == 3
+    assert not list(Path(shared_dir(spark).removeprefix("file://")).glob("scratch-*"))
+
+
 SCHEMA = "shard string, n long"
 
 
