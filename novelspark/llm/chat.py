@@ -10,7 +10,7 @@ A turn's prefix holds all turns before it, so a conversation costs the square of
 a black box may rewrite history at any length, and only rendering every length shows where.
 
 Null texts and roles count as empty; turns come in order of turn, then role, then text; repeated rows are turns of their
-own; a conversation without turns doesn't exist. Columns besides the four are not read.
+own; a conversation without turns doesn't exist; rows without a conversation are one, of a null conv_id. Columns besides the four are not read.
 """
 
 from __future__ import annotations
