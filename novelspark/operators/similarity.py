@@ -119,15 +119,16 @@ def replay_novelty(visits: DataFrame, j: int, block: int = 512) -> DataFrame:
     return out.select(F.col("g").alias("agent_id"), F.col("q_id").alias("step"), "novelty", "n_near")
 
 
-def novelty_against(candidates: DataFrame, history: DataFrame, j: int, numbered: bool = False) -> DataFrame:
+def novelty_against(candidates: DataFrame, history: DataFrame, j: int, block: int = BLOCK) -> DataFrame:
     """candidates and history (agent_id, row_id, embedding): (agent_id, row_id, novelty, n_near). An agent without history has no rows.
 
-    numbered: the candidates' row_ids are dense enough to cut blocks by; an agent's candidates are then not brought together to be numbered.
+    Blocks are cut by hash, so that no task has to number all rows of an agent.
     """
-    order = Window.partitionBy("agent_id").orderBy("row_id")
-    rows = [
-        d.select(F.col("agent_id").alias("g"), F.col("row_id").alias("id"), (F.col("row_id") if own else F.row_number().over(order) - 1).cast("long").alias("ord"), F.col("embedding").alias("vec"))
-        for d, own in ((candidates, numbered), (history, False))
-    ]
-    out = nearest_means(*rows, j)
+
+    def dealt(d: DataFrame) -> DataFrame:
+        parts = d.groupBy("agent_id").agg(F.ceil(F.count("*") / block).alias("_parts"))
+        pos = F.pmod(F.xxhash64("row_id"), F.col("_parts")) * block
+        return d.join(parts, "agent_id").select(F.col("agent_id").alias("g"), F.col("row_id").alias("id"), F.col("row_id").alias("ord"), pos.alias("pos"), F.col("embedding").alias("vec"))
+
+    out = nearest_means(dealt(candidates), dealt(history), j, block=block)
     return out.select(F.col("g").alias("agent_id"), F.col("q_id").alias("row_id"), "novelty", "n_near")
