@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from novelspark.functions import vec
 from novelspark.operators import choose, similarity, taste
-from novelspark.runtime import stored
+from novelspark.runtime import ship, stored
 
 
 def scored_candidates(current: DataFrame, history: DataFrame, archive: DataFrame, graph: DataFrame, n: int, m: int, j: int, seed: int, k: int, tastes: DataFrame | None = None, weight: float = 0.0) -> DataFrame:
@@ -70,31 +74,57 @@ def walk(starts: DataFrame, archive: DataFrame, graph: DataFrame, steps: int, m:
     return log.join(archive.select("row_id", "chip_id"), "row_id"), reasons
 
 
-def farthest_points(archive: DataFrame, start: int, n: int) -> DataFrame:
+def farthest_points(archive: DataFrame, start: int, n: int, ahead: int = 256) -> DataFrame:
     """(pick, row_id, min_distance): start, then n - 1 times the row whose nearest pick is farthest; ties to the smaller row_id.
 
-    A start that isn't there or has no vector is an error; other rows without a vector are left out. Only the newest pick, one vector, goes out to all rows; a picked row leaves the table. Distances are rounded to 9
-    places before they are compared.
+    A start that isn't there or has no vector is an error; other rows without a vector are left out. Distances to the
+    nearest pick only shrink, so that those of the last scan are upper bounds: the ahead rows with the largest ones come
+    to the driver, and picks are taken from these alone, for as long as the best of them isn't behind the last of
+    them, and so not behind any row that stayed. Then all rows are told of the new picks in one scan. Distances are rounded to
+    9 places before they are compared.
     """
     spark = archive.sparkSession
-    rows = stored(archive.where((F.col("row_id") == start) | F.col("embedding").isNotNull()).select("row_id", vec.doubles("embedding").alias("embedding")), "fps")
-    newest = rows.where(F.col("row_id") == start).first()
-    if newest is None or newest["embedding"] is None:
+    ship(spark)
+    rows = stored(archive.where(F.col("embedding").isNotNull()).select("row_id", vec.doubles("embedding").alias("embedding"), F.lit(2.0).alias("near")), "fps")
+    first = rows.where(F.col("row_id") == start).first()
+    if first is None:
         raise ValueError(f"the start, row {start}, isn't in the archive or has no vector")
-    picks = [(0, start, None)]
-    left = rows.withColumn("near", F.lit(2.0))
-    for i in range(1, n):
-        last = F.array(*map(F.lit, newest["embedding"]))
-        left = left.where(F.col("row_id") != newest["row_id"]).withColumn("near", F.least("near", F.round(vec.distance("embedding", last), 9)))
-        if i % 4 == 0:
-            left = stored(left, "fps")
-        newest = left.orderBy(F.desc("near"), "row_id").first()
-        if newest is None:
+    picks, new = [(0, start, None)], {start: np.array(first["embedding"])}
+    while len(picks) < n:
+        rows = stored(_told(rows, new), "fps")
+        found = rows.orderBy(F.desc("near"), "row_id").limit(ahead).collect()
+        if not found:
             break
-        picks.append((i, newest["row_id"], newest["near"]))
+        ids, near = np.array([r["row_id"] for r in found]), np.array([r["near"] for r in found])
+        vectors = np.array([r["embedding"] for r in found])
+        last = (near[-1], -ids[-1]) if len(found) == ahead else (-np.inf, 0)
+        new = {}
+        while len(picks) < n and len(ids):
+            i = np.lexsort((ids, -near))[0]
+            if (near[i], -ids[i]) < last:
+                break
+            picks.append((len(picks), int(ids[i]), float(near[i])))
+            new[int(ids[i])] = vectors[i]
+            left = np.arange(len(ids)) != i
+            ids, near, vectors = ids[left], np.minimum(near, np.round(1 - vectors @ vectors[i], 9))[left], vectors[left]
     return spark.createDataFrame(picks, "pick int, row_id bigint, min_distance double")
 
 
+def _told(rows: DataFrame, new: dict[int, np.ndarray]) -> DataFrame:
+    """rows (row_id, embedding, near) without the new picks, near as far as these leave it."""
+    picked, matrix = np.array(list(new)), np.array(list(new.values())).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(~np.isin(batch.column(0).to_numpy(), picked)))
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                near = np.minimum(batch.column(2).to_numpy(), np.round(1 - x @ matrix, 9).min(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], ["row_id", "embedding", "near"])
+
+    return rows.mapInArrow(run, "row_id bigint, embedding array<double>, near double")
+
+
 def points_log(picks: DataFrame, archive: DataFrame) -> DataFrame:
     """The picks of farthest_points as a visit log of agent 0: novelty is the distance to the nearest earlier pick, all that was not picked yet was a candidate, and the pick ranks first among it."""
     later = F.col("step") > 0

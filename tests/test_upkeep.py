@@ -122,6 +122,28 @@ def test_scratch_tables_go_when_the_scope_ends(spark, tmp_path):
     assert not list(Path(shared_dir(spark).removeprefix("file://")).glob("scratch-*"))
 
 
+@pytest.mark.parametrize("ahead", [3, 64])
+def test_farthest_points_by_lazy_bounds(spark, monkeypatch, ahead):
+    rnd = np.random.default_rng(6)
+    v = rnd.standard_normal((20, 6))[rnd.integers(0, 20, 600)] + 0.3 * rnd.standard_normal((600, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[70] = v[71] = v[400]
+    scans = []
+    monkeypatch.setattr(walk, "stored", lambda df, name: scans.append(name) or stored(df, name))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "row_id long, embedding array<double>").repartition(3)
+    got = [(r["row_id"], r["min_distance"]) for r in walk.farthest_points(rows, 5, 40, ahead).orderBy("pick").collect()]
+    near, want, at = np.full(600, 2.0), [(5, None)], 5
+    for _ in range(39):
+        near = np.minimum(near, np.round(1 - v @ v[at], 9))
+        near[at] = -1
+        at = int(np.lexsort((np.arange(600), -near))[0])
+        want.append((at, near[at]))
+    assert [r for r, _ in got] == [r for r, _ in want] and got[0][1] is None
+    assert all(abs(a - b) < 1e-8 for (_, a), (_, b) in zip(got[1:], want[1:], strict=True))
+    assert ahead == 3 or len(scans) < 20
+    assert walk.farthest_points(rows.limit(4).union(rows.where("row_id = 5")).dropDuplicates(["row_id"]), 5, 40, ahead).count() in (4, 5)
+
+
 SCHEMA = "shard string, n long"
 
 
