@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from novelspark.operators.similarity import nearest_means
+from novelspark.runtime import stored
 
 
 def replay(visits: DataFrame, j: int, block: int = 1024) -> DataFrame:
@@ -43,6 +46,36 @@ def percentiles_of(sketches: DataFrame, ranks: tuple[float, ...], *by: str) -> D
     return merged.where(F.kll_sketch_get_n_double("sketch") > 0).select(*by, F.kll_sketch_get_n_double("sketch").alias("n"), *quantiles)
 
 
+def percentiles(values: DataFrame, column: str, ranks: tuple[float, ...], bins: int = 10_000) -> list[float | None]:
+    """The exact percentiles of a column, interpolated as Spark's percentile does; nulls don't count, NaN is the largest, and of no values they are null.
+
+    No task holds all distinct values: a count by bins of equal width says which bins hold the wanted places, and only these are put in order.
+    """
+    at = F.col("v")
+    rows = stored(values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), "values")
+    least, most = rows.where(~F.isnan(at)).agg(F.min(at), F.max(at)).first()
+    width = ((most - least) / bins or 1.0) if least is not None else 1.0
+    bin_ = F.when(F.isnan(at), F.lit(bins + 1)).otherwise(F.least(F.floor((at - F.lit(least or 0.0)) / F.lit(width)), F.lit(bins)).cast("int")).alias("bin")
+    counts = sorted((r["bin"], r["count"]) for r in rows.groupBy(bin_).count().collect())  # a row a bin
+    n = sum(c for _, c in counts)
+    if not n:
+        return [None] * len(ranks)
+    places = [r * (n - 1) for r in ranks]
+    wanted = sorted({f(p) for p in places for f in (math.floor, math.ceil)})
+    first, before = {}, 0
+    for b, c in counts:
+        if any(before <= w < before + c for w in wanted):
+            first[b] = before
+        before += c
+    start = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
+    some = rows.select(bin_, "v").where(F.col("bin").isin(*first)).groupBy("bin", "v").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("bin").orderBy("v")) + start[F.col("bin")]
+    found = some.withColumn("upto", upto).where(F.exists(F.array(*[F.lit(w) for w in wanted]), lambda w: (w < F.col("upto")) & (w >= F.col("upto") - F.col("n"))))
+    held = sorted((r["upto"], r["n"], r["v"]) for r in found.collect())  # a row a place at most
+    value = {w: next(v for upto, c, v in held if upto - c <= w < upto) for w in wanted}
+    return [value[lo] if (lo := math.floor(p)) == (hi := math.ceil(p)) or value[lo] == value[hi] else (hi - p) * value[lo] + (p - lo) * value[hi] for p in places]
+
+
 def correlation(stats: DataFrame) -> DataFrame:
     """Of step novelty with patch mean and maximum; null unless over two steps and both spread."""
     def guarded(c):
