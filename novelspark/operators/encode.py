@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from novelspark.functions import vec
 from novelspark.operators import archive as ar
-from novelspark.runtime import ship
+from novelspark.runtime import ship, stored
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,11 @@ def hashed_words(text: Column, dim: int = 64) -> Column:
 
 
 def embed(df: DataFrame, key: str, embedding: str = "embedding", centred: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(table, meta): (key, embedding), centred if wanted; n, dim, and the mean vector's norm before and after. A vector that isn't of unit length is an error."""
+    """(table, meta): (key, embedding), centred if wanted; n, dim, and the mean vector's norm before and after. A vector that isn't of unit length is an error.
+
+    The vectors are stored before anything is asked of them, so that the encoder runs once.
+    """
+    df = stored(df.select(key, embedding), "embedded")
     if ar.norm_violations(df, embedding).take(1):
         raise ValueError("an encoder must give unit vectors")
     table = df.select(key, F.col(embedding).alias("embedding"))
