@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from novelspark.operators.similarity import nearest_means
+from novelspark.functions import vec
+from novelspark.operators.similarity import means_by_item, nearest_means
 from novelspark.runtime import stored
 
 
@@ -25,6 +26,26 @@ def replay(visits: DataFrame, j: int, block: int = 1024) -> DataFrame:
     return ids.join(scores, ["agent_id", "id"], "left").select("agent_id", "step", "prow", "pcol", "score")
 
 
+def replay_of_items(visits: DataFrame, patches: DataFrame, j: int, block: int = 1024) -> DataFrame:
+    """replay of visits (agent_id, step, row_id), read several times, to items with patches (row_id, prow, pcol, pvec), scaled to length 1: the same rows.
+
+    The patches are not joined to the visits: a task holds many agents' visits, and the patches of the items that any of them
+    visited, once each. Agents with more patches than a block take replay.
+    """
+    grid = patches.agg(((F.coalesce(F.max("prow"), F.lit(0)) + 1) * (F.coalesce(F.max("pcol"), F.lit(0)) + 1)).cast("long").alias("cells")).first()
+    large = stored(visits.where((F.col("step") + 1) * grid["cells"] > block).select("agent_id").distinct(), "large-groups")
+    few = visits if (none := large.isEmpty()) else visits.join(large, "agent_id", "left_anti")
+    rows = few.select(F.col("agent_id").alias("g"), F.col("step").cast("long").alias("id"), F.col("step").cast("long").alias("ord"), F.col("row_id").alias("item"))
+    items = patches.select(F.col("row_id").alias("item"), F.col("prow").alias("row"), F.col("pcol").alias("col"), F.col("pvec").alias("vec"))
+    places = [F.col(n).cast(patches.schema[n].dataType).alias(n) for n in ("prow", "pcol")]
+    found = means_by_item(rows, rows, items, j, earlier=True, unit=True).withColumnsRenamed({"row": "prow", "col": "pcol"})
+    out = found.select(F.col("g").alias("agent_id"), F.col("q_id").alias("step"), *places, F.col("novelty").alias("score"))
+    if none:
+        return out
+    own = patches.select("row_id", "prow", "pcol", vec.l2_normalise("pvec").alias("pvec"))
+    return out.unionByName(replay(visits.join(large, "agent_id", "left_semi").join(own, "row_id"), j, block))
+
+
 def step_stats(scores: DataFrame, hot: float, columns: int) -> DataFrame:
     """Of each step with scores: mean, max, min, share at or above hot, and the first cell with the maximum."""
     cell = F.col("prow") * columns + F.col("pcol")
