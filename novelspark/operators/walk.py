@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from novelspark.functions import vec
-from novelspark.operators import choose, similarity, taste
+from novelspark.operators import choose, similarity
 from novelspark.runtime import ship, stored
 
 
@@ -21,14 +21,11 @@ def scored_candidates(current: DataFrame, history: DataFrame, archive: DataFrame
     """
     draws = choose.random_draws(current, archive, m, seed, n)
     near = graph.where(F.col("nn_rank") <= k + 1)
-    found = choose.candidates(current, near, draws, history)
-    items = archive.select("row_id", "embedding")
-    novelty = similarity.novelty_against(found.select("agent_id", "row_id").join(items, "row_id"), history.select("agent_id", "row_id").join(items, "row_id"), j)
-    out = found.join(novelty.select("agent_id", "row_id", F.round("novelty", 9).alias("novelty")), ["agent_id", "row_id"])
-    if tastes is None:
-        return out.withColumn("score", F.col("novelty"))
-    out = out.join(items, "row_id").join(tastes, "agent_id", "left")
-    return out.withColumn("score", F.round(F.col("novelty") + taste.bonus("embedding", F.col("taste"), weight), 9)).drop("embedding", "taste")
+    found = stored(choose.candidates(current, near, draws, history), "candidates")
+    novelty = similarity.novelty_of_items(found, history, archive.select("row_id", "embedding"), j, tastes=tastes)
+    out = found.join(novelty.select("agent_id", "row_id", F.round("novelty", 9).alias("novelty"), "dot"), ["agent_id", "row_id"])
+    score = F.col("novelty") if tastes is None else F.round(F.col("novelty") + weight * F.coalesce("dot", F.lit(0.0)), 9)
+    return out.withColumn("score", score).drop("dot")
 
 
 def superstep(current: DataFrame, history: DataFrame, archive: DataFrame, graph: DataFrame, n: int, m: int, j: int, temperature: float, seed: int, k: int, tastes: DataFrame | None = None, weight: float = 0.0) -> DataFrame:
