@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from novelspark.runtime import shared_dir, ship, stored
 
-__all__ = ["PLACE", "ROWS", "arrow_rows", "ascii_lower", "documents", "looked_up", "partitions", "place", "shared_dir", "ship", "small", "stored", "text_or_empty"]
+__all__ = ["PLACE", "ROWS", "arrow_rows", "ascii_lower", "bitmap", "documents", "in_bitmap", "looked_up", "partitions", "place", "shared_dir", "ship", "small", "stored", "text_or_empty"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -19,6 +20,8 @@ LOWER = UPPER.lower()
 PLACE = ["_none", "_key", "_t"]
 #: Rows that become Python objects at once.
 ROWS = 128
+#: Bits of a hash that name its bit in a bitmap, and those of them that name it in a page.
+_FILTER_BITS, _PAGE_BITS = 26, 15
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +53,22 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bit for each value of the first _FILTER_BITS bits of a hash (h): 8 MB in pages of 4 KB, of which those in use are collected."""
+    x = F.shiftrightunsigned("h", 64 - _FILTER_BITS)
+    bits = np.zeros((1 << (_FILTER_BITS - _PAGE_BITS), 1 << (_PAGE_BITS - 3)), np.uint8)
+    pages = hashes.groupBy(F.shiftright(x, _PAGE_BITS).alias("page")).agg(F.bitmap_construct_agg(x.bitwiseAND((1 << _PAGE_BITS) - 1)).alias("bits"))
+    for page, own in pages.collect():
+        bits[page] = np.frombuffer(bytes(own), np.uint8)
+    return bits.ravel()
+
+
+def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the hashes (unsigned) the bitmap doesn't rule out."""
+    x = (h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+    return (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """What is written inside sends its Python workers at most rows rows at once: for rows that hold whole tiles."""

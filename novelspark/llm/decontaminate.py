@@ -29,14 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from novelspark.llm.common import PLACE, documents, looked_up, place, ship, small, stored, text_or_empty
-from novelspark.llm.rolling import U, Prefixes
+from novelspark.llm.common import PLACE, bitmap, documents, in_bitmap, looked_up, place, ship, small, stored, text_or_empty
+from novelspark.llm.rolling import Prefixes
 
 WORDS, THRESHOLD = 5, 0.8
 #: Bytes of text hashed at once, and candidate items that travel with a text.
 CHUNK, TOGETHER = 1 << 20, 16
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
-_FILTER_BITS, _PAGE_BITS = 26, 15
 
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -106,16 +105,6 @@ def sketches_of(items: DataFrame, words: int, threshold: float) -> DataFrame:
     return stored(met.withColumn("_i", F.row_number().over(order)).where("_i <= keep").select("n", "h", "ref"), "benchmark-sketches")
 
 
-def _bitmap(sketches: DataFrame) -> np.ndarray:
-    """A bit for each value of the first _FILTER_BITS bits of a hash: 8 MB in pages of 4 KB, of which those in use are collected."""
-    x = F.shiftrightunsigned("h", 64 - _FILTER_BITS)
-    bits = np.zeros((1 << (_FILTER_BITS - _PAGE_BITS), 1 << (_PAGE_BITS - 3)), np.uint8)
-    pages = sketches.groupBy(F.shiftright(x, _PAGE_BITS).alias("page")).agg(F.bitmap_construct_agg(x.bitwiseAND((1 << _PAGE_BITS) - 1)).alias("bits"))
-    for page, own in pages.collect():
-        bits[page] = np.frombuffer(bytes(own), np.uint8)
-    return bits.ravel()
-
-
 def _met(search) -> Batches:
     """(digest, n, h): the shingles of each text that the bitmap doesn't rule out."""
 
@@ -123,8 +112,7 @@ def _met(search) -> Batches:
         lengths, bits = search.value
         for n in lengths:
             row, h = _hashes(joined, n)
-            x = (h >> U(64 - _FILTER_BITS)).astype(np.int64)
-            maybe = (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
+            maybe = in_bitmap(bits, h)
             row, h = row[maybe], h[maybe]
             if len(h):
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(digests, np.int64)[row]), pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64))], ["digest", "n", "h"])
@@ -180,7 +168,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key_col: str = "doc_id", text_c
     items = stored(named.mapInArrow(_worded, "ref bigint, item_id bigint, words binary"), "benchmark-items")
     sketches = sketches_of(items, words, threshold)
     lengths = sorted(r["n"] for r in sketches.select("n").distinct().collect())  # words at most
-    search = spark.sparkContext.broadcast((lengths, _bitmap(sketches)))
+    search = spark.sparkContext.broadcast((lengths, bitmap(sketches)))
     met = plain.select("digest", "text").mapInArrow(_met(search), "digest bigint, n int, h bigint").distinct()
     pairs = stored(met.join(sketches, ["n", "h"]).select("digest", "ref").distinct(), "benchmark-candidates")
     parts = pairs.groupBy("digest").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))

@@ -14,7 +14,10 @@ most. At a similarity of 0.8 two fingerprints differ in 19.4 +- 4.1 bits, so tha
 counts to skip, so there the cells are classes of set sizes, of a factor of 1.26: similar sets are in one cell or in
 adjacent ones. Every link is verified on the whole shingle sets. First each text is compared with the least of its
 candidates. Texts that then have a candidate in another component go on with their sets, in tiles again, and a pair of
-tiles counts the shared shingles of all its pairs of texts: no step makes a row a pair, however large a group is. Texts that are equal but for A-Z and white space are one class (64-bit hash) and enter
+tiles counts the shared shingles of all its pairs of texts: no step makes a row a pair, however large a group is. In both a
+task holds a group of a cell's tiles, and the tiles that one of them is to be compared with pass it, each once: a tile is sent to
+as many tasks as there are groups in its cell and the one before, not to every other tile. Sets are made where the texts are read: of
+the texts that a bitmap of 2^26 bits doesn't rule out, so that no text is shuffled for them. Texts that are equal but for A-Z and white space are one class (64-bit hash) and enter
 once. A text of fewer words than a shingle has one shingle, the whole text; texts without a word are one class.
 
 A null text counts as empty; texts without a word have fingerprint zero and are linked with each other like any other. A
@@ -25,22 +28,26 @@ are not read (near_duplicates), or kept (keep_one).
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from novelspark.llm.common import PLACE, arrow_rows, documents, looked_up, partitions, place, ship, small, stored, text_or_empty
+from novelspark.llm.common import PLACE, arrow_rows, bitmap, documents, in_bitmap, looked_up, partitions, place, ship, small, stored, text_or_empty
 from novelspark.llm.graph import connected_components
 from novelspark.llm.rolling import mixed
 
 SEED = 42
 _QUARTERS, _LEVELS = 4, 17
+#: Bytes of tiles that a task holds while others pass it.
+HELD = 32 << 20
+#: Matching shingles that are counted at once.
+AT_ONCE = 1 << 22
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -238,35 +245,42 @@ def _sketches(words: int):
     return run
 
 
-def _candidates(radius: int, numerator: int, denominator: int, chunk: int = 64):
-    """Pairs of tiles of (c, low, high, size, label) to rows (a, b) of each text b that has candidates there: a is the least c of these and its own; where texts have labels (not -1), only candidates of other labels count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 64):
-            same = batch.column("same").to_numpy(zero_copy_only=False)
-            for r in range(batch.num_rows):
-                x, y = (np.asarray(batch.column(n)[r].values.flatten()).reshape(-1, 5) for n in ("x", "y"))
-                (xl, xh), (yl, yh) = ([np.ascontiguousarray(v[:, i]).view(np.uint64) for i in (1, 2)] for v in (x, y))
-                found = []
-                for i in range(0, len(x), chunk):
-                    part = slice(i, i + chunk)
-                    apart = np.bitwise_count(xl[part, None] ^ yl)
-                    apart += np.bitwise_count(xh[part, None] ^ yh)
-                    a, b = np.nonzero(apart <= radius)
-                    a += i
-                    fits = denominator * np.minimum(x[a, 3], y[b, 3]) >= numerator * np.maximum(x[a, 3], y[b, 3])
-                    fits &= (x[a, 4] != y[b, 4]) | (x[a, 4] == -1)
-                    if same[r]:
-                        fits &= a < b
-                    found.append((x[a[fits], 0], y[b[fits], 0]))
-                a, b = (np.concatenate(f) for f in zip(*found, strict=True))
-                if len(a):
-                    each, other = np.concatenate([a, b]), np.concatenate([b, a])
-                    order = np.lexsort((other, each))
-                    first = order[np.concatenate([[True], each[order][1:] != each[order][:-1]])]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other[first], each[first])), pa.array(each[first])], ["a", "b"])
-
-    return run
+def _least_of_each(each: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value of each once, and the least of its others."""
+    order = np.lexsort((other, each))
+    first = order[np.concatenate([[True], each[order][1:] != each[order][:-1]])]
+    return each[first], other[first]
+
+
+def _candidates(radius: int, numerator: int, denominator: int, chunk: int = 64) -> Callable:
+    """Tiles of (c, low, high, size, label) to rows (a, b) of each text b that has candidates there: a is the least c of these and its own; where texts have labels (not -1), only candidates of other labels count."""
+
+    def compare(xs: list[tuple], y: tuple, before: int, same: bool) -> Iterator[pa.RecordBatch]:
+        yc, yl, yh, ysize, ylabel = y
+        yl, yh, found = yl.view(np.uint64), yh.view(np.uint64), []
+        for k, (xc, xl, xh, xsize, xlabel) in enumerate(xs[: before + same]):
+            xl, xh, each, other = xl.view(np.uint64), xh.view(np.uint64), [], []
+            for i in range(0, len(xc), chunk):
+                part = slice(i, i + chunk)
+                apart = np.bitwise_count(xl[part, None] ^ yl)
+                apart += np.bitwise_count(xh[part, None] ^ yh)
+                a, b = np.nonzero(apart <= radius)
+                a += i
+                fits = denominator * np.minimum(xsize[a], ysize[b]) >= numerator * np.maximum(xsize[a], ysize[b])
+                fits &= (xlabel[a] != ylabel[b]) | (xlabel[a] == -1)
+                if k == before:
+                    fits &= a < b
+                if fits.any():
+                    a, b = xc[a[fits]], yc[b[fits]]
+                    each += a, b
+                    other += b, a
+            if each:
+                found.append(_least_of_each(np.concatenate(each), np.concatenate(other)))
+        if found:
+            each, other = _least_of_each(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, each)), pa.array(each)], ["a", "b"])
+
+    return _passed(list, compare)
 
 
 def _cells_by_size(rows: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -274,45 +288,114 @@ def _cells_by_size(rows: DataFrame, numerator: int, denominator: int) -> DataFra
     return rows.withColumn("cell", F.floor(F.log("size") / math.log(1.008 * denominator / numerator)).cast("int"))
 
 
-def _pairs_by_size(tiles: DataFrame) -> DataFrame:
-    cell = F.col("cell")
-    return _tile_pairs(tiles, F.array(cell, cell + 1), F.array(cell, cell - 1))
-
+def _groups_by_size(tiles: DataFrame, size: Column) -> DataFrame:
+    """(i, side, cell, part, v): the tiles of each group i, side 0, before all that one of them is to be compared with, side 1: those of its own cell from the group's first on, and those of the next cell.
 
-def _exact(numerator: int, denominator: int):
-    """Pairs of tiles of (c, n, h: the sets end to end) to links (a, b), a spanning forest of all pairs that are similar enough."""
+    size: the bytes of a tile. There are about four groups for each task that can run at once, and more where they would be over HELD.
+    """
+    tasks = 4 * tiles.sparkSession.sparkContext.defaultParallelism
+    n, most = tiles.agg(F.count("*"), F.max(size)).first()
+    per = max(1, min(-(-n // tasks), HELD // max(most or 1, 1)))
+    # A row a cell: the classes of set sizes grow with the logarithm of the longest text.
+    counts = tiles.groupBy("cell").agg((F.floor(F.max("part") / per) + 1).alias("groups"))
+    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = stored(counts.withColumn("first", F.coalesce(F.sum("groups").over(before), F.lit(0))), "groups")
+    groups = counts.agg(F.sum("groups")).first()[0] or 1
+    lower = counts.select((F.col("cell") + 1).alias("cell"), F.sequence("first", F.col("first") + F.col("groups") - 1).alias("lower"))
+    own = F.col("first") + F.floor(F.col("part") / per)
+    rows = tiles.join(F.broadcast(counts), "cell")
+    held = rows.select(own.alias("i"), F.lit(0).alias("side"), "cell", "part", "v")
+    met = F.concat(F.sequence("first", own), F.coalesce("lower", F.array().cast("array<bigint>")))
+    passing = rows.join(F.broadcast(lower), "cell", "left").select(F.explode(met).alias("i"), F.lit(1).alias("side"), "cell", "part", "v")
+    return held.unionByName(passing).repartitionById(groups, F.col("i").cast("int")).sortWithinPartitions("i", "side", "cell", "part")
+
+
+def _passed(whole: Callable, compare: Callable) -> Callable:
+    """Rows of _groups_by_size to what compare(held, tile, before, same) makes of each tile that passes: held is what whole makes of a group's tiles, of which the tile meets the first `before`, and with same the one after, which is the tile itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 1):
-            (xc, xn, xh), (yc, yn, yh) = (tuple(batch.column(s).field(n).flatten().to_numpy() for n in ("c", "n", "h")) for s in ("x", "y"))
-            same = batch.column("same")[0].as_py()
-            order = np.argsort(yh, kind="stable")
-            owner, yh = np.repeat(np.arange(len(yc)), yn)[order], yh[order]
-            ends, left, right = np.cumsum(xn), [], []
-            for i in range(len(xc)):
-                own = xh[ends[i] - xn[i] : ends[i]]
-                lo = np.searchsorted(yh, own, "left")
-                many = np.searchsorted(yh, own, "right") - lo
-                at = np.arange(many.sum()) + np.repeat(lo - (np.cumsum(many) - many), many)
-                shared = np.bincount(owner[at], minlength=len(yc))
-                j = np.flatnonzero(denominator * shared >= numerator * (xn[i] + yn - shared))
-                j = j[j > i] if same else j
-                left.append(np.full(len(j), i))
-                right.append(j)
-            i, j = np.concatenate(left), np.concatenate(right)
-            if len(i):
-                both = np.concatenate([xc, yc])
-                k, least = _forest(i, j + (0 if same else len(xc)), len(both))
-                yield pa.RecordBatch.from_arrays([pa.array(both[k]), pa.array(both[least])], ["a", "b"])
+        at, places, tiles, held = None, [], [], None
+        for batch in batches:
+            v = batch.column("v")
+            for r, (i, side, cell, part) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("i", "side", "cell", "part")), strict=True)):
+                if i != at:
+                    at, places, tiles, held = i, [], [], None
+                tile = [v[r : r + 1].field(n).flatten().to_numpy() for n in range(v.type.num_fields)]
+                if side == 0:
+                    places.append((cell, part))
+                    tiles.append([x.copy() for x in tile])
+                    continue
+                if held is None:
+                    held, tiles = whole(tiles), []
+                # A group's tiles are of one cell, in the order of their parts; those of the next cell are greater.
+                before = sum(p < (cell, part) for p in places)
+                yield from compare(held, tile, before, (cell, part) in places)
 
     return run
 
 
-def _sets(words: int):
+class _Sets:
+    """The sets of several tiles of (c, n, h: the sets end to end), each with its tile and its place there, and their shingles in order."""
+
+    def __init__(self, tiles: list[list[np.ndarray]]):
+        self.c, self.n, h = (np.concatenate(x) for x in zip(*tiles, strict=True))
+        sizes = [len(t[0]) for t in tiles]
+        self.tile, self.place = np.repeat(np.arange(len(tiles)), sizes), np.concatenate([np.arange(n) for n in sizes])
+        order = np.argsort(h, kind="stable")
+        self.h, self.owner = h[order], np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)[order]
+
+
+def _exact(numerator: int, denominator: int) -> Callable:
+    """Tiles of (c, n, h) to links (a, b), a spanning forest of all pairs that are similar enough."""
+    at_once = AT_ONCE
+
+    def compare(x: _Sets, y: list[np.ndarray], before: int, same: bool) -> Iterator[pa.RecordBatch]:
+        yc, yn, yh = y
+        order = np.argsort(yh, kind="stable")
+        lo, many = np.empty(len(yh), np.int64), np.empty(len(yh), np.int64)
+        lo[order] = np.searchsorted(x.h, yh[order], "left")
+        many[order] = np.searchsorted(x.h, yh[order], "right")
+        many -= lo
+        ends = np.cumsum(yn)
+        cost = np.cumsum(np.add.reduceat(many, ends - yn))
+        left, right, begin = [], [], 0
+        while begin < len(yc):
+            end = max(begin + 1, int(np.searchsorted(cost, (cost[begin - 1] if begin else 0) + at_once, "right")))
+            own = slice(ends[begin] - yn[begin], ends[end - 1])
+            found = many[own]
+            at = np.arange(found.sum()) + np.repeat(lo[own] - (np.cumsum(found) - found), found)
+            key = np.repeat(np.repeat(np.arange(end - begin), yn[begin:end]), found) * len(x.c) + x.owner[at]
+            if 2 * len(key) < (end - begin) * len(x.c):
+                key, shared = np.unique(key, return_counts=True)
+            else:
+                shared = np.bincount(key)
+                key = np.flatnonzero(shared)
+                shared = shared[key]
+            j, i = np.divmod(key, len(x.c))
+            j += begin
+            some = (denominator * shared >= numerator * (x.n[i] + yn[j] - shared)) & ((x.tile[i] < before) | (same & (x.tile[i] == before) & (x.place[i] < j)))
+            if some.any():
+                k, least = _forest(i[some], j[some] + len(x.c), len(x.c) + len(yc))
+                left.append(k)
+                right.append(least)
+            begin = end
+        if left:
+            both = np.concatenate([x.c, yc])
+            k, least = _forest(np.concatenate(left), np.concatenate(right), len(both))
+            yield pa.RecordBatch.from_arrays([pa.array(both[k]), pa.array(both[least])], ["a", "b"])
+
+    return _passed(_Sets, compare)
+
+
+def _sets(words: int, bits) -> Callable:
+    """(*PLACE, found) of those rows (*PLACE, h, text) that the broadcast bitmap doesn't rule out by h."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            found = [np.unique(shingle_hashes(t.encode(), words)).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(found, pa.list_(pa.int64()))], ["c", "found"])
+            batch = batch.filter(pa.array(in_bitmap(bits.value, batch.column("h").to_numpy().view(np.uint64))))
+            if batch.num_rows:
+                found = [np.unique(shingle_hashes(t.encode(), words)).view(np.int64) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*map(batch.column, PLACE), pa.array(found, pa.list_(pa.int64()))], [*PLACE, "found"])
 
     return run
 
@@ -351,17 +434,21 @@ def near_copies(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text"
     classes = stored(rows.groupBy("c").agg(least, *[F.first(x).alias(x) for x in ("low", "high", "size")], F.count("*").alias("n")), "text-classes")
 
     def asked(of: DataFrame) -> DataFrame:
-        tiles = _tiles(_cells_by_size(of.where("size > 0"), numerator, denominator), F.array("c", "low", "high", "size", "label"), "c", tile)
-        found = _pairs_by_size(tiles).mapInArrow(_candidates(radius, numerator, denominator), "a bigint, b bigint")
+        fields = ("c", "low", "high", "size", "label")
+        tiles = _tiles(_cells_by_size(of.where("size > 0"), numerator, denominator), F.struct(*fields), "c", tile)
+        tiles = tiles.withColumn("v", F.struct(*[F.col(f"v.{n}").alias(n) for n in fields]))
         with arrow_rows(of.sparkSession, 64):
+            found = _groups_by_size(tiles, F.size("v.c") * 8 * len(fields)).mapInArrow(_candidates(radius, numerator, denominator), "a bigint, b bigint")
             return stored(found.groupBy("b").agg(F.min("a").alias("a")), "candidates")
 
     star = asked(classes.withColumn("label", F.lit(-1).cast("long")))
     met = classes.join(star.select(F.col("b").alias("c")), "c")
     # One text a class: rows that repeat both key and text are the same text.
-    needed = met.select("c", *place(F.col("least.key"), F.col("least.t")))
-    texts = plain.select("text", *place(F.col("key"), F.col("t"))).join(needed, PLACE).dropDuplicates(PLACE)
-    sets = stored(texts.select("c", "text").mapInArrow(_sets(words), "c bigint, found array<bigint>"), "shingle-sets")
+    needed = stored(met.select("c", *place(F.col("least.key"), F.col("least.t"))), "needed")
+    h = F.xxhash64(*PLACE).alias("h")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(needed.select(h)))
+    made = plain.select("text", *place(F.col("key"), F.col("t"))).select(*PLACE, h, "text").mapInArrow(_sets(words, bits), "_none boolean, _key bigint, _t bigint, found array<bigint>")
+    sets = stored(made.dropDuplicates(PLACE).join(needed, PLACE).select("c", "found"), "shingle-sets")
     links = _verified(star.where("a < b"), sets, numerator, denominator)
     labels = connected_components(links).withColumnRenamed("node", "c")
     apart = asked(met.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c")))
@@ -369,7 +456,8 @@ def near_copies(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text"
     tiles = _tiles(_cells_by_size(left, numerator, denominator), F.struct("c", "size", "found"), "c", 100 * tile, F.col("size"))
     tiles = tiles.withColumn("v", F.struct(F.col("v.c").alias("c"), F.col("v.size").alias("n"), F.flatten("v.found").alias("h")))
     with arrow_rows(docs.sparkSession, 8):
-        links = links.unionByName(stored(_pairs_by_size(tiles).mapInArrow(_exact(numerator, denominator), "a bigint, b bigint"), "exact-links"))
+        groups = _groups_by_size(tiles, F.size("v.h") * 8)
+        links = links.unionByName(stored(groups.mapInArrow(_exact(numerator, denominator), "a bigint, b bigint"), "exact-links"))
     labels = connected_components(links).withColumnRenamed("node", "c")
     of = stored(classes.select("c", "n").join(labels, "c", "left").select("c", "n", F.coalesce("label", "c").alias("component")), "labelled")
     return looked_up(rows.select("key", "t", "c"), of, ["c"], "n").select("key", "t", "component")
